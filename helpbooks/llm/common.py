@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows that Spark hands to a Python task at a time; texts can be long.
 ROWS_PER_BATCH = 512
@@ -43,3 +46,16 @@ def text_bytes(column: str = "text") -> Column:
 def strings(column) -> list[str]:
     """Python strings of an Arrow binary column; broken UTF-8 becomes U+FFFD."""
     return [x.decode("utf-8", "replace") for x in column.to_pylist()]
+
+
+def judged(docs: DataFrame, judge: Callable[[pa.Array], list[pa.Array]], schema: str, text: str = "text") -> DataFrame:
+    """(row, ...): every row as a struct beside what ``judge`` says of the batch of texts (bytes). Names can't clash."""
+    python_batches(docs.sparkSession)
+    base = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), text_bytes(text).alias("bytes"))
+    out = T.StructType([base.schema["row"], *T.StructType.fromDDL(schema)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), *judge(b.column(1))], names=out.fieldNames())
+
+    return base.mapInArrow(run, out)

@@ -18,12 +18,38 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(common.read(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = common.read(spark, sf_dir, "documents")
+    grader = toxicity.fit(docs, common.read(spark, sf_dir, "labels"))
+    return toxicity.grade(docs.select("doc_id", "text"), grader).select("row.doc_id", "grade", "expected_severity", "p_toxic", "toxic")
+
+
 def op3_warc_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
 
     return warc.round_trip(common.read(spark, sf_dir, "pages"), os.path.join(common.shared_dir(spark), f"warc-{uuid.uuid4().hex}"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join
+
+    return ngram_join.classes(common.read(spark, sf_dir, "documents"))
+
+
+def op5_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import context_tree
+
+    return context_tree.scored(common.read(spark, sf_dir, "documents"))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontamination
+
+    return decontamination.contained(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
+
+
 def op7_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import resharding
 
@@ -48,5 +74,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(common.read(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scans, op3_warc_conversion, op7_resharding, op8_mixing, op9_exact_topk, op10_token_counts)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_secret_scans, op2_toxicity, op3_warc_conversion, op4_ngram_jaccard_join, op5_context_tree_scores, op6_benchmark_decontamination,
+        op7_resharding, op8_mixing, op9_exact_topk, op10_token_counts, pipeline,
+    )
+}
 ORACLES: dict[str, str] = {}
