@@ -9,7 +9,10 @@ from ..schemas import MANIFEST_JSON
 
 
 def read_trees(spark: SparkSession, root: str) -> DataFrame:
-    """``schemas.ENTRIES`` of extracted books: one folder below ``root`` for each."""
+    """``schemas.ENTRIES`` of extracted books: one folder below ``root`` for each.
+
+    Spark's file reader passes over empty files; a listing that must hold them comes as a table.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     inner = F.regexp_replace(F.col("path"), "^.*?" + _literal(root.rstrip("/")), "")
     split = files.select(inner.alias("inner"), F.col("length").alias("size"), "content")

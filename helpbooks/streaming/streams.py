@@ -22,8 +22,8 @@ _STATE = "past array<string>, current string, future array<string>"
 IDLE_MS = 24 * 3600 * 1000
 
 
-def replay(events: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
-    """History after each event, kept per session; an idle session's state is dropped.
+def replay(events: DataFrame, idle_ms: int = IDLE_MS, delay: str = "1 minute") -> DataFrame:
+    """History after each event, kept per session; state idle for ``idle_ms`` of event time is dropped.
 
     Within a micro-batch events are sorted by time and number; across batches
     they are taken as they arrive.
@@ -38,13 +38,13 @@ def replay(events: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
         rows = pd.concat(list(frames)).sort_values(["ts", "seq"], kind="stable")
         states = [history.apply(a, u) for a, u in zip(rows["action"], rows["url"], strict=True)]
         state.update((history.past, history.current, history.future))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
         out = rows.drop(columns=["url"])
         out["current_url"], out["can_back"], out["can_forward"] = zip(*states, strict=True)
         yield out
 
-    picked = events.select("session_id", "ts", "seq", "action", "url")
-    return picked.groupBy("session_id").applyInPandasWithState(step, NAV_STATES, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    picked = events.withWatermark("ts", delay).select("session_id", "ts", "seq", "action", "url")
+    return picked.groupBy("session_id").applyInPandasWithState(step, NAV_STATES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def debounced(keystrokes: DataFrame, delay: str = "1 minute", quiet_ms: int = QUIET_MS) -> DataFrame:
