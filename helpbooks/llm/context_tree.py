@@ -95,7 +95,7 @@ def observed(docs: DataFrame, depth: int = DEPTH, text: str = "text", doc_id: st
                 keys.append(w)
                 counts.append(n)
                 held += len(k) + len(w)
-                if held > 4 * _HELD:
+                if held > 2 * _HELD:
                     k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
                     n = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(k)).astype(np.int64)
                     keys[:], counts[:], held = [k], [n], len(k)
