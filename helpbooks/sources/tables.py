@@ -19,11 +19,17 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan of fewer splits than there are cores (one small file, say) dealt over all of them; larger ones stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def page_paths(spark: SparkSession, folder: str) -> DataFrame:
     """(page_id, book_id, path, html): pages as files of the book that their host names."""
     raw = F.regexp_extract("url", PATH, 1)
     path = F.when((raw == "") | F.endswith(raw, F.lit("/")), F.concat(F.when(raw == "", "/").otherwise(raw), F.lit("index.html"))).when(raw.rlike(r"(?i)\.html?\z"), raw).otherwise(F.concat(raw, F.lit(".html")))
-    return read(spark, folder, "pages").select("page_id", F.regexp_extract("url", HOST, 1).alias("book_id"), path.alias("path"), F.coalesce("html", F.lit("")).alias("html"))
+    return spread(read(spark, folder, "pages").select("page_id", "url", "html")).select("page_id", F.regexp_extract("url", HOST, 1).alias("book_id"), path.alias("path"), F.coalesce("html", F.lit("")).alias("html"))
 
 
 def entries(spark: SparkSession, folder: str) -> DataFrame:
