@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,11 +60,11 @@ def grams(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray
     text = np.repeat(np.arange(n), size + 1)
     padded = np.full(len(data) + n * (depth + 1), END, np.uint8)
     padded[np.arange(len(data)) + np.repeat(np.arange(1, n + 1) * depth + np.arange(n), size)] = ta.LOWER[data]
-    at = np.arange(len(text)) + (text + 1) * depth
-    codes = np.zeros(len(at), np.int64)
-    for k in range(depth, -1, -1):
-        codes = (codes << 8) | padded[at - k]
-    return codes, text
+    codes = np.zeros(max(0, len(padded) - depth), np.int64)  # of every place, also of those that straddle two texts
+    for k in range(depth + 1):
+        codes <<= 8
+        codes |= padded[k : k + len(codes)]
+    return codes[np.arange(len(text)) + text * depth], text
 
 
 def observed(docs: DataFrame, depth: int = DEPTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -132,9 +132,21 @@ def log_factorial(n: np.ndarray) -> np.ndarray:
     return shift + (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + y * (1 / 12 - y**2 * (1 / 360 - y**2 * (1 / 1260 - y**2 / 1680)))
 
 
+_SMALL = 4096  # counts below it are looked up
+_GAMMA_HALF, _FACTORIAL = log_gamma_half(np.arange(_SMALL)), log_factorial(np.arange(_SMALL))
+
+
+def _looked_up(table: np.ndarray, exact: Callable[[np.ndarray], np.ndarray], n: np.ndarray) -> np.ndarray:
+    out = table.take(n.astype(np.int64), mode="clip")
+    large = np.flatnonzero(n >= len(table))
+    out[large] = exact(n[large])
+    return out
+
+
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """log of the Krichevsky-Trofimov probability of any order of so many zeros and ones."""
-    return log_gamma_half(zeros) + log_gamma_half(ones) - np.log(np.pi) - log_factorial(zeros + ones)
+    gamma = _looked_up(_GAMMA_HALF, log_gamma_half, zeros) + _looked_up(_GAMMA_HALF, log_gamma_half, ones)
+    return gamma - np.log(np.pi) - _looked_up(_FACTORIAL, log_factorial, zeros + ones)
 
 
 LOG_HALF = np.log(0.5)
@@ -149,15 +161,20 @@ class Levels:
         turned = np.zeros_like(context)
         for k in range(depth):  # the latest byte highest, so that a node's subtree stands together
             turned |= ((context >> (8 * k)) & 255) << (8 * (depth - 1 - k))
-        step = np.arange(8)
-        prefix = (1 << step)[None, :] | (symbol[:, None] >> (8 - step)[None, :])
-        self.bit = ((symbol[:, None] >> (7 - step)[None, :]) & 1).reshape(-1)
-        keys = ((prefix << (8 * depth)) | turned[:, None]).reshape(-1)
-        weight = np.repeat(n, 8)
-        self.keys, self.place = np.unique(keys, return_inverse=True)
-        ones = np.bincount(self.place, weights=weight * self.bit, minlength=len(self.keys))
-        zeros = np.bincount(self.place, weights=weight * (1 - self.bit), minlength=len(self.keys))
-        below, keys = None, self.keys
+        self.bit = np.empty((len(codes), 8), np.int8)
+        self.place = np.empty((len(codes), 8), np.int64)  # of each bit's node among the deepest
+        by_context, parts, found = np.argsort(turned, kind="stable"), [], 0
+        for step in range(8 if len(codes) else 0):  # longer prefixes are greater, so the steps' nodes follow each other
+            prefix, self.bit[:, step] = (1 << step) | (symbol >> (8 - step)), (symbol >> (7 - step)) & 1
+            order = by_context[np.argsort(prefix[by_context].astype(np.uint8), kind="stable")]
+            keys = ((prefix << (8 * depth)) | turned)[order]
+            first = np.append(True, keys[1:] != keys[:-1])
+            start, weight, bit = np.flatnonzero(first), n[order].astype(np.float64), self.bit[order, step]
+            self.place[order, step] = found + np.cumsum(first) - 1
+            parts.append((keys[start], np.add.reduceat(weight * (1 - bit), start), np.add.reduceat(weight * bit, start)))
+            found += len(start)
+        keys, zeros, ones = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        below = None
         self.nodes = []  # from the deepest: (keys, zeros, ones, log weighted, share of own estimate, parent's place)
         for d in range(depth, least - 1, -1):
             own = log_kt(zeros, ones)
@@ -172,15 +189,12 @@ class Levels:
         self.above = (keys, zeros, ones, np.zeros(0) if below is None else below)
 
     def below_anchor(self) -> tuple[np.ndarray, np.ndarray]:
-        """(keys of the nodes above the anchor, mixed probability of a one from the anchor down), by n-gram and bit."""
-        chain, at = [], self.place
+        """(keys of the nodes above the anchor, mixed probability of a one from the anchor down), by deepest node."""
+        top, p, at = np.zeros(0, np.int64), None, np.arange(len(self.nodes[0][0]))
         for keys, zeros, ones, _, share, parent in self.nodes:
-            chain.append((share[at], ((ones + 0.5) / (zeros + ones + 1))[at]))
-            top = (keys >> 8)[at]
-            at = parent[at]
-        p = None
-        for share, own in chain:
-            p = own if p is None else share * own + (1 - share) * p
+            own = (ones + 0.5) / (zeros + ones + 1)
+            p = own if p is None else share[at] * own[at] + (1 - share[at]) * p
+            top, at = (keys >> 8)[at], parent[at]
         return top, p
 
 
@@ -211,8 +225,8 @@ def log10_of(codes: np.ndarray, n: np.ndarray, depth: int, anchor: int, above: t
     top, p = levels.below_anchor()
     keys, a, b = above
     at = np.searchsorted(keys, top)
-    one = a[at] + b[at] * p
-    return np.log10(np.where(levels.bit == 1, one, 1 - one)).reshape(-1, 8).sum(1)
+    one = (a[at] + b[at] * p)[levels.place]
+    return np.log10(np.where(levels.bit == 1, one, 1 - one)).sum(1)
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
