@@ -6,7 +6,11 @@ has the set of its shingles of five words (the whole text if it has fewer).
 1. ``BANDS`` bands of ``ROWS`` MinHash values: texts that share a band are in one
    bucket. A pair at 0.8 misses all bands with probability 5e-5, at 0.85 4e-7.
    A bucket links each member to its least one; those stars make candidate
-   components, so no pairs are listed.
+   components, so no pairs are listed. Texts that only share some passages can
+   chain up to large components; those of more than ``SPLIT`` texts are found
+   anew with ``SHARP_BANDS`` bands of ``SHARP_ROWS`` values, which texts of half
+   the threshold's similarity hardly ever share, and so fall apart into what is
+   truly alike (a pair at 0.8 misses all of these with probability 1e-5).
 2. Each component is cut into blocks of at most ``BLOCK`` texts; each pair of
    blocks is a group of its own, so no group is unbounded. Inside, MinHash values
    are compared 16 at a time; a pair is dropped as soon as the posterior
@@ -38,12 +42,14 @@ from .components import components
 
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
+SHARP_BANDS, SHARP_ROWS = 100, 10
+SPLIT = 2048
 PERMS = 128
 STEP = 16
 TOLERANCE = 1e-9
 BLOCK = 512
 _SEEDS = ta.seeds(PERMS, 4)
-_BAND_SALT = ta.seeds(BANDS, 44)
+_BAND_SALT = ta.seeds(SHARP_BANDS, 44)
 
 
 def text_key(text: str = "text") -> Column:
@@ -55,11 +61,11 @@ def row_key(key: Column, doc_id: Column) -> Column:
     return F.xxhash64(key, doc_id)
 
 
-def signatures(h: np.ndarray, off: np.ndarray, perms: int = PERMS) -> np.ndarray:
-    """(texts with shingles, perms) MinHash values; ``off`` must not hold empty texts."""
-    out = np.empty((len(off) - 1, perms), np.uint32)
-    for p in range(perms):
-        out[:, p] = np.minimum.reduceat(ta.permuted(h, _SEEDS[p]), off[:-1])
+def signatures(h: np.ndarray, off: np.ndarray, seeds: np.ndarray = _SEEDS) -> np.ndarray:
+    """(texts with shingles, seeds) MinHash values; ``off`` must not hold empty texts."""
+    out = np.empty((len(off) - 1, len(seeds)), np.uint32)
+    for p, seed in enumerate(seeds):
+        out[:, p] = np.minimum.reduceat(ta.permuted(h, seed), off[:-1])
     return out
 
 
@@ -80,9 +86,10 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return out
 
 
-def band_rows(docs: DataFrame, text: str = "text") -> DataFrame:
+def band_rows(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(key, band) with ``band`` the hash of a band's number and values; in each batch every different text once."""
     common.python_batches(docs.sparkSession)
+    own_seeds = _SEEDS[: bands * rows] if bands * rows <= PERMS else ta.seeds(bands * rows, 4)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,11 +101,11 @@ def band_rows(docs: DataFrame, text: str = "text") -> DataFrame:
                 some = np.flatnonzero(np.diff(off))
                 if not len(some):
                     continue
-                sig = signatures(h, np.append(off[some], off[-1]), BANDS * ROWS).astype(np.uint64)
-                mixed = np.zeros((len(some), BANDS), np.uint64)
-                for r in range(ROWS):
-                    mixed = ta.mix(mixed * np.uint64(31) + sig[:, r::ROWS] + _BAND_SALT[None, :])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[lo:hi][some], BANDS)), pa.array(mixed.reshape(-1).view(np.int64))], names=["key", "band"])
+                sig = signatures(h, np.append(off[some], off[-1]), own_seeds).astype(np.uint64)
+                mixed = np.zeros((len(some), bands), np.uint64)
+                for r in range(rows):
+                    mixed = ta.mix(mixed * np.uint64(31) + sig[:, r::rows] + _BAND_SALT[None, :bands])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[lo:hi][some], bands)), pa.array(mixed.reshape(-1).view(np.int64))], names=["key", "band"])
 
     return docs.select(text_key(text).alias("key"), common.text_bytes(text).alias("text")).mapInArrow(run, "key long, band long")
 
@@ -110,6 +117,24 @@ def candidate_components(bands: DataFrame) -> DataFrame:
     return components(stars)
 
 
+def one_text_each(docs: DataFrame, keys: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The columns of ``keys`` (key, ...) and ``text`` in bytes: of the copies of a text only those of its least id (null ids last)."""
+    texts = docs.select(text_key(text).alias("key"), F.col(doc_id).cast("long").alias("id"), common.text_bytes(text).alias("text"))
+    chosen = keys.join(texts.groupBy("key").agg(F.min("id").alias("first_id")), "key")
+    chosen = chosen.select(row_key(F.col("key"), F.col("first_id")).alias("row_key"), *(keys[c] for c in keys.columns if c != "key"))
+    return texts.withColumn("row_key", row_key(F.col("key"), F.col("id"))).join(chosen, "row_key").drop("row_key", "id")
+
+
+def split_large(docs: DataFrame, found: DataFrame, text: str, doc_id: str, split: int = SPLIT) -> DataFrame:
+    """``found`` (v, component) with the components of more than ``split`` texts cut up by sharper bands."""
+    large = common.cut(found.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > split).select("component"))
+    if large.isEmpty():
+        return found
+    inside = one_text_each(docs, found.join(large, "component", "left_semi").select(F.col("v").alias("key")), text, doc_id)
+    again = candidate_components(common.cut(band_rows(inside, "text", SHARP_BANDS, SHARP_ROWS)))
+    return common.cut(found.join(large, "component", "left_anti").select("v", "component").unionByName(again))
+
+
 def _overlaps(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the pairs' sets, by products of 0/1 matrices or one by one, whichever is less work."""
     used = np.unique(pairs)
@@ -189,17 +214,13 @@ def block_links(keys: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], sam
     return keys[some], links[some], keys[low[some]]
 
 
-def links(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK, split: int = SPLIT) -> tuple[DataFrame, DataFrame]:
     """((key, n_links), (v, component)) of all texts that have links to different texts."""
-    spark = docs.sparkSession
     found = common.cut(candidate_components(common.cut(band_rows(docs, text))))
+    found = split_large(docs, found, text, doc_id, split)
     blocks = found.groupBy("component").agg(F.count("*").alias("n")).select("component", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     own = found.join(blocks, "component").select(F.col("v").alias("key"), "component", "blocks", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("own"))
-    # one row a text: of its copies the least id's (null ids last)
-    texts = docs.select(text_key(text).alias("key"), F.col(doc_id).cast("long").alias("id"), common.text_bytes(text).alias("text"))
-    first = texts.groupBy("key").agg(F.min("id").alias("first_id"))
-    chosen = own.join(first, "key").select(row_key(F.col("key"), F.col("first_id")).alias("row_key"), "component", "blocks", "own")
-    picked = texts.withColumn("row_key", row_key(F.col("key"), F.col("id"))).join(chosen, "row_key")
+    picked = one_text_each(docs, own, text, doc_id)
     sets = _shingle_sets(picked.select("key", "component", "blocks", "own", "text"))
     pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "key", "shingles")

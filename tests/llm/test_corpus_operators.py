@@ -85,6 +85,25 @@ def test_ngram_join(make, sample):
     assert ngram_join.classes(make(rows).limit(0)).count() == 0
 
 
+def test_large_candidate_components_are_split(make):
+    words = [f"w{k}" for k in range(2000)]
+    windows = [" ".join(words[k : k + 200]) for k in range(0, 1800, 60)]  # half of each is in the next
+    rows = [(100 * k + c, near(t, c, 2) if c else t, "s") for k, t in enumerate(windows) for c in range(3)] + [(9000 + k, windows[k % 5], "s") for k in range(20)]
+    want, docs = brute_classes(rows), make(rows)
+    found = ngram_join.candidate_components(ngram_join.band_rows(docs))
+    apart = ngram_join.split_large(docs, found, "text", "doc_id", split=4)
+    largest = [max(r["count"] for r in x.groupBy("component").count().collect()) for x in (found, apart)]
+    assert largest[1] < largest[0]
+    n_links, comps = ngram_join.links(docs, split=4)
+    keys = {r.text: r.key for r in docs.select("text", ngram_join.text_key().alias("key")).collect()}
+    assert {r.key: r.n_links for r in n_links.collect()} == {keys[t]: w[2] for t, w in want.items() if w[2]}
+    got = {r.v: r.component for r in comps.collect()}
+    classes = {}
+    for t, w in want.items():
+        classes.setdefault(w[0], set()).add(got.get(keys[t]))
+    assert all(len(c) == 1 and None not in c for c in classes.values()) and len(set(got.values())) == len(classes)
+
+
 def test_pruning_bound_is_the_posterior():
     rng = np.random.default_rng(0)
     s = rng.random(400_000)  # the uniform prior
