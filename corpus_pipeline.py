@@ -39,8 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def place(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per kept copy: its shard and its slot there."""
-    return resharding.reshard(docs)
+    """A row per kept copy: its shard and its slot there, read from the shards that are written to the shared folder."""
+    return resharding.reshard_documents(docs, os.path.join(common.shared_dir(spark), f"shards-{uuid.uuid4().hex}"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

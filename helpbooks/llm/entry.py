@@ -53,7 +53,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op7_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import resharding
 
-    return resharding.reshard(common.read(spark, sf_dir, "documents"))
+    return resharding.reshard_documents(common.read(spark, sf_dir, "documents"), os.path.join(common.shared_dir(spark), f"shards-{uuid.uuid4().hex}"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,10 @@ The flow network has an arc from each old shard to each new one; staying costs
 nothing and moving costs the bytes moved. Successive shortest paths give the
 cheapest flow that fills the new capacities. Whole blocks then carry the flow,
 and a last step moves small blocks between shards that are still off. Rows look
-their block's shard up in a broadcast map, so assigning needs no shuffle; only
-the slots (a row's number in its shard) are dealt out, by block.
+their block's shard up in a broadcast map, so assigning needs no shuffle. Then
+the shards that gain or lose rows are written anew, from the files of the old
+layout, and all rows are read back: a row's slot is its place in the files of
+its shard. ``reshard`` gives the plan without files, with slots dealt by block.
 
 Null texts have size 1 (their line end). Null and repeated ids are rows like any
 other; equal rows may get either's slot. An empty table gives an empty result.
@@ -20,10 +22,9 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-
-from . import common
+from pyspark.sql import types as T
 
 #: Hash buckets an old shard; with LARGE it bounds what the driver plans over.
 BUCKETS = 256
@@ -32,12 +33,20 @@ LARGE = 4096
 KEYS = ["old", "large", "bucket"]
 
 
+def _size(text: str) -> Column:
+    return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
+
+
+def _hash_shard(mixed: Column, shards: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(mixed, 17), F.lit(shards)).cast("int")
+
+
 def with_blocks(docs: DataFrame, old_shards: int, old_shard: Column | None = None, text: str = "text", doc_id: str = "doc_id", buckets: int = BUCKETS, large: int = LARGE) -> DataFrame:
     """docs plus ``size``, ``mixed`` and the block columns ``old``, ``large``, ``bucket``. Without ``old_shard`` the old layout is a hash of id and text."""
-    sized = docs.withColumn("size", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")).withColumn("mixed", F.xxhash64(F.col(doc_id), F.col(text)))
+    sized = docs.withColumn("size", _size(text)).withColumn("mixed", F.xxhash64(F.col(doc_id), F.col(text)))
     total = sized.agg(F.sum("size")).first()[0] or 0
     limit = max(1, total // large)
-    old = F.pmod(F.shiftrightunsigned("mixed", 17), F.lit(old_shards)) if old_shard is None else old_shard
+    old = _hash_shard(F.col("mixed"), old_shards) if old_shard is None else old_shard
     is_large = F.col("size") > limit
     return sized.withColumn("old", old.cast("int")).withColumn("large", is_large).withColumn("bucket", F.when(is_large, F.col("mixed")).otherwise(F.pmod("mixed", F.lit(buckets))))
 
@@ -137,17 +146,25 @@ def _even_out(blocks: list[tuple], out: dict[tuple, int], load: list[int], capac
                 load[goal] += item[0]
 
 
+def _assigned(docs: DataFrame, old_shards: int, new_shards: int, old_shard: Column | None, text: str, doc_id: str) -> tuple[DataFrame, list[tuple], dict[tuple, int]]:
+    """docs as ``row`` beside size, block and ``text``; a (key, old shard, bytes, rows) tuple per block; the new shard of each block."""
+    base = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    d = with_blocks(base, old_shards, old_shard, "text", "doc_id")
+    counts = [(tuple(r[:3]), r[0], r[3], r[4]) for r in d.groupBy(*KEYS).agg(F.sum("size"), F.count("*")).collect()]  # bounded: see BUCKETS and LARGE
+    return d, counts, plan_blocks([c[:3] for c in counts], new_shards)
+
+
+def _crc() -> Column:
+    return F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
+
+
 def reshard(docs: DataFrame, old_shards: int = 12, new_shards: int = 16, old_shard: Column | None = None, text: str = "text", doc_id: str = "doc_id", keep: bool = False) -> DataFrame:
-    """A row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard; with ``keep`` also ``row``, all its columns.
+    """The plan alone, a row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard; with ``keep`` also ``row``, all its columns.
 
     ``law`` is ``bytes``: sizes of new shards are as near equal as blocks allow.
     """
-    base = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    d = with_blocks(base, old_shards, None if old_shard is None else old_shard, "text", "doc_id")
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    d = d.select(*KEYS, "doc_id", "size", "mixed", crc.alias("text_crc32"), *(["row"] if keep else []))
-    counts = [(tuple(r[:3]), r[0], r[3], r[4]) for r in d.groupBy(*KEYS).agg(F.sum("size"), F.count("*")).collect()]  # bounded: see BUCKETS and LARGE
-    shard = plan_blocks([c[:3] for c in counts], new_shards)
+    d, counts, shard = _assigned(docs, old_shards, new_shards, old_shard, text, doc_id)
+    d = d.select(*KEYS, "doc_id", "size", "mixed", _crc(), *(["row"] if keep else []))
     rows, start = [0] * new_shards, []
     for key, _, _, n in sorted(counts, key=lambda c: str(c[0])):
         start.append((*key, shard[key], rows[shard[key]]))
@@ -158,13 +175,58 @@ def reshard(docs: DataFrame, old_shards: int = 12, new_shards: int = 16, old_sha
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"), *(["row"] if keep else []))
 
 
+def lay_out(docs: DataFrame, path: str, shards: int, text: str = "text", doc_id: str = "doc_id") -> None:
+    """Write docs below ``path`` as a layout of hash shards, a folder shard=N each."""
+    docs.withColumn("shard", _hash_shard(F.xxhash64(F.col(doc_id), F.col(text)), shards)).write.partitionBy("shard").parquet(path)
+
+
+def read_layout(spark: SparkSession, path: str, columns: T.StructType) -> DataFrame:
+    """``columns`` of the documents of a layout, ``_old_shard`` (null in files that no resharding wrote) and ``shard``. An empty layout has no rows."""
+    return spark.read.schema(T.StructType([*columns, T.StructField("_old_shard", T.IntegerType()), T.StructField("shard", T.IntegerType())])).parquet(path)
+
+
 def rewrite_affected(placed: DataFrame, path: str, old_shards: int) -> list[int]:
-    """Write the shards that gain or lose rows below ``path`` as shard=N; the others keep their old files. Returns the shards written.
+    """Write the shards that gain or lose rows below ``path`` as shard=N; the others keep their old files. Returns the shards written or removed.
 
-    ``placed`` is ``reshard(..., keep=True)``. At most one row per shard reaches the driver.
+    ``placed`` has ``row``, ``shard`` and ``old_shard``, as ``reshard(..., keep=True)``. It may read ``path``: new
+    files replace the old ones of their shard only when all are written. Afterwards it must not be read again. A row
+    for each pair of an old and a new shard reaches the driver.
     """
-    moved = placed.filter("old_shard != shard")
-    touched = sorted({r[0] for r in moved.select("shard").union(moved.select("old_shard")).distinct().collect()})
-    rows = placed.filter(F.col("shard").isin(touched) | (F.col("shard") >= old_shards))
-    rows.select("row.*", F.col("slot").alias("_slot"), "shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+    spark = placed.sparkSession
+    pairs = [tuple(r) for r in placed.select("old_shard", "shard").distinct().collect()]
+    touched = sorted({s for a, b in pairs if a != b for s in (a, b)})
+    columns = [c for c in placed.schema["row"].dataType.names if c not in ("shard", "_old_shard")]
+    rows = placed.filter(F.col("shard").isin(touched) | (F.col("shard") >= old_shards)).select(*(F.col("row").getField(c).alias(c) for c in columns), F.col("old_shard").alias("_old_shard"), "shard")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    for s in set(touched) - {b for _, b in pairs}:  # it lost all its rows
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={s}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
     return touched
+
+
+def read_placed(layout: DataFrame, touched: list[int], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``reshard``, all from the files of a layout in which ``touched`` are the shards last written.
+
+    A slot is a row's place in its shard: the rows in files of a lesser name and its index in its own file. The
+    number of rows of each file is broadcast.
+    """
+    file = F.col("_metadata.file_name").alias("file")
+    before = Window.partitionBy("shard").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = layout.select("shard", file).groupBy("shard", "file").count().select("shard", "file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    rows = layout.select("shard", file, F.col("_metadata.row_index").alias("at"), F.when(F.col("shard").isin(touched), F.col("_old_shard")).otherwise(F.col("shard")).alias("old_shard"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    out = rows.join(F.broadcast(starts), ["shard", "file"])
+    return out.select("doc_id", _size("text").alias("size"), _crc(), F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("at")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def reshard_layout(spark: SparkSession, path: str, columns: T.StructType, old_shards: int = 12, new_shards: int = 16, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Reshard the layout below ``path`` in place: plan from its files, rewrite the affected shards, and read all back as the rows of ``reshard``."""
+    d, _, shard = _assigned(read_layout(spark, path, columns), old_shards, new_shards, F.col("row.shard"), text, doc_id)
+    where = spark.createDataFrame([(*key, s) for key, s in shard.items()], "old int, large boolean, bucket long, shard int")
+    touched = rewrite_affected(d.join(F.broadcast(where), KEYS).select("row", "shard", F.col("old").alias("old_shard")), path, old_shards)
+    return read_placed(read_layout(spark, path, columns), touched, text, doc_id)
+
+
+def reshard_documents(docs: DataFrame, path: str, old_shards: int = 12, new_shards: int = 16, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Lay docs out as ``old_shards`` hash shards below ``path``, then reshard those files."""
+    lay_out(docs, path, old_shards, text, doc_id)
+    return reshard_layout(docs.sparkSession, path, docs.schema, old_shards, new_shards, text, doc_id)

@@ -239,6 +239,46 @@ def test_resharding(spark, make, sample, tmp_path):
     assert resharding.reshard(table.limit(0)).count() == 0
 
 
+def files_below(path):
+    return {f.relative_to(path).as_posix(): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_resharding_rewrites_files(spark, make, sample, tmp_path):
+    table = make(sample)
+    placed = resharding.reshard_documents(table.repartition(3), str(tmp_path / "new"))
+    back = {(r.shard, r.text, r.doc_id) for r in spark.read.parquet(str(tmp_path / "new")).collect()}
+    plan = resharding.reshard(table, keep=True).collect()
+    assert {(r.shard, r.row.text, r.doc_id) for r in plan} == back
+    columns = ["doc_id", "size", "text_crc32", "law", "shard", "grown_shard", "old_shard"]
+    assert Counter(map(tuple, placed.select(columns).collect())) == Counter(tuple(r[c] for c in columns) for r in plan)
+    slots = defaultdict(list)
+    for r in placed.collect():
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert resharding.reshard_documents(table.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_unaffected_shards_keep_their_files(spark, tmp_path):
+    # shard 0 is exactly full, 1 too long, 2 too short, 3 goes away
+    rows = [(100 * s + k, "x" * 9, s) for s, n in ((0, 40), (1, 60), (2, 10), (3, 10)) for k in range(n)]
+    path, docs = tmp_path / "layout", spark.createDataFrame(rows, "doc_id long, text string, shard int")
+    docs.repartition(2).write.partitionBy("shard").parquet(str(path))
+    before, columns = files_below(path), docs.drop("shard").schema
+    for _ in range(2):  # the second time nothing is left to move
+        placed = resharding.reshard_layout(spark, str(path), columns, 4, 3).collect()
+        assert sorted(r.doc_id for r in placed) == sorted(i for i, _, _ in rows)
+        assert Counter(r.shard for r in placed) == {0: 40, 1: 40, 2: 40}
+        after = files_below(path)
+        assert {f for f in after if f.startswith("shard=0/")} == {f for f in before if f.startswith("shard=0/")}
+        assert all(before[f] == after[f] for f in after if f in before) and not (path / "shard=3").exists()
+        if _ == 0:
+            old = {i: s for i, _, s in rows}
+            assert all(r.old_shard == old[r.doc_id] for r in placed)
+            first = {r.doc_id: (r.shard, r.slot) for r in placed}
+        else:
+            assert all(r.old_shard == r.shard and (r.shard, r.slot) == first[r.doc_id] for r in placed)
+
+
 PAGES = [(1, "http://a.b/x y", "<p>one</p>"), (2, "http://a.b/2", "<p>one</p>"), (3, None, None), (4, "u", ""), (None, "u", "<p>one</p>"), (7, "u", "WARC/1.1\r\n\r\n\r\nHTTP/1.1"), (7, "u", "WARC/1.1\r\n\r\n\r\nHTTP/1.1"), (8, "u", "é漢" * 50_000)]
 
 
