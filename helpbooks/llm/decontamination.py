@@ -1,18 +1,21 @@
 """Benchmark decontamination: containment search by size-partitioned MinHash.
 
-Items are partitioned by size: class u holds items of u/2 < n <= u shingles of
-five words. For each class a document is cut into windows of 2u shingles, u
+Items are partitioned by size: class u, 16 at least, holds items of u/2 < n <= u
+shingles of five words. For each class a document is cut into windows of 2u shingles, u
 apart, so that any u shingles in a row lie in one window and the Jaccard
 similarity of an item and its window stays above a fifth, however long the
 document is. A window whose MinHash agrees with an item's in any of ``PERMS``
 orders makes (document, item) a candidate: at containment 0.8 one in a million
 is missed. Candidates are verified on the exact shingles of the whole document.
 
+Smaller items are not hashed to windows: any shingle that an item of at most
+``EXACT`` shingles shares with a document makes a candidate. An item of fewer
+than five words is one run of all its words and is sought among the document's
+runs of that many words, wherever they lie.
+
 Everything happens where a document is read. Items go out in blocks of at most
 ``ITEM_BLOCK`` (one pass over the documents each), so what is broadcast has a
-bound. Null and empty texts have no shingles and match nothing. A text of fewer
-than five words is one shingle, so a short item matches only documents that are
-the same words. Equal items each match; repeated rows each report. Items with a
+bound. Null and empty texts have no shingles and match nothing. Equal items each match; repeated rows each report. Items with a
 null id report a null id. Other columns are not read.
 """
 
@@ -31,28 +34,44 @@ from . import textarrays as ta
 THRESHOLD = 0.8
 PERMS = 64
 LEAST_CLASS = 16
+#: Items of so many shingles, or fewer, are looked up exactly: half of the least class.
+EXACT = LEAST_CLASS // 2
+#: Words of a shingle.
+WIDTH = 5
 ITEM_BLOCK = 20_000
 _SEEDS = ta.seeds(PERMS, 6)
 _EMPTY = np.uint32(0xFFFFFFFF)
 
 
 class Items:
-    """A block of items: exact shingles, and MinHash values by size class."""
+    """A block of items: exact shingles; MinHash values by size class; the shingles of small items by their width in words."""
 
     def __init__(self, ids: list, texts: list[bytes]):
-        self.ids, self.shingles = [], []
+        self.ids, self.shingles, width = [], [], []
         column = pa.array(texts, pa.binary())
         for a, b, data, offsets in ta.slices(column):
-            h, off = ta.text_shingles(data, offsets)
-            for k in range(b - a):
-                own = np.unique(h[off[k] : off[k + 1]])
-                if len(own):
-                    self.ids.append(ids[a + k])
-                    self.shingles.append(own)
+            start, end, text = ta.words(data, offsets)
+            hashes, count = ta.word_hashes(data, start, end), np.bincount(text, minlength=b - a)
+            by_width = {w: ta.shingles(hashes, text, b - a, w) for w in {min(WIDTH, n) for n in count.tolist() if n}}
+            for k in np.flatnonzero(count):
+                h, off = by_width[min(WIDTH, count[k])]
+                self.ids.append(ids[a + k])
+                self.shingles.append(np.unique(h[off[k] : off[k + 1]]))
+                width.append(min(WIDTH, int(count[k])))
         sizes = np.array([len(s) for s in self.shingles], dtype=np.int64)
+        self.exact = {}
+        for w in sorted(set(width)):
+            own = [i for i in np.flatnonzero(sizes <= EXACT).tolist() if width[i] == w]
+            if own:
+                values, item = np.concatenate([self.shingles[i] for i in own]), np.repeat(own, sizes[own])
+                order = np.argsort(values, kind="stable")
+                seen = np.zeros(1 << 16, dtype=bool)
+                seen[values >> ta.U64(48)] = True
+                self.exact[w] = (values[order], item[order], seen)
         level = np.maximum(0, np.ceil(np.log2(np.maximum(sizes, 1) / LEAST_CLASS)).astype(int))
+        level[sizes <= EXACT] = -1
         self.classes = {}
-        for k in sorted(set(level.tolist())):
+        for k in sorted(set(level.tolist()) - {-1}):
             own = np.flatnonzero(level == k)
             mins = np.array([[ta.permuted(self.shingles[i], s).min() for i in own] for s in _SEEDS])
             order = np.argsort(mins, axis=1, kind="stable")
@@ -94,9 +113,26 @@ class Items:
                         found.update((int(d[x]), int(i)) for i in item[p, lo:hi])
         return found
 
-    def verified(self, h: np.ndarray, off: np.ndarray, threshold: float) -> list[tuple[int, object, float]]:
+    def sharing(self, h: np.ndarray, off: np.ndarray, width: int) -> set[tuple[int, int]]:
+        """(document number, item number) pairs of small items of that width that share a shingle."""
+        values, item, seen = self.exact[width]
+        hit = np.flatnonzero(seen[h >> ta.U64(48)])
+        a, b = np.searchsorted(values, h[hit], "left"), np.searchsorted(values, h[hit], "right")
+        shared, doc = b > a, np.searchsorted(off, hit, side="right") - 1
+        _, once = np.unique(doc[shared] * len(values) + a[shared], return_index=True)  # a document may hold a shingle often
+        doc, a, n = doc[shared][once], a[shared][once], (b - a)[shared][once]
+        at = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return set(zip(np.repeat(doc, n).tolist(), item[at].tolist(), strict=True))
+
+    def verified(self, data: np.ndarray, offsets: np.ndarray, threshold: float) -> list[tuple[int, object, float]]:
+        """(document number, item id, containment) of the documents of a slice."""
+        start, end, text = ta.words(data, offsets)
+        hashes, n = ta.word_hashes(data, start, end), len(offsets) - 1
+        h, off = ta.shingles(hashes, text, n, WIDTH)
         out, whole, of = [], None, -1
-        for d, i in sorted(self.candidates(h, off)):
+        for w in self.exact.keys() - {WIDTH}:  # one shingle: shared or not
+            out += [(d, self.ids[i], 1.0) for d, i in self.sharing(*ta.shingles(hashes, text, n, w), w) if threshold <= 1]
+        for d, i in sorted(self.candidates(h, off) | (self.sharing(h, off, WIDTH) if WIDTH in self.exact else set())):
             if d != of:
                 whole, of = np.unique(h[off[d] : off[d + 1]]), d
             own = self.shingles[i]
@@ -129,7 +165,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, d
             for b in batches:
                 ids = b.column(0)
                 for first, _, data, offsets in ta.slices(b.column(1)):
-                    hits = shipped.value.verified(*ta.text_shingles(data, offsets), threshold)
+                    hits = shipped.value.verified(data, offsets, threshold)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array([first + d for d, _, _ in hits], pa.int64())), pa.array([i for _, i, _ in hits], pa.int64()), pa.array([s for _, _, s in hits], pa.float64())], names=["doc_id", "item_id", "containment"])
 
         part = base.mapInArrow(run, "doc_id long, item_id long, containment double")
@@ -145,7 +181,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text:
         def judge(texts: pa.Array, shipped=shipped) -> list[pa.Array]:
             hit = [False] * len(texts)
             for first, _, data, offsets in ta.slices(texts):
-                for d, _, _ in shipped.value.verified(*ta.text_shingles(data, offsets), threshold):
+                for d, _, _ in shipped.value.verified(data, offsets, threshold):
                     hit[first + d] = True
             return [pa.array(hit, pa.bool_())]
 

@@ -152,6 +152,34 @@ def test_decontamination(spark, make, sample):
     assert decontamination.contained(table.limit(0), bench).count() == 0
 
 
+def test_small_items_inside_long_texts(spark, make):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 4000, 6000)) for _ in range(40)]  # 80 items of 5 and 6 words: MinHash alone misses several
+    items, rows, want = [], [(1000 + d, t, "s") for d, t in enumerate(texts)] + [(2000, "w1 w2", "s"), (2001, "", "s")], set()
+    for d, t in enumerate(texts):
+        w = t.split()
+        for n in (1, 2, 3, 4, 5, 6, 7, 12, 13):
+            at = int(rng.integers(0, len(w) - n))
+            items.append((len(items), " ".join(w[at : at + n])))
+        one = w[500:506] + ["other"] + w[506:507]  # most of it is elsewhere
+        items.append((len(items), " ".join(one)))
+    items += [(5000, "W1  w2"), (5001, "w1 w2 w3 nowhere"), (5002, "w1 w2")]
+    runs = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    for d, t, _ in rows:
+        of = {n: runs(words_of(t), n) for n in range(1, 6)}
+        for i, x in items:
+            n = min(5, len(words_of(x)))
+            own = runs(words_of(x), n)
+            if len(own & of[n]) >= 0.8 * len(own):
+                want.add((d, i))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (20_000, 50):
+        got = [(r.doc_id, r.item_id) for r in decontamination.contained(make(rows), bench, item_block=block).collect()]
+        assert len(got) == len(want) and set(got) == want
+    three = bench.filter("item_id = 2")
+    assert decontamination.clean(make(rows), three).count() == len(rows) - sum(i == 2 for _, i in want)
+
+
 def brute_targets(sizes, weights=(1, 2, 3), cap=3):
     """Shares by weight; what is above a cap is shared again until nothing is."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
