@@ -24,6 +24,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,16 +67,18 @@ def arc_file(name: str, version: int, date: str, records: list[tuple[str, bytes]
 
 
 def arc_archives(pages: DataFrame, date: str = "20000101000000", page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(archive, content): pages as ARC files, one a batch, of version 1 or 2 by the file's name."""
+    """(archive, content): pages as ARC files, one a batch, of version 1 or 2 by their content. Names hold partition and batch, so that equal batches differ."""
     common.python_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        task = TaskContext.get().partitionId()
+        for number, batch in enumerate(batches):
             if not batch.num_rows:
                 continue
             rows = [(_word(u), http_block(h, i)) for i, u, h in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            name = hashlib.sha1(b"".join(hashlib.sha1(u.encode() + b).digest() for u, b in rows)).hexdigest()[:20]
-            yield pa.RecordBatch.from_arrays([pa.array([f"{name}.arc"]), pa.array([arc_file(name, 1 + int(name, 16) % 2, date, rows)], pa.binary())], names=["archive", "content"])
+            content = hashlib.sha1(b"".join(hashlib.sha1(u.encode() + b).digest() for u, b in rows)).hexdigest()[:20]
+            name = f"{content}-{task}-{number}"
+            yield pa.RecordBatch.from_arrays([pa.array([f"{name}.arc"]), pa.array([arc_file(name, 1 + int(content, 16) % 2, date, rows)], pa.binary())], names=["archive", "content"])
 
     return pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), common.text_bytes(html).alias("html")).mapInArrow(run, "archive string, content binary")
 

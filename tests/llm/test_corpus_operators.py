@@ -335,6 +335,15 @@ def test_warc_round_trip(spark, tmp_path, least):
     assert warc.round_trip(pages.limit(0), str(tmp_path / "empty")).count() == 0
 
 
+def test_equal_batches_have_their_own_archives(spark, tmp_path):
+    one = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    pages = one.unionAll(one).unionAll(one)  # each batch three times, in partitions of its own
+    assert warc.arc_archives(pages).select("archive").distinct().count() == 3 * warc.arc_archives(one).count()
+    got = warc.round_trip(pages, str(tmp_path / "w")).collect()
+    assert len(got) == 3 * len(PAGES) == len({r.record_id for r in got})
+    assert Counter(r.record_type for r in got)["response"] == len({h or "" for _, _, h in PAGES})
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_versions(version):
     data = warc.arc_file("f.arc", version, "20010203040506", [("http://x/", warc.http_block(b"hi\nthere", 5)), ("dns:x", b"plain")])
