@@ -10,8 +10,9 @@ from . import common
 MOST_ROUNDS = 60
 
 
-def _checksum(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*"), F.sum(F.shiftrightunsigned(F.xxhash64("u", "v"), 20))).first()
+def _checksum(edges: DataFrame) -> tuple[int, int | None]:
+    """(number of edges, their hash in any order)."""
+    r = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     return r[0], r[1]
 
 
@@ -20,19 +21,21 @@ def components(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
 
     A large star links all greater neighbours of a vertex to its least
     neighbour, a small star all lesser ones; rounds stop when nothing changes.
-    Each round is written to the shared folder. The joins are plain equi-joins,
-    so a vertex with very many neighbours is split by adaptive execution.
+    Each round is written to the shared folder. A vertex with very many
+    neighbours, a group of copies say, is looked up where its edges are. Edges without ends and loops
+    are passed over, repeated ones count once.
     """
     e = common.cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct())
     before = _checksum(e)
     for _ in range(most_rounds):
-        if not before[0]:
+        n = before[0]
+        if not n:
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = common.looked_up(both.filter("v > u"), least, "u", n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = common.looked_up(large, low, "u", n).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         e = common.cut(small.filter("u != v").distinct())
         after = _checksum(e)
         if after == before:

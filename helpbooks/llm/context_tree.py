@@ -69,7 +69,6 @@ def grams(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray
 
 def observed(docs: DataFrame, depth: int = DEPTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(key, n): training counts of words and n-grams; n-grams of held-out texts alone are there with 0."""
-    common.python_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
@@ -284,7 +283,6 @@ def scored(docs: DataFrame, depth: int = DEPTH, frequent: int = FREQUENT, text:
     order = np.argsort(keys)
     shipped = spark.sparkContext.broadcast((keys[order], values[order].astype(np.float64)))
     end_value = float(np.log10((n_ends + 0.5) / floor))
-    common.python_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, value = shipped.value

@@ -3,26 +3,33 @@
 Texts that are equal are one class; joins run between different texts. Each text
 has the set of its shingles of five words (the whole text if it has fewer).
 
-1. ``BANDS`` bands of ``ROWS`` MinHash values: texts that share a band are in one
-   bucket. A pair at 0.8 misses all bands with probability 5e-5, at 0.85 4e-7.
+1. A text has ``VALUES`` MinHash values, laid out as a table of 32 rows and 8
+   columns. Its 64 bands are eight values each: the rows, and the columns cut in
+   four. Texts that share a band are in one bucket; a pair of similarity 0.8
+   misses all bands with probability 4e-5, one of 0.3 is in a bucket with 4e-3.
    A bucket links each member to its least one; those stars make candidate
-   components, so no pairs are listed. Texts that only share some passages can
-   chain up to large components; those of more than ``SPLIT`` texts are found
-   anew with ``SHARP_BANDS`` bands of ``SHARP_ROWS`` values, which texts of half
-   the threshold's similarity hardly ever share, and so fall apart into what is
-   truly alike (a pair at 0.8 misses all of these with probability 1e-5).
-2. Each component is cut into blocks of at most ``BLOCK`` texts; each pair of
-   blocks is a group of its own, so no group is unbounded. Inside, MinHash values
-   are compared 16 at a time; a pair is dropped as soon as the posterior
-   probability (uniform prior) of a similarity of at least the threshold falls
-   below ``TOLERANCE``. All other pairs are verified on their exact shingles.
+   components, so no pairs are listed.
+2. Each component is cut into blocks of about ``BLOCK`` texts or ``BLOCK_BYTES``
+   bytes; each pair of blocks is a group of its own, so no group is unbounded.
+   Inside, MinHash values are compared 16 at a time; a pair is dropped as soon as
+   the posterior probability (uniform prior) of a similarity of at least the
+   threshold falls below ``TOLERANCE``. All other pairs are verified on their
+   exact shingles. The number of links of a text asks for every pair of a
+   component, so this step is quadratic in a component of texts that are truly
+   alike; exact copies are one text and cost nothing.
 3. A group reports, for each text, its number of links and the least text it is
    connected to there; sums and components of these are exact for the table.
 
+Texts are told apart by 64-bit hashes; should two different texts have the same
+one, a second hash takes its place for those, so 128 bits must agree before a
+document counts as a copy.
+
 A text without words has no shingles and no links but to its own copies. Null
-texts are empty. Null and repeated ids are rows like any other; the class id is
-the least id of the class, null if it has none. Other columns are not read.
-Texts are told apart by 64-bit hashes.
+texts are empty. Very long texts are taken whole, one at a time. Null and
+repeated ids are rows like any other; the class id is the least id of the class,
+null if it has none. Of a class the document of the least id stays; of several
+such rows the one of the least hash over all columns, of equal rows any one.
+Other columns may have any name; only ``one_of_each`` reads them.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -41,27 +48,32 @@ from . import textarrays as ta
 from .components import components
 
 THRESHOLD = 0.8
-BANDS, ROWS = 25, 5
-SHARP_BANDS, SHARP_ROWS = 100, 10
-SPLIT = 2048
+VALUES, BANDS = 256, 64
+#: Values that are compared before exact verification.
 PERMS = 128
 STEP = 16
 TOLERANCE = 1e-9
-BLOCK = 512
-_SEEDS = ta.seeds(PERMS, 4)
-_BAND_SALT = ta.seeds(SHARP_BANDS, 44)
+BLOCK, BLOCK_BYTES = 1024, 16_000_000
+#: Candidate texts up to this number are announced to the readers of all texts; beyond it texts are dealt by key.
+ANNOUNCED = 500_000
+_SEEDS = ta.seeds(VALUES, 4)
+_BAND_SALT = ta.seeds(BANDS, 44)
 
 
-def text_key(text: str = "text") -> Column:
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+def _hash(text: Column, salt: int | None = None) -> Column:
+    return F.xxhash64(text) if salt is None else F.xxhash64(F.lit(salt), text)
 
 
-def row_key(key: Column, doc_id: Column) -> Column:
-    """One key of a text and an id, so that the copies of a text are spread."""
-    return F.xxhash64(key, doc_id)
+def text_key(docs: DataFrame, text: str = "text") -> Column:
+    """A long that different texts of ``docs`` do not share. About n**2 / 2**65 hashes of n texts clash (24 in 3e10); those alone reach the driver."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    first, second = _hash(whole), _hash(whole, 4)
+    both = docs.select(first.alias("key"), second.alias("other")).groupBy("key").agg(F.min("other").alias("a"), F.max("other").alias("b"))
+    clashing = [r["key"] for r in both.filter("a != b").select("key").collect()]
+    return F.when(first.isin(clashing), second).otherwise(first) if clashing else first
 
 
-def signatures(h: np.ndarray, off: np.ndarray, seeds: np.ndarray = _SEEDS) -> np.ndarray:
+def signatures(h: np.ndarray, off: np.ndarray, seeds: np.ndarray = _SEEDS[:PERMS]) -> np.ndarray:
     """(texts with shingles, seeds) MinHash values; ``off`` must not hold empty texts."""
     out = np.empty((len(off) - 1, len(seeds)), np.uint32)
     for p, seed in enumerate(seeds):
@@ -86,10 +98,18 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return out
 
 
-def band_rows(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(key, band) with ``band`` the hash of a band's number and values; in each batch every different text once."""
-    common.python_batches(docs.sparkSession)
-    own_seeds = _SEEDS[: bands * rows] if bands * rows <= PERMS else ta.seeds(bands * rows, 4)
+def bands_of(sig: np.ndarray) -> np.ndarray:
+    """(texts, ``BANDS``) hashes of the bands' numbers and values."""
+    table = sig.astype(np.uint64).reshape(len(sig), 32, 8)
+    eights = np.concatenate([table, table.reshape(len(sig), 4, 8, 8).swapaxes(2, 3).reshape(len(sig), 32, 8)], axis=1)
+    mixed = np.zeros((len(sig), BANDS), np.uint64)
+    for r in range(8):
+        mixed = ta.mix(mixed * np.uint64(31) + eights[:, :, r] + _BAND_SALT[None, :])
+    return mixed
+
+
+def band_rows(docs: DataFrame, key: Column, text: str = "text") -> DataFrame:
+    """(key, band): the bands of each text, in each batch every different text once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -101,38 +121,30 @@ def band_rows(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int
                 some = np.flatnonzero(np.diff(off))
                 if not len(some):
                     continue
-                sig = signatures(h, np.append(off[some], off[-1]), own_seeds).astype(np.uint64)
-                mixed = np.zeros((len(some), bands), np.uint64)
-                for r in range(rows):
-                    mixed = ta.mix(mixed * np.uint64(31) + sig[:, r::rows] + _BAND_SALT[None, :bands])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[lo:hi][some], bands)), pa.array(mixed.reshape(-1).view(np.int64))], names=["key", "band"])
+                mixed = bands_of(signatures(h, np.append(off[some], off[-1]), _SEEDS))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[lo:hi][some], BANDS)), pa.array(mixed.reshape(-1).view(np.int64))], names=["key", "band"])
 
-    return docs.select(text_key(text).alias("key"), common.text_bytes(text).alias("text")).mapInArrow(run, "key long, band long")
+    return docs.select(key.alias("key"), common.text_bytes(text).alias("text")).mapInArrow(run, "key long, band long")
 
 
 def candidate_components(bands: DataFrame) -> DataFrame:
     """(v, component) of texts that share a bucket with another text."""
-    leaders = bands.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least != most").select("band", "least")
-    stars = bands.join(leaders, "band").filter("key != least").select(F.col("key").alias("u"), F.col("least").alias("v")).distinct()
-    return components(stars)
-
-
-def one_text_each(docs: DataFrame, keys: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The columns of ``keys`` (key, ...) and ``text`` in bytes: of the copies of a text only those of its least id (null ids last)."""
-    texts = docs.select(text_key(text).alias("key"), F.col(doc_id).cast("long").alias("id"), common.text_bytes(text).alias("text"))
-    chosen = keys.join(texts.groupBy("key").agg(F.min("id").alias("first_id")), "key")
-    chosen = chosen.select(row_key(F.col("key"), F.col("first_id")).alias("row_key"), *(keys[c] for c in keys.columns if c != "key"))
-    return texts.withColumn("row_key", row_key(F.col("key"), F.col("id"))).join(chosen, "row_key").drop("row_key", "id")
+    rows, path = common.written(bands, "bands")
+    leaders = rows.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("n")).filter("least != most").drop("most")
+    stars = common.looked_up(rows, leaders, "band", rows.count()).filter("key != least").select(F.col("key").alias("u"), F.col("least").alias("v"))
+    out = components(stars)
+    common.remove(bands.sparkSession, path)
+    return out
 
 
-def split_large(docs: DataFrame, found: DataFrame, text: str, doc_id: str, split: int = SPLIT) -> DataFrame:
-    """``found`` (v, component) with the components of more than ``split`` texts cut up by sharper bands."""
-    large = common.cut(found.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > split).select("component"))
-    if large.isEmpty():
-        return found
-    inside = one_text_each(docs, found.join(large, "component", "left_semi").select(F.col("v").alias("key")), text, doc_id)
-    again = candidate_components(common.cut(band_rows(inside, "text", SHARP_BANDS, SHARP_ROWS)))
-    return common.cut(found.join(large, "component", "left_anti").select("v", "component").unionByName(again))
+def picked_texts(docs: DataFrame, key: Column, found: DataFrame, text: str = "text") -> DataFrame:
+    """(key, component, text): each text of ``found`` (v, component) once, in bytes."""
+    texts = docs.select(key.alias("key"), common.text_bytes(text).alias("text"))
+    own = found.select(F.col("v").alias("key"), "component")
+    if found.count() <= ANNOUNCED:
+        texts = texts.join(F.broadcast(own.select("key")), "key", "left_semi")
+    once = texts.groupBy("key").agg(F.first("text").alias("text"))  # copies are merged before the shuffle
+    return once.join(own, "key").select("key", "component", "text")
 
 
 def _overlaps(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
@@ -214,34 +226,34 @@ def block_links(keys: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], sam
     return keys[some], links[some], keys[low[some]]
 
 
-def links(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK, split: int = SPLIT) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, key: Column, threshold: float = THRESHOLD, text: str = "text", block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """((key, n_links), (v, component)) of all texts that have links to different texts."""
-    found = common.cut(candidate_components(common.cut(band_rows(docs, text))))
-    found = split_large(docs, found, text, doc_id, split)
-    blocks = found.groupBy("component").agg(F.count("*").alias("n")).select("component", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    own = found.join(blocks, "component").select(F.col("v").alias("key"), "component", "blocks", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("own"))
-    picked = one_text_each(docs, own, text, doc_id)
-    sets = _shingle_sets(picked.select("key", "component", "blocks", "own", "text"))
-    pairs = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    found = common.cut(candidate_components(band_rows(docs, key, text)))
+    sets, path = common.written(_shingle_sets(picked_texts(docs, key, found, text)), "shingles")
+    parts = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") * 8 / block_bytes), F.lit(1)).cast("int")
+    blocks = sets.groupBy("component").agg(parts.alias("blocks"), F.count("*").alias("n"))
+    placed = common.looked_up(sets, blocks, "component", found.count()).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "key", "shingles")
     dealt = pairs.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
     counted = common.cut(_grouped(dealt, threshold))
+    common.remove(docs.sparkSession, path)
     n_links = counted.groupBy("key").agg(F.sum("n_links").alias("n_links"))
     return n_links, components(counted.select(F.col("key").alias("u"), F.col("least").alias("v")))
 
 
 def _shingle_sets(picked: DataFrame) -> DataFrame:
-    """text becomes ``shingles``: sorted 64-bit hashes, as bytes."""
+    """text becomes ``shingles``: sorted 64-bit hashes, as bytes, ``size`` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi, data, offsets in ta.slices(b.column(4)):
+            for lo, hi, data, offsets in ta.slices(b.column(2)):
                 h, off = ta.text_shingles(data, offsets)
-                sets = [np.unique(h[x:y]).tobytes() for x, y in zip(off[:-1], off[1:], strict=True)]
+                sets = [np.unique(h[x:y]) for x, y in zip(off[:-1], off[1:], strict=True)]
                 part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(sets, pa.binary())], names=["key", "component", "blocks", "own", "shingles"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["key", "component", "size", "shingles"])
 
-    return picked.mapInArrow(run, "key long, component long, blocks int, own int, shingles binary")
+    return picked.mapInArrow(run, "key long, component long, size long, shingles binary")
 
 
 def _grouped(dealt: DataFrame, threshold: float) -> DataFrame:
@@ -284,23 +296,28 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", d
     the number of different texts of similarity at least ``threshold``, and
     ``n_copies`` the number of documents with that text.
     """
-    n_links, comps = links(docs, threshold, text, doc_id)
-    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("key"))
+    key = text_key(docs, text)
+    n_links, comps = links(docs, key, threshold, text)
+    ids = common.cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), key.alias("key")))
     texts = ids.groupBy("key").agg(F.min("doc_id").alias("text_class"), F.count("*").alias("n_copies"))
     joined = texts.join(comps.withColumnRenamed("v", "key"), "key", "left").join(n_links, "key", "left")
-    joined = joined.select("key", "text_class", "n_copies", F.coalesce("component", "key").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    least = joined.groupBy("component").agg(F.min("text_class").alias("class_id"))
-    about = joined.join(least, "component").select("key", "class_id", "text_class", "n_links", "n_copies")
-    return ids.join(about, "key").select("doc_id", "class_id", "text_class", "n_links", "n_copies")
+    joined = common.cut(joined.select("key", "text_class", "n_copies", F.coalesce("component", "key").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    least = joined.groupBy("component").agg(F.min("text_class").alias("class_id"), F.count("*").alias("n"))
+    size = joined.agg(F.count("*"), F.sum("n_copies")).first()
+    about = common.looked_up(joined, least, "component", size[0]).select("key", "class_id", "text_class", "n_links", "n_copies")
+    return common.looked_up(ids, about, "key", size[1] or 0, "n_copies").select("doc_id", "class_id", "text_class", "n_links", "n_copies")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with one document of each class: the one of the least id (a null id comes last); of repeated rows one stays."""
-    _, comps = links(docs, threshold)
-    row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), text_key().alias("key"), F.col("doc_id").cast("long").alias("id"))
-    texts = row.groupBy("key").agg(F.min("id").alias("first_id")).join(comps.withColumnRenamed("v", "key"), "key", "left")
-    kept = texts.groupBy(F.coalesce("component", "key").alias("component")).agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "key")).alias("w"))
-    kept = kept.select(row_key(F.col("w.key"), F.col("w.first_id")).alias("row_key"))
-    here = row.withColumn("row_key", row_key(F.col("key"), F.col("id"))).join(kept, "row_key", "left_semi")
-    again = F.row_number().over(Window.partitionBy("row_key").orderBy("key"))
-    return here.withColumn("again", again).filter("again = 1").select("row.*")
+    """docs with one document of each class: the one of the least id (a null id comes last)."""
+    key = text_key(docs)
+    _, comps = links(docs, key, threshold)
+    has_id, id_ = F.col("doc_id").isNotNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = docs.select(key.alias("key"), has_id.alias("has_id"), id_.alias("id"), F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.xxhash64(*(docs[c] for c in plain)).alias("tie"))
+    first = F.min(F.struct((~F.col("has_id")).alias("last"), "id")).alias("first")
+    texts = rows.groupBy("key").agg(first).join(comps.withColumnRenamed("v", "key"), "key", "left")
+    kept = texts.groupBy(F.coalesce("component", "key").alias("component")).agg(F.min(F.struct("first", "key")).alias("w"))
+    kept = kept.select("w.key", (~F.col("w.first.last")).alias("has_id"), F.col("w.first.id").alias("id"))
+    once = rows.groupBy("key", "has_id", "id").agg(F.min_by("row", "tie").alias("row"))  # repeated rows are merged before the shuffle
+    return once.join(kept, ["key", "has_id", "id"], "left_semi").select("row.*")

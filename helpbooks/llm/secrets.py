@@ -157,7 +157,6 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 
 def find(docs: DataFrame, ranked_words: list[str] | None = None, min_log10: float = MIN_LOG10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document; columns as in ``SCHEMA``. No shuffle: every text is scanned where it is read."""
-    common.python_batches(docs.sparkSession)
     ranks = RANKS if ranked_words is None else {w.lower(): i + 1 for i, w in reversed(list(enumerate(ranked_words)))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

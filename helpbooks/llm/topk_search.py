@@ -125,7 +125,6 @@ class Block:
 def topk(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5, scale: float = 256.0, query_block: int = QUERY_BLOCK, first_bucket: int = FIRST_BUCKET) -> DataFrame:
     """(query_id long, rank int, vec_id long, score long): each query's k best other rows, ties to the smaller id."""
     spark = vectors.sparkSession
-    common.python_batches(spark, 4096)
     sane = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     base = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
     base = base.filter(F.col("id").isNotNull() & sane)

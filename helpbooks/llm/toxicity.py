@@ -135,7 +135,6 @@ class Grader:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, grades: int = GRADES, reject_from: float = REJECT_FROM) -> Grader:
     chosen = common.cut(labelled_sample(docs, labels, sample))
-    common.python_batches(docs.sparkSession)
     n1, n0 = chosen.filter("is_toxic").count(), chosen.filter("not is_toxic").count()
     if not n1 or not n0:
         return Grader([], None)

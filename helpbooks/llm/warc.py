@@ -68,7 +68,6 @@ def arc_file(name: str, version: int, date: str, records: list[tuple[str, bytes]
 
 def arc_archives(pages: DataFrame, date: str = "20000101000000", page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(archive, content): pages as ARC files, one a batch, of version 1 or 2 by their content. Names hold partition and batch, so that equal batches differ."""
-    common.python_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
@@ -241,7 +240,6 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
         rows = (r for b in batches for c in b.column(0).to_pylist() for r in parse_warc(c))
         yield from _packed(rows if payload else (r[:8] + r[9:] for r in rows), schema)
 
-    common.python_batches(spark, 4)  # whole files
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content").mapInArrow(run, schema)
 
 

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from helpbooks.llm import components, decontamination, mixing, ngram_join, resharding, warc
+from helpbooks.llm import common, components, decontamination, mixing, ngram_join, resharding, warc
 from helpbooks.llm import textarrays as ta
 
 from .conftest import shingles_of, words_of
@@ -70,8 +70,9 @@ def test_ngram_join(make, sample):
     text = next(t for _, t, _ in sample if t and 150 < len(t.split()) < 400)
     rows = sample + [(20000 + k, near(text, k), "s") for k in range(30)] + [(30000 + k, near(text, k, 12), "s") for k in range(10)]
     want = brute_classes(rows)
-    for block in (512, 7):  # 7: a class lies in several blocks
-        n_links, comps = ngram_join.links(make(rows), block=block)
+    for block in (1024, 7):  # 7: a class lies in several blocks
+        docs = make(rows)
+        n_links, comps = ngram_join.links(docs, ngram_join.text_key(docs), block=block)
         assert n_links.agg(F.sum("n_links")).first()[0] == sum(v[2] for v in want.values())
     got = ngram_join.classes(make(rows)).collect()
     texts = {i: t or "" for i, t, _ in rows}
@@ -83,25 +84,49 @@ def test_ngram_join(make, sample):
     assert kept.columns == make(rows).columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter({v[0] for v in want.values()})
     assert ngram_join.classes(make(rows).limit(0)).count() == 0
+    assert ngram_join.one_of_each(make(rows).limit(0)).count() == 0
 
 
-def test_large_candidate_components_are_split(make):
+def test_chained_passages_and_a_large_cluster(make, monkeypatch):
     words = [f"w{k}" for k in range(2000)]
-    windows = [" ".join(words[k : k + 200]) for k in range(0, 1800, 60)]  # half of each is in the next
+    windows = [" ".join(words[k : k + 200]) for k in range(0, 1800, 60)]  # two thirds of each are in the next
     rows = [(100 * k + c, near(t, c, 2) if c else t, "s") for k, t in enumerate(windows) for c in range(3)] + [(9000 + k, windows[k % 5], "s") for k in range(20)]
-    want, docs = brute_classes(rows), make(rows)
-    found = ngram_join.candidate_components(ngram_join.band_rows(docs))
-    apart = ngram_join.split_large(docs, found, "text", "doc_id", split=4)
-    largest = [max(r["count"] for r in x.groupBy("component").count().collect()) for x in (found, apart)]
-    assert largest[1] < largest[0]
-    n_links, comps = ngram_join.links(docs, split=4)
-    keys = {r.text: r.key for r in docs.select("text", ngram_join.text_key().alias("key")).collect()}
-    assert {r.key: r.n_links for r in n_links.collect()} == {keys[t]: w[2] for t, w in want.items() if w[2]}
-    got = {r.v: r.component for r in comps.collect()}
-    classes = {}
-    for t, w in want.items():
-        classes.setdefault(w[0], set()).add(got.get(keys[t]))
-    assert all(len(c) == 1 and None not in c for c in classes.values()) and len(set(got.values())) == len(classes)
+    rows += [(20000 + k, near(windows[0], k, 1 + k % 3), "s") for k in range(700)]
+    want = brute_classes(rows)
+    monkeypatch.setattr(ngram_join, "ANNOUNCED", 10)
+    got = ngram_join.classes(make(rows).repartition(4))
+    assert {r.doc_id: (r.class_id, r.text_class, r.n_links, r.n_copies) for r in got.collect()} == {i: want[t] for i, t, _ in rows}
+    monkeypatch.setattr(common, "HOT", 20)
+    monkeypatch.setattr(common, "HOT_SHARE", 100)
+    assert sorted(ngram_join.classes(make(rows)).collect()) == sorted(got.collect())
+
+
+def test_texts_whose_hashes_clash_stay_apart(make, sample, monkeypatch):
+    plain = ngram_join._hash
+    monkeypatch.setattr(ngram_join, "_hash", lambda text, salt=None: plain(text, salt) if salt else F.pmod(plain(text), F.lit(40)))
+    want, texts = brute_classes(sample), {i: t or "" for i, t, _ in sample}
+    for r in ngram_join.classes(make(sample)).collect():
+        if r.doc_id is not None:
+            assert (r.class_id, r.text_class, r.n_links, r.n_copies) == want[texts[r.doc_id]]
+    assert ngram_join.one_of_each(make(sample)).count() == len({v[0] for v in want.values()})
+
+
+def test_ties_do_not_depend_on_the_partitions(spark):
+    text = "one two three four five six"
+    rows = [(5, text, "de"), (5, text, "en"), (5, text, "en"), (7, text, "aa"), (None, text, "zz"), (None, "other", "b"), (None, "other", "a"), (None, "other", "b")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = [sorted(map(str, ngram_join.one_of_each(table.orderBy(order).repartition(n)).collect())) for order, n in (("lang", 1), (F.desc("lang"), 3), ("doc_id", 8))]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 2
+
+
+def test_recall_is_that_of_the_bands():
+    rng = np.random.default_rng(5)
+    one, other = rng.integers(0, 2**32, (2, 20_000, ngram_join.VALUES), dtype=np.uint64)
+    other = np.where(rng.random(other.shape) < 0.8, one, other)
+    met = (ngram_join.bands_of(one) == ngram_join.bands_of(other)).any(1)
+    assert met.mean() > 0.9995
+    other = np.where(rng.random(other.shape) < 0.3, one, rng.integers(0, 2**32, other.shape, dtype=np.uint64))
+    assert (ngram_join.bands_of(one) == ngram_join.bands_of(other)).any(1).mean() < 0.01
 
 
 def test_pruning_bound_is_the_posterior():
@@ -132,6 +157,14 @@ def test_components(spark):
     assert got == {a: find(a) for a in root if any(a in e for e in edges if e[0] != e[1])}
 
 
+def test_components_of_many_edges(spark):
+    n = 1_200_000
+    edges = spark.range(n).select(F.col("id").alias("u"), F.when(F.col("id") < n // 3, F.lit(0)).otherwise(F.col("id") - F.col("id") % 10).alias("v"))
+    got = components.components(edges)  # a third of all edges are a star
+    sums = got.groupBy("component").agg(F.count("*").alias("n"), F.min("v").alias("least")).filter("component != least or n not in (10, %d)" % (n // 3))
+    assert sums.isEmpty() and got.count() == n
+
+
 def test_decontamination(spark, make, sample):
     long = " ".join(f"w{k}" for k in range(3000))
     item = " ".join(f"w{k}" for k in range(1200, 1240))
