@@ -2,20 +2,25 @@
 
 Every old shard is cut into blocks: documents of more than a set share of all
 bytes are blocks of their own (there can only be so many), the others fall into
-a fixed number of hash buckets. The driver sees one row per block, never per
-document; the number of blocks has a bound that does not grow with the data.
+a fixed number of hash buckets. A block that is far above the mean, because rows
+repeat, is cut up by the rows' places in their files. The driver sees one row per
+block, never per document; the number of blocks has a bound that does not grow
+with the data.
 
 The flow network has an arc from each old shard to each new one; staying costs
 nothing and moving costs the bytes moved. Successive shortest paths give the
 cheapest flow that fills the new capacities. Whole blocks then carry the flow,
-and a last step moves small blocks between shards that are still off. Rows look
-their block's shard up in a broadcast map, so assigning needs no shuffle. Then
-the shards that gain or lose rows are written anew, from the files of the old
-layout, and all rows are read back: a row's slot is its place in the files of
-its shard. ``reshard`` gives the plan without files, with slots dealt by block.
-
-Null texts have size 1 (their line end). Null and repeated ids are rows like any
-other; equal rows may get either's slot. An empty table gives an empty result.
+long ones first; what one old shard sends too much or too little the next makes
+up for, so shards are equal to about one small block, and the bytes moved are
+those of the flow to the same measure. Rows look their block's shard up in a
+broadcast map, so assigning needs no shuffle. Then the shards that gain or lose
+rows are written anew, from the files of the old layout, and all rows are read
+back: a row's slot is its place in the files of its shard.
+
+Null texts have size 1 (their line end); empty ones too. A text longer than a
+shard fills one by itself. Null and repeated ids are rows like any other. An
+empty table gives an empty result. Columns of any name are kept: where documents
+have a column ``shard``, the layout's own gets another name (``free_name``).
 """
 
 from __future__ import annotations
@@ -26,11 +31,22 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
+
 #: Hash buckets an old shard; with LARGE it bounds what the driver plans over.
-BUCKETS = 256
+BUCKETS = 1024
 #: A document of over 1/LARGE of all bytes is a block of its own (fewer than LARGE exist).
 LARGE = 4096
-KEYS = ["old", "large", "bucket"]
+BLOCK = "old int, large boolean, bucket long, part int"
+KEYS = [x.split()[0] for x in BLOCK.split(", ")]
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, or the first longer one that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def _size(text: str) -> Column:
@@ -41,14 +57,22 @@ def _hash_shard(mixed: Column, shards: int) -> Column:
     return F.pmod(F.shiftrightunsigned(mixed, 17), F.lit(shards)).cast("int")
 
 
-def with_blocks(docs: DataFrame, old_shards: int, old_shard: Column | None = None, text: str = "text", doc_id: str = "doc_id", buckets: int = BUCKETS, large: int = LARGE) -> DataFrame:
-    """docs plus ``size``, ``mixed`` and the block columns ``old``, ``large``, ``bucket``. Without ``old_shard`` the old layout is a hash of id and text."""
-    sized = docs.withColumn("size", _size(text)).withColumn("mixed", F.xxhash64(F.col(doc_id), F.col(text)))
-    total = sized.agg(F.sum("size")).first()[0] or 0
-    limit = max(1, total // large)
-    old = _hash_shard(F.col("mixed"), old_shards) if old_shard is None else old_shard
-    is_large = F.col("size") > limit
-    return sized.withColumn("old", old.cast("int")).withColumn("large", is_large).withColumn("bucket", F.when(is_large, F.col("mixed")).otherwise(F.pmod("mixed", F.lit(buckets))))
+def with_blocks(rows: DataFrame, old_shards: int, buckets: int = BUCKETS, large: int = LARGE) -> tuple[DataFrame, list[tuple[tuple, int]]]:
+    """rows (old, mixed, place, size, ...) plus ``large``, ``bucket`` and ``part``, and the bytes of each block.
+
+    ``mixed`` is a hash of a row's content, ``place`` one of its place.
+    """
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    is_large = F.col("size") > max(1, total // large)
+    d = rows.withColumn("large", is_large).withColumn("bucket", F.when(is_large, F.col("mixed")).otherwise(F.pmod("mixed", F.lit(buckets))))
+    whole = [tuple(r) for r in d.groupBy(*KEYS[:3]).agg(F.sum("size"), F.count("*")).collect()]  # bounded: see BUCKETS and LARGE
+    mean = max(1, total // (old_shards * buckets))
+    cut = [(*k, min(n, -(-size // mean))) for *k, size, n in whole if size > 4 * mean and n > 1]
+    if not cut:
+        return d.withColumn("part", F.lit(0)), [((*k, 0), size) for *k, size, _ in whole]
+    parts = rows.sparkSession.createDataFrame(cut, "old int, large boolean, bucket long, parts int")
+    d = d.join(F.broadcast(parts), KEYS[:3], "left").withColumn("part", F.pmod("place", F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    return d, [(tuple(r)[:4], r[4]) for r in d.groupBy(*KEYS).agg(F.sum("size")).collect()]  # at most twice as many
 
 
 def min_cost_flow(supply: list[int], demand: list[int], home: list[int | None]) -> dict[tuple[int, int], int]:
@@ -95,135 +119,91 @@ def min_cost_flow(supply: list[int], demand: list[int], home: list[int | None])
     return {k: v for k, v in flow.items() if v}
 
 
-def plan_blocks(blocks: list[tuple], new_shards: int) -> dict[tuple, int]:
-    """New shard of each block. ``blocks``: (key, old shard, bytes). Capacities are equal; old shard i stays at new shard i."""
-    olds = sorted({b[1] for b in blocks})
+def plan_blocks(blocks: list[tuple[tuple, int]], new_shards: int) -> dict[tuple, int]:
+    """New shard of each block (key, bytes), whose old shard comes first in its key. Capacities are equal; old shard i stays at new shard i."""
     by_old = defaultdict(list)
-    for b in sorted(blocks, key=lambda b: (-b[2], str(b[0]))):
-        by_old[b[1]].append(b)
-    total = sum(b[2] for b in blocks)
+    for key, size in sorted(blocks, key=lambda b: (-b[1], b[0])):
+        by_old[key[0]].append((key, size))
+    olds, total = sorted(by_old), sum(size for _, size in blocks)
     capacity = [total // new_shards + (j < total % new_shards) for j in range(new_shards)]
-    supply = [sum(b[2] for b in by_old[o]) for o in olds]
-    flow = min_cost_flow(supply, capacity, [o if 0 <= o < new_shards else None for o in olds])
-    out, load = {}, [0] * new_shards
+    flow = min_cost_flow([sum(size for _, size in by_old[o]) for o in olds], capacity, [o if 0 <= o < new_shards else None for o in olds])
+    out, owed = {}, [0] * new_shards
     for k, o in enumerate(olds):
-        due = {j: f for (i, j), f in flow.items() if i == k}
-        for key, _, size in by_old[o]:  # long blocks first, each to the new shard that is owed most
-            j = max(due, key=lambda j: (due[j], -j))
+        due = {j: f + owed[j] for (i, j), f in flow.items() if i == k}
+        for key, size in by_old[o]:  # long blocks first, each to the new shard that is owed most
+            j = max(due, key=lambda j: (due[j], j == o, -j))
             out[key] = j
             due[j] -= size
-            load[j] += size
-    _even_out(blocks, out, load, capacity)
+        for j, left in due.items():
+            owed[j] = left
     return out
 
 
-def _even_out(blocks: list[tuple], out: dict[tuple, int], load: list[int], capacity: list[int], steps: int = 400) -> None:
-    """Move or swap single blocks from the fullest to the emptiest shard while that lowers the gap."""
-    held = defaultdict(list)
-    for key, _, size in blocks:
-        held[out[key]].append((size, str(key), key))
-    for _ in range(steps):
-        over = max(range(len(load)), key=lambda j: (load[j] - capacity[j], j))
-        under = min(range(len(load)), key=lambda j: (load[j] - capacity[j], j))
-        gap = (load[over] - capacity[over]) - (load[under] - capacity[under])
-        a, b = sorted(held[over]), [(0, "", None), *sorted(held[under])]
-        best, k = None, 0
-        for x in a:  # wanted: x - y as near gap / 2 as possible, both lists sorted
-            while k + 1 < len(b) and abs(x[0] - b[k + 1][0] - gap / 2) <= abs(x[0] - b[k][0] - gap / 2):
-                k += 1
-            miss = abs(x[0] - b[k][0] - gap / 2)
-            if best is None or miss < best[0]:
-                best = (miss, x, b[k])
-        if best is None or best[0] >= gap / 2:
-            return
-        _, x, y = best
-        for item, source, goal in ((x, over, under), (y, under, over)):
-            if item[2] is not None:
-                held[source].remove(item)
-                held[goal].append(item)
-                out[item[2]] = goal
-                load[source] -= item[0]
-                load[goal] += item[0]
-
-
-def _assigned(docs: DataFrame, old_shards: int, new_shards: int, old_shard: Column | None, text: str, doc_id: str) -> tuple[DataFrame, list[tuple], dict[tuple, int]]:
-    """docs as ``row`` beside size, block and ``text``; a (key, old shard, bytes, rows) tuple per block; the new shard of each block."""
-    base = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    d = with_blocks(base, old_shards, old_shard, "text", "doc_id")
-    counts = [(tuple(r[:3]), r[0], r[3], r[4]) for r in d.groupBy(*KEYS).agg(F.sum("size"), F.count("*")).collect()]  # bounded: see BUCKETS and LARGE
-    return d, counts, plan_blocks([c[:3] for c in counts], new_shards)
-
-
 def _crc() -> Column:
     return F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
 
 
-def reshard(docs: DataFrame, old_shards: int = 12, new_shards: int = 16, old_shard: Column | None = None, text: str = "text", doc_id: str = "doc_id", keep: bool = False) -> DataFrame:
-    """The plan alone, a row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard; with ``keep`` also ``row``, all its columns.
-
-    ``law`` is ``bytes``: sizes of new shards are as near equal as blocks allow.
-    """
-    d, counts, shard = _assigned(docs, old_shards, new_shards, old_shard, text, doc_id)
-    d = d.select(*KEYS, "doc_id", "size", "mixed", _crc(), *(["row"] if keep else []))
-    rows, start = [0] * new_shards, []
-    for key, _, _, n in sorted(counts, key=lambda c: str(c[0])):
-        start.append((*key, shard[key], rows[shard[key]]))
-        rows[shard[key]] += n
-    where = docs.sparkSession.createDataFrame(start, "old int, large boolean, bucket long, shard int, start long")
-    own = Window.partitionBy(*KEYS).orderBy("mixed", "doc_id")
-    out = d.join(F.broadcast(where), KEYS, "left").withColumn("slot", F.col("start") + F.row_number().over(own) - 1)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"), *(["row"] if keep else []))
-
-
 def lay_out(docs: DataFrame, path: str, shards: int, text: str = "text", doc_id: str = "doc_id") -> None:
     """Write docs below ``path`` as a layout of hash shards, a folder shard=N each."""
-    docs.withColumn("shard", _hash_shard(F.xxhash64(F.col(doc_id), F.col(text)), shards)).write.partitionBy("shard").parquet(path)
+    name = free_name("shard", docs.columns)
+    docs.withColumn(name, _hash_shard(F.xxhash64(F.col(doc_id), F.col(text)), shards)).write.partitionBy(name).parquet(path)
 
 
-def read_layout(spark: SparkSession, path: str, columns: T.StructType) -> DataFrame:
-    """``columns`` of the documents of a layout, ``_old_shard`` (null in files that no resharding wrote) and ``shard``. An empty layout has no rows."""
-    return spark.read.schema(T.StructType([*columns, T.StructField("_old_shard", T.IntegerType()), T.StructField("shard", T.IntegerType())])).parquet(path)
+class Layout:
+    """The files of a layout of documents with given columns. An empty layout has no rows.
 
-
-def rewrite_affected(placed: DataFrame, path: str, old_shards: int) -> list[int]:
-    """Write the shards that gain or lose rows below ``path`` as shard=N; the others keep their old files. Returns the shards written or removed.
-
-    ``placed`` has ``row``, ``shard`` and ``old_shard``, as ``reshard(..., keep=True)``. It may read ``path``: new
-    files replace the old ones of their shard only when all are written. Afterwards it must not be read again. A row
-    for each pair of an old and a new shard reaches the driver.
+    Files that a resharding wrote also say from which old shard a row came.
     """
-    spark = placed.sparkSession
-    pairs = [tuple(r) for r in placed.select("old_shard", "shard").distinct().collect()]
-    touched = sorted({s for a, b in pairs if a != b for s in (a, b)})
-    columns = [c for c in placed.schema["row"].dataType.names if c not in ("shard", "_old_shard")]
-    rows = placed.filter(F.col("shard").isin(touched) | (F.col("shard") >= old_shards)).select(*(F.col("row").getField(c).alias(c) for c in columns), F.col("old_shard").alias("_old_shard"), "shard")
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
-    for s in set(touched) - {b for _, b in pairs}:  # it lost all its rows
-        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={s}")
-        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
-    return touched
+
+    def __init__(self, spark: SparkSession, path: str, columns: T.StructType):
+        self.spark, self.path, self.columns = spark, path, columns
+        self.shard, self.came_from = (free_name(x, columns.names) for x in ("shard", "_old_shard"))
+
+    def read(self) -> DataFrame:
+        """Its rows: ``row`` (the columns), ``shard``, ``came_from``, ``file`` and ``at``, the row's number in it."""
+        schema = T.StructType([*self.columns, T.StructField(self.came_from, T.IntegerType()), T.StructField(self.shard, T.IntegerType())])
+        d = self.spark.read.schema(schema).parquet(self.path)
+        return d.select(F.struct(*(d[c] for c in self.columns.names)).alias("row"), F.col(self.shard).alias("shard"), F.col(self.came_from).alias("came_from"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+
+    def rewrite(self, placed: DataFrame, old_shards: int) -> list[int]:
+        """Write the shards that gain or lose rows; the others keep their old files. Returns the shards written or removed.
+
+        ``placed`` has ``row``, ``shard`` and ``old``. It may read this layout: new files replace the old ones of
+        their shard only when all are written. Afterwards it must not be read again. A row for each pair of an old
+        and a new shard reaches the driver.
+        """
+        pairs = [tuple(r) for r in placed.select("old", "shard").distinct().collect()]
+        touched = sorted({s for a, b in pairs if a != b for s in (a, b)})
+        moved = placed.filter(F.col("shard").isin(touched) | (F.col("shard") >= old_shards))
+        rows = moved.select(*(F.col("row")[c].alias(c) for c in self.columns.names), F.col("old").alias(self.came_from), F.col("shard").alias(self.shard))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.shard).parquet(self.path)
+        for s in set(touched) - {b for _, b in pairs}:  # it lost all its rows
+            common.remove(self.spark, f"{self.path}/{self.shard}={s}")
+        return touched
 
 
 def read_placed(layout: DataFrame, touched: list[int], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``reshard``, all from the files of a layout in which ``touched`` are the shards last written.
+    """A row per document of a layout in which ``touched`` are the shards last written: doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard.
 
-    A slot is a row's place in its shard: the rows in files of a lesser name and its index in its own file. The
-    number of rows of each file is broadcast.
+    ``law`` is ``bytes``: sizes of new shards are as near equal as blocks allow. A slot is a row's place in its shard:
+    the rows in files of a lesser name and its number in its own file. The number of rows of each file is broadcast.
     """
-    file = F.col("_metadata.file_name").alias("file")
     before = Window.partitionBy("shard").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = layout.select("shard", file).groupBy("shard", "file").count().select("shard", "file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    rows = layout.select("shard", file, F.col("_metadata.row_index").alias("at"), F.when(F.col("shard").isin(touched), F.col("_old_shard")).otherwise(F.col("shard")).alias("old_shard"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    starts = layout.groupBy("shard", "file").count().select("shard", "file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    rows = layout.select("shard", "file", "at", F.when(F.col("shard").isin(touched), F.col("came_from")).otherwise(F.col("shard")).alias("old_shard"), F.col("row")[doc_id].alias("doc_id"), F.col("row")[text].alias("text"))
     out = rows.join(F.broadcast(starts), ["shard", "file"])
     return out.select("doc_id", _size("text").alias("size"), _crc(), F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("at")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
 def reshard_layout(spark: SparkSession, path: str, columns: T.StructType, old_shards: int = 12, new_shards: int = 16, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Reshard the layout below ``path`` in place: plan from its files, rewrite the affected shards, and read all back as the rows of ``reshard``."""
-    d, _, shard = _assigned(read_layout(spark, path, columns), old_shards, new_shards, F.col("row.shard"), text, doc_id)
-    where = spark.createDataFrame([(*key, s) for key, s in shard.items()], "old int, large boolean, bucket long, shard int")
-    touched = rewrite_affected(d.join(F.broadcast(where), KEYS).select("row", "shard", F.col("old").alias("old_shard")), path, old_shards)
-    return read_placed(read_layout(spark, path, columns), touched, text, doc_id)
+    """Reshard the layout below ``path`` in place: plan from its files, rewrite the affected shards, and read all back (``read_placed``)."""
+    layout = Layout(spark, path, columns)
+    own_id, own_text = F.col("row")[doc_id], F.col("row")[text]
+    rows = layout.read().select("row", F.col("shard").alias("old"), F.xxhash64(own_id, own_text).alias("mixed"), F.xxhash64("file", "at").alias("place"), (F.coalesce(F.octet_length(own_text), F.lit(0)) + 1).cast("long").alias("size"))
+    d, blocks = with_blocks(rows, old_shards)
+    where = spark.createDataFrame([(*key, s) for key, s in plan_blocks(blocks, new_shards).items()], f"{BLOCK}, shard int")
+    touched = layout.rewrite(d.join(F.broadcast(where), KEYS).select("row", "shard", "old"), old_shards)
+    return read_placed(layout.read(), touched, text, doc_id)
 
 
 def reshard_documents(docs: DataFrame, path: str, old_shards: int = 12, new_shards: int = 16, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
