@@ -3,25 +3,33 @@
 ``parse_arc`` walks an ARC file by its version block, its header lines (5 fields
 in version 1, 10 in version 2) and the lengths they declare. ``convert`` turns
 each record into a WARC record with a synthesised identifier, ISO timestamp,
-type and SHA-1 digests. ``mark_revisits`` keeps one response for each payload.
-``write_warc`` writes gzip-compressed WARC files through Spark's own writer and
-``read_warc`` reads them back by declared lengths.
+type and SHA-1 digests. ``repeated`` finds the response that stays for each
+payload that is there more than once, from digests alone; ``mark_revisits`` lets
+the others refer to it. ``write_warc`` writes WARC files in which each record is
+a gzip member of its own, so that tools can seek, and ``read_warc`` reads them
+back by declared lengths. Both formats go through Spark's text writer, so any
+file system will do; its files end in .txt or .txt.gz.
 
 Null page ids sort below all others and stay null; a null html is an empty
 payload; a null URL becomes ``urn:null``; white space in URLs is percent-encoded.
-Repeated rows become records of their own, of which one is the response. A header line
-that cannot be read, or a length beyond the file's end, ends that file with a
-row of type ``error``; later files are still read. Other columns are ignored.
+Repeated rows become records of their own, of which one is the response. Very
+long pages are records like any other: files are cut by bytes and read record by
+record. A header line that cannot be read, or a length beyond the file's end,
+ends that file with a row of type ``error``; later files are still read. No
+pages, no files, no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -34,6 +42,10 @@ from . import common
 V1_FIELDS = "URL IP-address Archive-date Content-type Archive-length"
 V2_FIELDS = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
 RECORDS_PER_FILE = 2000
+#: Bytes after which an ARC file ends, or a batch of rows.
+FILE_BYTES = 48_000_000
+#: Repeated payloads up to this number are announced to all tasks; beyond it records are dealt by digest.
+ANNOUNCED = 100_000
 RECORD = "record_id string, warc_type string, target_uri string, warc_date string, ip string, content_type string, page_id long, payload_bytes long, payload_digest string, block_digest string, header_bytes int, block binary"
 READ = "record_id string, warc_type string, target_uri string, warc_date string, page_id long, payload_bytes long, payload_digest string, refers_to_id string, payload binary, error string"
 
@@ -67,21 +79,43 @@ def arc_file(name: str, version: int, date: str, records: list[tuple[str, bytes]
 
 
 def arc_archives(pages: DataFrame, date: str = "20000101000000", page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(archive, content): pages as ARC files, one a batch, of version 1 or 2 by their content. Names hold partition and batch, so that equal batches differ."""
+    """(archive, content): pages as ARC files of version 1 or 2 by their content, cut by records and bytes.
+
+    Names hold partition and number, so that equal files differ.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        for number, batch in enumerate(batches):
-            if not batch.num_rows:
-                continue
-            rows = [(_word(u), http_block(h, i)) for i, u, h in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        task, number = TaskContext.get().partitionId(), 0
+        rows, held = [], 0
+
+        def file() -> pa.RecordBatch:
             content = hashlib.sha1(b"".join(hashlib.sha1(u.encode() + b).digest() for u, b in rows)).hexdigest()[:20]
             name = f"{content}-{task}-{number}"
-            yield pa.RecordBatch.from_arrays([pa.array([f"{name}.arc"]), pa.array([arc_file(name, 1 + int(content, 16) % 2, date, rows)], pa.binary())], names=["archive", "content"])
+            return pa.RecordBatch.from_arrays([pa.array([f"{name}.arc"]), pa.array([arc_file(name, 1 + int(content, 16) % 2, date, rows)], pa.binary())], names=["archive", "content"])
+
+        for batch in batches:
+            for i, u, h in zip(*batch.columns, strict=True):
+                rows.append((_word(u.as_py()), http_block(h.as_py(), i.as_py())))
+                held += len(rows[-1][1])
+                if len(rows) == RECORDS_PER_FILE or held >= FILE_BYTES:
+                    yield file()
+                    rows, held, number = [], 0, number + 1
+        if rows:
+            yield file()
 
     return pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), common.text_bytes(html).alias("html")).mapInArrow(run, "archive string, content binary")
 
 
+def write_arc(archives: DataFrame, path: str) -> None:
+    """Each archive as a gzip-compressed ARC file below ``path``; its last line end is the writer's."""
+    whole = F.substring("content", F.lit(1), F.octet_length("content") - 1).cast("string")
+    archives.select(whole.alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+
+
+def plain(content: bytes) -> bytes:
+    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+
+
 def parse_arc(content: bytes) -> Iterator[dict]:
     """Records in file order: url, ip, date, type, block, at; or, last, an error."""
     at, fields = 0, None
@@ -144,92 +178,118 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def _packed(rows: Iterator[tuple], schema: str, size: int = 256) -> Iterator[pa.RecordBatch]:
-    out: list[tuple] = []
+    out, held = [], 0
     for r in rows:
         out.append(r)
-        if len(out) == size:
+        held += sum(len(x) for x in r if isinstance(x, bytes))
+        if len(out) == size or held >= FILE_BYTES:
             yield _rows(out, schema)
-            out = []
+            out, held = [], 0
     yield _rows(out, schema)
 
 
-def convert(archives: DataFrame) -> DataFrame:
-    """WARC records (``RECORD``) of ARC files given as (archive, content) rows."""
+def convert(archives: DataFrame, block: bool = True) -> DataFrame:
+    """WARC records (``RECORD``) of ARC files given as (archive, content) rows; without ``block`` all but the bytes."""
+    schema = RECORD if block else RECORD.removesuffix(", block binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _packed((warc_record(a, r) for b in batches for a, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in parse_arc(c or b"")), RECORD)
+        rows = (warc_record(a.as_py(), r) for b in batches for a, c in zip(*b.columns, strict=True) for r in parse_arc(plain(c.as_py() or b"")))
+        yield from _packed(rows if block else (r[:-1] for r in rows), schema)
 
-    return archives.select("archive", "content").mapInArrow(run, RECORD)
+    return archives.select("archive", "content").mapInArrow(run, schema)
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, content) of the ARC files below a folder."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("archive"), "content")
+    """(archive, content) of the ARC files below a folder, named by their files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.substring_index("path", "/", -1).alias("archive"), "content")
+
+
+def _eligible(min_payload: int) -> Column:
+    return (F.col("warc_type") == "response") & (F.col("payload_bytes") >= min_payload)
 
 
-def mark_revisits(records: DataFrame, min_payload: int = 0) -> DataFrame:
-    """Of responses with equal payloads of at least ``min_payload`` bytes the one with the largest page id stays; the others become revisits without payload.
+def repeated(records: DataFrame, min_payload: int = 0) -> DataFrame:
+    """(digest, kept): for each payload of at least ``min_payload`` bytes that several responses have, the record id of the one with the largest page id.
 
-    Adds ``refers_to_id``. Only digests are grouped, with partial sums, so a
-    payload that a third of all records share is one row per task.
+    Only digests are grouped, with partial sums, so a payload that a third of all records share is one row per task.
     """
-    eligible = (F.col("warc_type") == "response") & (F.col("payload_bytes") >= min_payload)
-    first = records.filter(eligible).groupBy(F.col("payload_digest").alias("d")).agg(F.max(F.struct(F.coalesce("page_id", F.lit(-(2**63))), "record_id"))["record_id"].alias("kept"), F.count("*").alias("n")).filter("n > 1")
-    joined = records.join(first, eligible & (F.col("payload_digest") == F.col("d")), "left")
-    again = F.col("kept").isNotNull() & (F.col("kept") != F.col("record_id"))
-    return joined.withColumns({"warc_type": F.when(again, "revisit").otherwise(F.col("warc_type")), "refers_to_id": F.when(again, F.col("kept")), "block": F.when(again, F.substring("block", F.lit(1), F.col("header_bytes"))).otherwise(F.col("block"))}).drop("d", "n", "kept")
+    best = F.max(F.struct(F.coalesce("page_id", F.lit(-(2**63))), "record_id"))["record_id"].alias("kept")
+    return records.filter(_eligible(min_payload)).groupBy(F.col("payload_digest").alias("digest")).agg(best, F.count("*").alias("n")).filter("n > 1").select("digest", "kept")
 
 
-def _serialised() -> Column:
-    """The bytes of a record but for the line end that the writer adds."""
+def mark_revisits(records: DataFrame, again: DataFrame, min_payload: int = 0) -> DataFrame:
+    """``records`` plus ``refers_to_id``: of the payloads in ``again``, a table of ``repeated``, all responses but one become revisits without payload."""
+    few = again.count() <= ANNOUNCED
+    joined = records.join(F.broadcast(again) if few else again, _eligible(min_payload) & (F.col("payload_digest") == F.col("digest")), "left")
+    revisit = F.col("kept").isNotNull() & (F.col("kept") != F.col("record_id"))
+    changed = {"warc_type": F.when(revisit, "revisit").otherwise(F.col("warc_type")), "refers_to_id": F.when(revisit, F.col("kept")), "block": F.when(revisit, F.substring("block", F.lit(1), F.col("header_bytes"))).otherwise(F.col("block"))}
+    return joined.withColumns(changed).drop("digest", "kept")
 
-    def line(name: str, value: Column) -> Column:
-        return F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n"))).otherwise("")
 
-    head = F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.col("warc_type")), line("WARC-Record-ID", F.col("record_id")), line("WARC-Date", F.col("warc_date")), line("WARC-Target-URI", F.col("target_uri")), line("WARC-IP-Address", F.col("ip")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), line("WARC-Block-Digest", F.when(F.col("warc_type") != "revisit", F.concat(F.lit("sha1:"), F.col("block_digest")))), line("WARC-Refers-To", F.col("refers_to_id")),
-        F.when(F.col("warc_type") == "revisit", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n").otherwise(""),
-        line("Content-Type", F.col("content_type")), line("Content-Length", F.octet_length("block")), F.lit("\r\n"),
-    )
-    return F.concat(head.cast("binary"), F.col("block"), F.lit("\r\n").cast("binary")).cast("string")
+def warc_member(r: dict) -> bytes:
+    """A record (a row of ``RECORD`` with ``refers_to_id``) as a gzip member that ends in a zero byte."""
+    revisit = r["warc_type"] == "revisit"
+    lines = {
+        "WARC-Type": r["warc_type"], "WARC-Record-ID": r["record_id"], "WARC-Date": r["warc_date"], "WARC-Target-URI": r["target_uri"], "WARC-IP-Address": r["ip"],
+        "WARC-Payload-Digest": f"sha1:{r['payload_digest']}", "WARC-Block-Digest": None if revisit else f"sha1:{r['block_digest']}", "WARC-Refers-To": r["refers_to_id"],
+        "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if revisit else None, "Content-Type": r["content_type"], "Content-Length": len(r["block"]),
+    }
+    head = "".join(f"{k}: {v}\r\n" for k, v in lines.items() if v is not None)
+    out = gzip.compress(f"WARC/1.1\r\n{head}\r\n".encode() + r["block"] + b"\r\n\r\n", 4, mtime=0)
+    return out if out[-1] == 0 else out + gzip.compress(b"", mtime=0)  # a record of 16 MB or more; an empty member says nothing
 
 
 def write_warc(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Gzip-compressed WARC files below ``path``; error rows are not written."""
-    rows = records.filter("warc_type != 'error'").select(_serialised().alias("value"))
-    rows.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
-
-
-def parse_warc(content: bytes) -> Iterator[tuple]:
-    """Rows of ``READ`` of a WARC file, compressed or not."""
-    if content[:2] == b"\x1f\x8b":
-        plain = []
-        while content:
-            d = zlib.decompressobj(31)
-            plain.append(d.decompress(content))
-            content = d.unused_data
-        content = b"".join(plain)
-    at = 0
-    while at < len(content):
-        if content[at : at + 2] == b"\r\n":
-            at += 2
+    """WARC files below ``path``, a gzip member a record; error rows are not written.
+
+    The text writer must end each value; it ends it with the zero byte that is a member's last.
+    """
+    names = [*(x.split()[0] for x in RECORD.split(", ")), "refers_to_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((warc_member(dict(zip(names, (x.as_py() for x in r), strict=True)))[:-1],) for b in batches for r in zip(*b.columns, strict=True))
+        yield from _packed(rows, "value binary")
+
+    packed = records.filter("warc_type != 'error'").select(*names).mapInArrow(run, "value binary")
+    packed.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
+
+
+def parse_warc(file: BinaryIO) -> Iterator[tuple]:
+    """Rows of ``READ`` of a WARC file, one record in memory at a time."""
+    number = 0
+    while first := file.readline():
+        if first == b"\r\n":
             continue
-        stop = content.find(b"\r\n\r\n", at)
-        head = content[at:stop].decode("utf-8", "replace").split("\r\n")
-        field = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in head[1:])}
+        number += 1
+        field = {}
+        while (line := file.readline()) not in (b"\r\n", b""):
+            k, _, v = line.decode("utf-8", "replace").partition(":")
+            field[k.lower()] = v.strip()
         length = field.get("content-length", "")
-        if stop < 0 or not head[0].startswith("WARC/") or not length.isdigit() or stop + 4 + int(length) > len(content):
-            yield (None, "error", None, None, None, None, None, None, None, f"record at byte {at}")
+        block = file.read(int(length)) if length.isdigit() else b""
+        if not line or not first.startswith(b"WARC/") or not length.isdigit() or len(block) != int(length):
+            yield (None, "error", None, None, None, None, None, None, None, f"record {number}")
             return
-        block = content[stop + 4 : stop + 4 + int(length)]
         cut = block.find(b"\r\n\r\n") + 4 if block.startswith(b"HTTP/") else 0
         payload = block[cut:]
         m = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", block[:cut])
         kind, said = field.get("warc-type"), field.get("warc-payload-digest", "").removeprefix("sha1:")
         own = None if kind == "revisit" else digest(payload)
         yield (field.get("warc-record-id"), kind, field.get("warc-target-uri"), field.get("warc-date"), int(m[1]) if m else None, None if own is None else len(payload), own or said, field.get("warc-refers-to"), None if own is None else payload, None if own in (None, said) else "payload digest")
-        at = stop + 4 + int(length)
+
+
+def opened(content: bytes) -> BinaryIO:
+    """A file's bytes, gzip members or plain, to be read bit by bit."""
+    raw = io.BytesIO(content)
+    return io.BufferedReader(gzip.GzipFile(fileobj=raw)) if content[:2] == b"\x1f\x8b" else raw
+
+
+def _records(content: bytes) -> Iterator[tuple]:
+    try:
+        yield from parse_warc(opened(content))
+    except (EOFError, OSError, zlib.error) as e:  # cut off or damaged
+        yield (None, "error", None, None, None, None, None, None, None, str(e))
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
@@ -237,17 +297,25 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
     schema = READ if payload else READ.replace("payload binary, ", "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for c in b.column(0).to_pylist() for r in parse_warc(c))
+        rows = (r for b in batches for c in b.column(0) for r in _records(c.as_py()))
         yield from _packed(rows if payload else (r[:8] + r[9:] for r in rows), schema)
 
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content").mapInArrow(run, schema)
 
 
+def convert_files(spark: SparkSession, arc: str, warc: str, min_payload: int = 0) -> None:
+    """The ARC files below ``arc`` as WARC files below ``warc``. The files are read twice, so that no payload is shuffled: once for digests, once to be written."""
+    archives = read_arc(spark, arc)
+    again = common.cut(repeated(convert(archives, block=False), min_payload))
+    write_warc(mark_revisits(convert(archives), again, min_payload), warc)
+
+
 def round_trip(pages: DataFrame, folder: str, min_payload: int = 0) -> DataFrame:
-    """Pages to ARC, to WARC files below ``folder``, and back: a row per page."""
+    """Pages to ARC files below ``folder``, to WARC files there, and back: a row per page."""
     spark = pages.sparkSession
-    write_warc(mark_revisits(convert(arc_archives(pages)), min_payload), folder)
-    back = common.cut(read_warc(spark, folder, payload=False).filter("warc_type in ('response', 'revisit', 'error')"))
+    write_arc(arc_archives(pages), f"{folder}/arc")
+    convert_files(spark, f"{folder}/arc", f"{folder}/warc", min_payload)
+    back = common.cut(read_warc(spark, f"{folder}/warc", payload=False).filter("warc_type in ('response', 'revisit', 'error')"))
     kept = back.filter("warc_type = 'response'").select(F.col("record_id").alias("kept_id"), F.col("page_id").alias("kept_page"), F.col("payload_bytes").alias("kept_bytes"))
     out = back.join(kept, F.col("refers_to_id") == F.col("kept_id"), "left")
     return out.select("page_id", F.coalesce("payload_bytes", "kept_bytes").alias("payload_bytes"), "payload_digest", F.col("warc_type").alias("record_type"), F.col("kept_page").alias("refers_to"), "record_id", "target_uri", "warc_date", "error")

@@ -365,13 +365,40 @@ def test_warc_round_trip(spark, tmp_path, least):
     assert warc.round_trip(pages.limit(0), str(tmp_path / "empty")).count() == 0
 
 
-def test_equal_batches_have_their_own_archives(spark, tmp_path):
-    one = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+def test_repeated_rows_are_records_of_their_own(spark, tmp_path, monkeypatch):
+    one = spark.createDataFrame([(*r, "x") for r in PAGES], "page_id long, url string, html string, payload_digest string")
     pages = one.unionAll(one).unionAll(one)  # each batch three times, in partitions of its own
     assert warc.arc_archives(pages).select("archive").distinct().count() == 3 * warc.arc_archives(one).count()
-    got = warc.round_trip(pages, str(tmp_path / "w")).collect()
-    assert len(got) == 3 * len(PAGES) == len({r.record_id for r in got})
-    assert Counter(r.record_type for r in got)["response"] == len({h or "" for _, _, h in PAGES})
+    for announced in (warc.ANNOUNCED, 0):
+        monkeypatch.setattr(warc, "ANNOUNCED", announced)
+        got = warc.round_trip(pages, str(tmp_path / f"w{announced}")).collect()
+        assert len(got) == 3 * len(PAGES) == len({r.record_id for r in got})
+        assert Counter(r.record_type for r in got)["response"] == len({h or "" for _, _, h in PAGES})
+    same = spark.createDataFrame([(1, "u", "<p>x</p>")] * 4, "page_id long, url string, html string").repartition(4)
+    assert sorted(r.record_type for r in warc.round_trip(same, str(tmp_path / "same")).collect()) == ["response"] + ["revisit"] * 3
+
+
+def test_files_hold_a_member_a_record(spark, tmp_path):
+    import gzip
+    import zlib
+
+    pages = spark.createDataFrame([(1, "u", "<p>x</p>"), (2, "u", "y" * 20_000_000), (3, "u", "<p>x</p>")], "page_id long, url string, html string").coalesce(1)
+    assert warc.round_trip(pages, str(tmp_path)).count() == 3
+    (arc,) = (tmp_path / "arc").glob("part-*")
+    assert gzip.decompress(arc.read_bytes()).startswith(b"filedesc://")
+    (archive,) = warc.read_arc(spark, str(tmp_path / "arc")).collect()
+    assert archive.archive == arc.name and [r["error"] for r in warc.parse_arc(warc.plain(archive.content))] == [None] * 4
+    (file,) = (tmp_path / "warc").glob("part-*")
+    rest, members = file.read_bytes(), []
+    while rest:
+        d = zlib.decompressobj(31)
+        members.append(d.decompress(rest))
+        assert d.eof
+        rest = d.unused_data
+    assert [m[:10] for m in members if m] == [b"WARC/1.1\r\n"] * 4 and all(m.endswith(b"\r\n\r\n") for m in members if m)
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "x").write_bytes(file.read_bytes()[:-2000])
+    assert [r.warc_type for r in warc.read_warc(spark, str(tmp_path / "cut")).collect()][-1] == "error"
 
 
 @pytest.mark.parametrize("version", [1, 2])
