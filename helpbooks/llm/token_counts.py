@@ -4,12 +4,15 @@
 byte-pair vocabulary; each task sends one row per distinct length. ``suffix_sums``
 adds, for every length L of the histogram, what a context limit of L would keep.
 A null text is empty and has 0 tokens; an empty table gives an empty result;
-repeated rows count each; other columns are never read.
+repeated rows count each; other columns are never read. Very long texts are
+encoded whole, one at a time; long runs of white space, which the splitting
+pattern alone can't walk through, are cut out first where it would cut them.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +25,18 @@ from . import common
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary splits text before merging (published with it).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space as the pattern has it, in runs that are cut out before splitting.
+LONG_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
+
+def n_tokens(coder, text: str) -> int:
+    """Tokens of a text. Of a run of white space before other letters the pattern leaves the last one to what follows."""
+    n, at = 0, 0
+    for m in LONG_RUN.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        n += len(coder.encode_ordinary(text[at : m.start()])) + len(coder._encode_single_piece(text[m.start() : end].encode()))
+        at = end
+    return n + len(coder.encode_ordinary(text[at:]))
 
 
 def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
@@ -37,8 +52,9 @@ def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str = VOCA
         coder = tiktoken.Encoding("lengths", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         total: dict[int, int] = {}
         for batch in batches:
-            for tokens in coder.encode_ordinary_batch(common.strings(batch.column(0)), num_threads=1):
-                total[len(tokens)] = total.get(len(tokens), 0) + 1
+            for text in common.strings(batch.column(0)):
+                n = n_tokens(coder, text)
+                total[n] = total.get(n, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["n_tokens", "n_docs"])
 
     parts = docs.select(common.text_bytes(text).alias("text")).mapInArrow(count, "n_tokens long, n_docs long")

@@ -89,6 +89,24 @@ def test_token_histogram(spark, make, sample):
     assert token_counts.suffix_sums(token_counts.length_histogram(make([(1, "a", "s")]).limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 20_000 + "b", " " * 20_001, "x\n" + "\n" * 15_000 + "7", "\t" * 12_000 + " b " + "\u3000" * 11_000 + "!", "a\x1c" * 12_000])
+def test_long_white_space_is_cut_where_the_pattern_cuts(text):
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(token_counts.VOCABULARY, "rb"))}
+    coder = tiktoken.Encoding("t", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert token_counts.n_tokens(coder, text) == len(coder.encode_ordinary(text))
+
+
+def test_very_long_texts(make):
+    rows = [(1, " " * 2_000_000 + "a", "s"), (2, "ab " * 1_000_000, "s"), (3, "7" * 1_500_000, "s")]
+    assert token_counts.length_histogram(make(rows)).count() == 3
+    spans = {r.doc_id: r for r in secrets.find(make([*rows, (4, "x " * 2_000_000 + "password=Zq8vT4mLp0xWd", "s"), (5, "token=" + "a1" * 500_000, "s")])).collect()}
+    assert spans[4].spans.startswith("assign:4000000:") and spans[5].n_assign == 1
+
+
 def test_topk(spark):
     rng = np.random.default_rng(3)
     rows = [(int(i), [float(x) for x in rng.normal(size=8) * rng.choice([0.1, 1, 30])]) for i in range(700)]
