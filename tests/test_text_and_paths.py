@@ -16,9 +16,9 @@ def test_windows_1252(spark):
 
 
 def test_strip_html_and_title(spark):
-    page = "<html><head><title>My Page</title></head><body><h1>Hello</h1><script>ignored()</script><p>World &amp; more</p></body></html>"
-    assert values(spark, [page], text.html_title(F.col("a"))) == ["My Page"]
-    assert values(spark, [page], text.strip_html(F.col("a"))) == ["My Page Hello World more"]
+    page = "<!doctype html><title>\n Rain gauges </title><style>b{}</style><p class=x>Empty <b>daily</b>&mdash;at&nbsp;dawn.<SCRIPT>let a = '<p>'</SCRIPT><br/>Note it&#33;"
+    assert values(spark, [page], text.html_title(F.col("a"))) == ["Rain gauges"]
+    assert values(spark, [page], text.strip_html(F.col("a"))) == ["Rain gauges Empty daily at dawn. Note it"]
 
 
 @pytest.mark.parametrize("raw,plain", [("a b c﻿", "a b c"), ("&nbsp;x&#160;<!-- y -->", "x"), ("<STYLE>p{}</style>z", "z"), ("", ""), ("1 < 2", "1 < 2")])
@@ -32,24 +32,24 @@ def test_title_edges(spark):
 
 
 def test_paths(spark):
-    rows = ["/Users/x/My Help.chm", "a\\b\\c.htm", "/x/y/", "plain"]
-    assert values(spark, rows, paths.basename(F.col("a"))) == ["My Help.chm", "c.htm", "y", "plain"]
-    assert values(spark, ["a/b.htm#frag", "a/b.htm", "a#b#c"], paths.strip_fragment(F.col("a"))) == ["a/b.htm", "a/b.htm", "a"]
-    assert values(spark, ["page.htm", "/page.htm", "dir/p.htm#frag", "", None], paths.page_url(F.lit("abc"), F.col("a"))) == ["chm://abc/page.htm", "chm://abc/page.htm", "chm://abc/dir/p.htm#frag", None, None]
-    assert values(spark, ["/Help.CHM", "x.chm\n"], paths.book_title(F.col("a"))) == ["Help", "x.chm\n"]
+    rows = ["/srv/shelf/Garden Year.chm", "C:\\docs\\weeds.htm", "/one/two/three/", "alone", ""]
+    assert values(spark, rows, paths.basename(F.col("a"))) == ["Garden Year.chm", "weeds.htm", "three", "alone", ""]
+    assert values(spark, ["soil/ph.htm#test", "soil/ph.htm", "x##y", "#"], paths.strip_fragment(F.col("a"))) == ["soil/ph.htm", "soil/ph.htm", "x", ""]
+    assert values(spark, ["soil.htm", "/soil.htm", "beds/raised.htm#wood", "", None], paths.page_url(F.lit("g7"), F.col("a"))) == ["chm://g7/soil.htm", "chm://g7/soil.htm", "chm://g7/beds/raised.htm#wood", None, None]
+    assert values(spark, ["/Garden.CHM", "x.chm\n"], paths.book_title(F.col("a"))) == ["Garden", "x.chm\n"]
 
 
 def test_mime_types(spark):
-    rows = ["/page.htm", "/a/b/page.HTML", "/style.css", "/img/logo.gif", "/img/photo.JPG", "/icon.png", "/data.bin", "/#SYSTEM", "/noext", "css"]
-    html = "text/html; charset=windows-1252"
-    want = [html, html, "text/css", "image/gif", "image/jpeg", "image/png", *["application/octet-stream"] * 3, "text/css"]
-    assert values(spark, rows, paths.mime_type(F.col("a"))) == want
+    kinds = [*paths.MIME_TYPES.items(), ("exe", "application/octet-stream"), ("", "application/octet-stream")]
+    for make in ("/beds/plan.{}", "/beds/v2.PLAN.{}", "{}"):
+        assert values(spark, [make.format(end) for end, _ in kinds], paths.mime_type(F.col("a"))) == [k for _, k in kinds]
+    assert values(spark, [f"/x.{end.upper()}" for end, _ in kinds], paths.mime_type(F.col("a"))) == [k for _, k in kinds]
 
 
 def test_safe_paths(spark):
-    good = ["/index.htm", "/tables/OVR.html", "/#SYSTEM", "/a/b/c/d.gif", "/a..b/file.htm", "/version.2.0.htm"]
-    bad = ["/../etc/passwd", "/a/../../b", "/foo/..", "relative/path.htm", ""]
-    assert values(spark, good + bad, paths.is_safe_path(F.col("a"))) == [True] * 6 + [False] * 5
+    good = ["/", "/beds/..plan/x", "/beds/plan..", "/.../x", "/ ../x", "/a.b../c"]
+    bad = ["..", "/..", "/beds/../../x", "//../x", "beds/plan.htm", " /beds"]
+    assert values(spark, good + bad, paths.is_safe_path(F.col("a"))) == [True] * 6 + [False] * 6
 
 
 def test_request_parts(spark):
@@ -63,6 +63,6 @@ def test_excerpt(spark):
     assert got == ["…" + "x" * 79 + " Needle " + "y" * 79 + "…", (long[:160]).strip() + "…", "short"]
 
 
-@pytest.mark.parametrize("raw,plain", [("A&amp;B &lt;x&gt; &#65; &#x42;", "A&B <x> A B"), ("100&unknown;", "100&unknown;"), ("a&nbsp;b", "a b"), ("&#1114112;&#x110000;", "&#1114112;&#x110000;"), ("&amp;lt;", "&lt;"), ("&constructor;", "&constructor;")])
+@pytest.mark.parametrize("raw,plain", [("Salt &AMP; lime &#8364;5 &#x1F331;", "Salt & lime €5 🌱"), ("&mdash;&;&#;&#x;", "&mdash;&;&#;&#x;"), ("&quot;&apos;&gt;", "\"'>"), ("x&nbsp;y", "x\u00a0y"), ("&#1114112;&#x110000;&#xD800;", "&#1114112;&#x110000;&#xD800;"), ("&amp;lt;", "&lt;"), ("&toString;", "&toString;")])
 def test_entities(raw, plain):
     assert entities.decode_entities(raw) == plain
