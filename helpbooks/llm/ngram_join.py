@@ -53,7 +53,7 @@ VALUES, BANDS = 256, 64
 PERMS = 128
 STEP = 16
 TOLERANCE = 1e-9
-BLOCK, BLOCK_BYTES = 1024, 16_000_000
+BLOCK, BLOCK_BYTES = 512, 16_000_000
 #: Candidate texts up to this number are announced to the readers of all texts; beyond it texts are dealt by key.
 ANNOUNCED = 500_000
 _SEEDS = ta.seeds(VALUES, 4)
