@@ -3,16 +3,17 @@
 Postings are a long table, a row per (book, page, field, term); no list per term
 is ever collected. A batch of queries is matched against the dictionary of terms
 first and only then, by equality, against the postings, so prefixes and typing
-errors cost a join on the vocabulary, not on the text. Texts themselves are read
-once more at the end, for the pages that made the cut.
+errors cost a join on the vocabulary, not on the text. ``write_index`` keeps both
+page texts and postings, so that a search reads no page's bytes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
+from ..schemas import PAGES_TEXT, POSTINGS
 
 LEAST_QUERY = 2
 
@@ -44,15 +45,21 @@ def indexable(pages: DataFrame) -> DataFrame:
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(book_id, path, field, term, pos): each word of title and text."""
-    fields = F.explode(F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("value")), F.struct(F.lit("text").alias("field"), F.col("text").alias("value"))))
-    rows = pages.select("book_id", "path", fields.alias("f")).select("book_id", "path", "f.field", text.words(F.col("f.value")).alias("words"))
-    return rows.select("book_id", "path", "field", F.posexplode("words").alias("pos", "term"))
+    """(book_id, path, field, term, pos): each word of title and text of the pages with text.
+
+    Written so that no filter moves below the projection that makes the text, which would make it twice.
+    """
+
+    def field(name: str) -> Column:
+        return F.struct(F.lit(name).alias("field"), F.when(F.length("text") > 0, text.words(F.col(name))).alias("words"))
+
+    rows = pages.select("book_id", "path", F.explode(F.array(field("title"), field("text"))).alias("f"))
+    return rows.select("book_id", "path", "f.field", F.posexplode_outer("f.words").alias("pos", "term")).filter("term is not null")
 
 
 def postings(pages: DataFrame) -> DataFrame:
     """``schemas.POSTINGS``; a page is in one task, so partial counts remove most rows before the shuffle."""
-    grouped = occurrences(indexable(pages)).groupBy("book_id", "path", "field", "term")
+    grouped = occurrences(pages).groupBy("book_id", "path", "field", "term")
     return grouped.agg(F.count("*").alias("tf"), F.min("pos").cast("long").alias("first_pos"))
 
 
@@ -61,6 +68,17 @@ def write_postings(rows: DataFrame, path: str) -> None:
     rows.repartitionByRange("field", "term").sortWithinPartitions("term").write.partitionBy("field").mode("overwrite").parquet(path)
 
 
+def write_index(pages: DataFrame, folder: str) -> None:
+    """Page texts and their postings below ``folder``: pages are decoded and stripped once, for all searches to come."""
+    pages.drop("error").write.mode("overwrite").parquet(f"{folder}/pages")
+    write_postings(postings(pages.sparkSession.read.parquet(f"{folder}/pages")), f"{folder}/postings")
+
+
+def open_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(page texts, postings) of ``write_index``."""
+    return spark.read.schema(PAGES_TEXT).parquet(f"{folder}/pages"), spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
+
+
 def add_pages(old: DataFrame, new_pages: DataFrame, seen: DataFrame) -> DataFrame:
     """old postings plus those of pages not yet in ``seen`` (book_id, path, sha256); adding twice changes nothing.
 
@@ -104,20 +122,46 @@ def edge_matches(terms: DataFrame, tokens: DataFrame) -> DataFrame:
     return edges.join(tokens.select("token").distinct(), "token").select("token", "term")
 
 
-def fuzzy_matches(terms: DataFrame, tokens: DataFrame, fuzzy: float = 0.2) -> DataFrame:
+def _shortened(word: Column, n: int) -> Column:
+    """The different words that taking up to ``n`` letters out of a word leaves."""
+    out = F.array(word)
+    for _ in range(n):
+        fewer = F.flatten(F.transform(F.filter(out, lambda w: w != ""), lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda k: F.concat(F.substring(w, F.lit(1), k - 1), F.substring(w, k + 1, F.length(w))))))
+        out = F.array_distinct(F.concat(out, fewer))
+    return out
+
+
+def fuzzy_matches(terms: DataFrame, tokens: DataFrame, fuzzy: float = 0.2, most_shortened: int = 2) -> DataFrame:
     """(token, term, distance) within round(fuzzy x length) edits; tokens that allow none match exactly.
 
-    Tokens meet terms of every length they allow, so only a band of the
-    vocabulary is compared.
+    Within d edits both leave a common word when at most d letters are taken out of
+    each, so up to ``most_shortened`` edits the two meet on such words, by equality.
+    For more edits, of longer tokens, they meet on pieces: of d + 1 pieces of the
+    token one is in the term as it is, no more than d letters from its place.
     """
     k = tokens.select("token").distinct().withColumn("d", F.floor(F.length("token") * fuzzy + 0.5).cast("int"))
-    k = k.select("token", "d", F.explode(F.sequence(F.greatest(F.lit(1), F.length("token") - F.col("d")), F.length("token") + F.col("d"))).alias("len"))
-    near = k.join(terms.withColumn("len", F.length("term")), "len").withColumn("distance", F.levenshtein("token", "term"))
+    met = k.filter("d = 0").join(terms.select(F.col("term").alias("token")), "token", "left_semi").select("token", "d", F.col("token").alias("term"))
+    for d in range(1, most_shortened + 1):
+        left = k.filter(F.col("d") == d).select("token", "d", F.explode(_shortened(F.col("token"), d)).alias("short"))
+        right = terms.select("term", F.explode(_shortened(F.col("term"), d)).alias("short"))
+        met = met.unionByName(left.join(right, "short").select("token", "d", "term"))
+    n, parts = F.length("token"), F.col("d") + 1
+    cut = F.transform(F.sequence(F.lit(0), F.col("d")), lambda j: F.struct(F.floor(j * n / parts).cast("int").alias("at"), F.floor((j + 1) * n / parts).cast("int").alias("to")))
+    pieces = k.filter(F.col("d") > most_shortened).select("token", "d", F.explode(cut).alias("c")).select("token", "d", "c.at", F.substring(F.col("token"), F.col("c.at") + 1, F.col("c.to") - F.col("c.at")).alias("piece"))
+    places = pieces.select("token", "d", "piece", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("d")), F.col("at") + F.col("d"))).alias("at"))
+    sizes = F.broadcast(pieces.select(F.length("piece").alias("n")).distinct())  # one row for each length of a piece
+    long = terms.select("term", F.length("term").alias("len")).join(sizes, F.col("len") >= F.col("n"))
+    grams = long.select("term", "n", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("n"))).alias("at")).select("term", "at", F.substring(F.col("term"), F.col("at") + 1, F.col("n")).alias("piece"))
+    met = met.unionByName(places.join(grams, ["piece", "at"]).select("token", "d", "term"))
+    near = met.distinct().withColumn("distance", F.levenshtein("token", "term"))
     return near.filter(F.col("distance") <= F.col("d")).select("token", "term", "distance")
 
 
-def _in_scope(query_book: Column, book: Column) -> Column:
-    return query_book.isNull() | (query_book == book)
+def _in_scope(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows joined with wanted (scope, term, ...) on the term and, where a query names its book, on the book as well."""
+    everywhere = rows.join(wanted.filter("scope is null").drop("scope"), "term")
+    within = rows.join(wanted.filter("scope is not null").withColumnRenamed("scope", "book_id"), ["book_id", "term"])
+    return everywhere.unionByName(within)
 
 
 def field_hits(rows: DataFrame, queries: DataFrame, matches: DataFrame | None = None) -> DataFrame:
@@ -125,7 +169,7 @@ def field_hits(rows: DataFrame, queries: DataFrame, matches: DataFrame | None =
     tokens = query_tokens(queries)
     matches = prefix_matches(dictionary(rows), tokens) if matches is None else matches
     wanted = tokens.select("query_id", F.col("book_id").alias("scope"), "token", "n_tokens").join(matches, "token")
-    found = rows.join(wanted, "term").filter(_in_scope(F.col("scope"), F.col("book_id")))
+    found = _in_scope(rows, wanted)
     each = found.groupBy("query_id", "n_tokens", "field", "book_id", "path", "token").agg(F.min("first_pos").alias("first"))
     whole = each.groupBy("query_id", "n_tokens", "field", "book_id", "path").agg(F.count("*").alias("n"), F.sum("first").alias("first"))
     return whole.filter("n = n_tokens").select("query_id", "field", "book_id", "path", "first")
@@ -151,11 +195,17 @@ def score(rank: Column, n: Column) -> Column:
 
 
 def with_meta(top: DataFrame, pages: DataFrame, queries: DataFrame, radius: int = 80) -> DataFrame:
-    """``schemas.HITS``: hits without a page are dropped; texts are touched for the hits alone."""
+    """``schemas.HITS``: hits without a page are dropped. ``pages`` are kept texts, as of ``open_index``, so that none is stripped again."""
     shown = top.join(pages.select("book_id", "path", "title", "text"), ["book_id", "path"]).join(gated(queries).select("query_id", "q"), "query_id")
     return shown.select("query_id", "book_id", "path", "title", "rank", "score", text.excerpt(F.col("text"), F.col("q"), radius).alias("excerpt"))
 
 
+def hit_texts(top: DataFrame, entries: DataFrame, charset: str = "windows-1252") -> DataFrame:
+    """``schemas.PAGES_TEXT`` of the pages in ``top`` alone, for ``with_meta`` where no texts are kept."""
+    hit = top.select("book_id", "path").distinct()
+    return page_texts(entries.join(hit, ["book_id", "path"], "left_semi"), charset).drop("error")
+
+
 def search(pages: DataFrame, rows: DataFrame, queries: DataFrame, limit: int = 30, radius: int = 80) -> DataFrame:
     """A batch of queries (``schemas.QUERIES``) against an index: ranked hits with excerpts."""
     return with_meta(ranked(field_hits(rows, queries), limit), pages, queries, radius)
@@ -175,7 +225,7 @@ def fuzzy_search(rows: DataFrame, queries: DataFrame, limit: int = 50, fuzzy: fl
     tf = rows.groupBy("term", "book_id", "path").agg(F.sum("tf").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     wanted = tokens.select("query_id", F.col("book_id").alias("scope"), "token").join(near, "token").groupBy("query_id", "scope", "term").agg(F.min("off").alias("off"))
-    found = tf.join(wanted, "term").filter(_in_scope(F.col("scope"), F.col("book_id"))).join(df, "term").join(page, ["book_id", "path"]).crossJoin(F.broadcast(about))  # one row
+    found = _in_scope(tf, wanted).join(df, "term").join(page, ["book_id", "path"]).crossJoin(F.broadcast(about))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))) / (1 + F.col("off"))
     total = found.groupBy("query_id", "book_id", "path").agg(F.round(F.sum(weight), 6).alias("weight"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 HOST = r"^https?://([^/?#]+)"
 PATH = r"^https?://[^/?#]+([^?#]*)"
 #: The batch of queries that search jobs run: a common word, a prefix, two words, too short, blank, unknown.
@@ -25,18 +27,20 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def page_paths(spark: SparkSession, folder: str) -> DataFrame:
+def page_paths(spark: SparkSession, folder: str, spread_out: bool = True) -> DataFrame:
     """(page_id, book_id, path, html): pages as files of the book that their host names."""
     raw = F.regexp_extract("url", PATH, 1)
     path = F.when((raw == "") | F.endswith(raw, F.lit("/")), F.concat(F.when(raw == "", "/").otherwise(raw), F.lit("index.html"))).when(raw.rlike(r"(?i)\.html?\z"), raw).otherwise(F.concat(raw, F.lit(".html")))
-    return spread(read(spark, folder, "pages").select("page_id", "url", "html")).select("page_id", F.regexp_extract("url", HOST, 1).alias("book_id"), path.alias("path"), F.coalesce("html", F.lit("")).alias("html"))
+    rows = read(spark, folder, "pages").select("page_id", "url", "html")
+    return (spread(rows) if spread_out else rows).select("page_id", F.regexp_extract("url", HOST, 1).alias("book_id"), path.alias("path"), F.coalesce("html", F.lit("")).alias("html"))
 
 
 def entries(spark: SparkSession, folder: str) -> DataFrame:
-    """``schemas.ENTRIES``; of pages with the same path in a book the first."""
-    p = page_paths(spark, folder)
-    first = p.groupBy("book_id", F.lower("path").alias("k")).agg(F.min("page_id").alias("page_id")).select("page_id")
-    kept = p.join(first, "page_id", "left_semi")
+    """``schemas.ENTRIES``; of pages with the same path in a book the first. Only the ids of the others meet the bytes, not those of all."""
+    key, names = ["book_id", F.lower("path").alias("k")], page_paths(spark, folder, spread_out=False)
+    first = names.groupBy(*key).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    later = names.select("page_id", *key).join(first, ["book_id", "k"]).filter("page_id != first").select("page_id")
+    kept = page_paths(spark, folder).join(later, "page_id", "left_anti")
     return kept.select("book_id", F.col("page_id").alias("ordinal"), "path", F.octet_length("html").cast("long").alias("size"), F.col("html").cast("binary").alias("content"))
 
 
@@ -125,7 +129,16 @@ def opens(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").cast("string").alias("user_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.concat(F.lit("/books/"), F.get_json_object("props", "$.k"), F.lit(".chm")).alias("file_path"))
 
 
-_SPACE = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_SPACE = text.SPACE
+
+
+def _replaced(value: str, patterns: tuple[str, ...], by: str) -> str:
+    for p in patterns:
+        value = f"regexp_replace({value}, '{p}', '{by}', 'g')"
+    return value
+
+
+_TITLE = _replaced(f"regexp_extract(html, '{text.TITLE}', 1)", ("<[^>]+>", f"^{_SPACE}+", f"{_SPACE}+\\z"), "")
 
 #: The same tables in SQL, by name; ``with_tables`` puts those a query needs before it.
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
@@ -134,8 +147,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT *, regexp_extract(url, '{PATH}', 1) AS raw FROM pages)"""),
     "entries": (("page_paths",), "SELECT book_id, page_id AS ordinal, path, strlen(html) AS size, html FROM (SELECT *, row_number() OVER (PARTITION BY book_id, lower(path) ORDER BY page_id) AS rn FROM page_paths) WHERE rn = 1"),
     "stripped": (("entries",), rf"""SELECT book_id, ordinal, path, CASE WHEN title = '' THEN regexp_replace(list_last(string_split(path, '/')), '(?i)\.html?\z', '') ELSE title END AS title, text FROM (
-        SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?i)<title[^>]*>([\s\S]*?)</title>', 1), '<[^>]+>', '', 'g'), '^{_SPACE}+', ''), '{_SPACE}+\z', '') AS title,
-        trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?i)<script[\s\S]*?</script>', ' ', 'g'), '(?i)<style[\s\S]*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '(?i)&nbsp;', ' ', 'g'), '(?i)&[a-z#0-9]+;', ' ', 'g'), '{_SPACE}+', ' ', 'g')) AS text
+        SELECT *, {_TITLE} AS title, trim({_replaced("html", text.MARKUP, " ")}) AS text
         FROM entries WHERE size > 0 AND regexp_matches(path, '(?i)\.html?\z'))"""),
     "occurrences": (("stripped",), r"""SELECT book_id, path, field, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (
         SELECT book_id, path, 'title' AS field, regexp_extract_all(lower(title), '[\p{L}\p{N}]+') AS w FROM stripped WHERE text <> ''
