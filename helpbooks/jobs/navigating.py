@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -41,21 +41,33 @@ def t3(spark: SparkSession, sf: str) -> DataFrame:
     return index(spark, sf).withColumn("local_paths", F.array_join("local_paths", ","))
 
 
-query("a6_ordered_targets", _INDEX, "index_entries")(t3)
-query("w2_preorder_numbers", _INDEX, "index_entries")(t3)
+@query("a6_ordered_targets", "SELECT book_id, ordinal, place - 1 AS place, locals[place] AS target FROM (SELECT *, unnest(range(1, len(locals) + 1)) AS place FROM index_entries)", "index_entries")
+def a6(spark: SparkSession, sf: str) -> DataFrame:
+    return index(spark, sf).select("book_id", "ordinal", F.posexplode("local_paths").alias("place", "target"))
 
-_FIRST = "SELECT book_id, path, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY ordinal) AS rn FROM entries WHERE lower(path) LIKE '%.html') WHERE rn = 1"
 
+@query("w2_preorder_numbers", "SELECT book_id, ordinal, parent_ordinal, row_number() OVER (PARTITION BY book_id, parent_ordinal ORDER BY ordinal) AS place FROM toc_nodes", "toc_nodes")
+def w2(spark: SparkSession, sf: str) -> DataFrame:
+    """Reading-order numbers, and each node's place among its siblings."""
+    own = Window.partitionBy("book_id", "parent_ordinal").orderBy("ordinal")
+    return nodes(spark, sf).select("book_id", "ordinal", "parent_ordinal", F.row_number().over(own).alias("place"))
 
-@query("t4_first_with_suffix", _FIRST, "entries")
+
+_FIRST = "SELECT book_id, path, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY ordinal) AS rn FROM entries WHERE lower(path) LIKE '%{}') WHERE rn = 1"
+
+
+@query("t4_first_with_suffix", _FIRST.format(".html"), "entries")
 def t4(spark: SparkSession, sf: str) -> DataFrame:
     return navigation.first_with_suffix(tables.entries(spark, sf), ".html")
 
 
-query("w3_first_listed", _FIRST, "entries")(t4)
+@query("w3_first_listed", _FIRST.format(""), "entries")
+def w3(spark: SparkSession, sf: str) -> DataFrame:
+    """The first of all entries of a book."""
+    return navigation.first_with_suffix(tables.entries(spark, sf), "")
 
 
-@query("t5_book_documents", """SELECT r_name AS book_id, 'Help ' || r_name AS title, (SELECT count(*) FROM toc_nodes t WHERE t.book_id = r_name) AS toc_nodes, 0 AS index_entries FROM region
+@query("t5_book_documents", """SELECT book_id, 'Help ' || book_id AS title, count(*) AS toc_nodes, 0 AS index_entries FROM toc_nodes GROUP BY book_id
  UNION ALL SELECT book_id, 'Help ' || book_id, 0, count(*) FROM index_entries GROUP BY book_id""", ("toc_nodes", "index_entries"))
 def t5(spark: SparkSession, sf: str) -> DataFrame:
     t, i = toc(spark, sf), index(spark, sf)
@@ -84,11 +96,11 @@ def t8(spark: SparkSession, sf: str) -> DataFrame:
     return navigation.landing_pages(toc(spark, sf))
 
 
-@query("t9_active_nodes", "SELECT book_id, 'chm://' || book_id || '/' || string_split(local_path, '#')[1] || '#now' AS url, 'toc-' || ordinal AS node_id FROM toc_nodes WHERE local_path IS NOT NULL AND ordinal % 4 = 0", "toc_nodes")
+@query("t9_active_nodes", "SELECT book_id, 'chm://' || book_id || '/' || string_split(local_path, '#')[1] || '#now' AS url, 'toc-' || ordinal AS node_id FROM toc_nodes WHERE local_path IS NOT NULL", "toc_nodes")
 def t9(spark: SparkSession, sf: str) -> DataFrame:
     t = toc(spark, sf)
     url = paths.page_url(F.col("book_id"), F.concat(paths.strip_fragment(F.col("local_path")), F.lit("#now")))
-    current = t.filter("local_path is not null and ordinal % 4 = 0").select("book_id", url.alias("url"))
+    current = t.filter("local_path is not null").select("book_id", url.alias("url"))
     return navigation.active_nodes(t, current)
 
 

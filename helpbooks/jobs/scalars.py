@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,14 +19,21 @@ from .registry import query
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share."""
     sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
+    found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="helpbooks-"))
+        found = sc.getCheckpointDir()
+    return os.path.join(found, f"{name}-{uuid.uuid4().hex}")
 
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="helpbooks-"))
-    return os.path.join(sc.getCheckpointDir(), f"{name}-{uuid.uuid4().hex}")
 
+# The characters that windows-1252 bytes stand for, each byte of the page told by its two hexadecimal digits.
+_CP1252 = [ord(dict(zip(text.CP1252_BYTES, text.CP1252_CHARS, strict=True)).get(chr(b), chr(b))) for b in range(1, 256)]
+_DECODED = f"array_to_string(list_transform(regexp_extract_all(hex(encode(html)), '..'), lambda x: chr(({_CP1252})[(strpos('0123456789ABCDEF', x[1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2]) - 1])), '')"
 
-@query("p1_decode_bytes")
+
+@query("p1_decode_bytes", f"SELECT book_id, ordinal, length(t) AS chars, sha256(t) AS text_sha256 FROM (SELECT *, {_DECODED} AS t FROM entries)", "entries")
 def p1(spark: SparkSession, sf: str) -> DataFrame:
     e = tables.entries(spark, sf)
     t = text.decode_bytes(F.col("content"))
@@ -199,6 +207,13 @@ def f4(spark: SparkSession, sf: str) -> DataFrame:
     return navigation.filtered_index(entries, "AND#1").select("book_id", "ordinal", "name")
 
 
+@query("f4_filter_by_needles", "SELECT query_id, book_id, 'idx-' || ordinal AS entry_id, name FROM index_entries, needles WHERE trim(q) = '' OR contains(lower(name), lower(q))".replace("needles", "(SELECT query_id, q FROM searches UNION ALL SELECT n_nationkey + 100, substring(n_name, 1, 2) FROM nation)"), ("index_entries", "searches"))
+def f4b(spark: SparkSession, sf: str) -> DataFrame:
+    entries = navigation.keyword_index(sitemap.nodes(tables.index_markup(spark, sf)))
+    more = tables.read(spark, sf, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("query_id"), F.substring("n_name", 1, 2).alias("q"))
+    return navigation.filtered_by_queries(entries, tables.searches(spark).select("query_id", "q").unionByName(more))
+
+
 @query("f5_structural_nodes", "SELECT book_id, ordinal, name FROM index_entries", "index_entries")
 def f5(spark: SparkSession, sf: str) -> DataFrame:
     return navigation.keyword_index(sitemap.nodes(tables.index_markup(spark, sf))).select("book_id", "ordinal", "name")
@@ -245,7 +260,9 @@ def s3(spark: SparkSession, sf: str) -> DataFrame:
 def s4(spark: SparkSession, sf: str) -> DataFrame:
     from .reconciliation import merged_manifest
 
-    back = books.manifest_rows(books.manifest_json(merged_manifest(spark, sf)))
+    folder = scratch(spark, "manifest")
+    books.manifest_json(merged_manifest(spark, sf)).select("value").write.text(folder)
+    back = books.manifest_rows(spark.read.text(folder))
     return back.select("book", "path", "size", "sha256", F.array_join("tools", ",").alias("tools"))
 
 
@@ -259,17 +276,19 @@ def s5(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("book").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
-@query("s6_persisted_postings", "SELECT field, term, count(*) AS pages, sum(tf)::BIGINT AS tf FROM postings WHERE term >= 'th' AND term < 'ti' GROUP BY field, term", "postings")
+@query("s6_persisted_postings", "SELECT field, term, count(*) AS pages, sum(tf)::BIGINT AS tf FROM postings GROUP BY field, term", "postings")
 def s6(spark: SparkSession, sf: str) -> DataFrame:
     folder = scratch(spark, "postings")
     search.write_postings(search.postings(search.page_texts(tables.entries(spark, sf), "UTF-8")), folder)
-    some = spark.read.parquet(folder).filter((F.col("term") >= "th") & (F.col("term") < "ti"))
-    return some.groupBy("field", "term").agg(F.count("*").alias("pages"), F.sum("tf").alias("tf"))
+    return spark.read.parquet(folder).groupBy("field", "term").agg(F.count("*").alias("pages"), F.sum("tf").alias("tf"))
 
 
 @query("s7_recent_lists", """SELECT user_id, to_json(list(file_path ORDER BY rank))::VARCHAR AS value FROM (SELECT user_id, file_path, row_number() OVER (PARTITION BY user_id ORDER BY max(ts) DESC, max(seq) DESC, file_path) AS rank FROM opened GROUP BY user_id, file_path) WHERE rank <= 10 GROUP BY user_id""", "opened")
 def s7(spark: SparkSession, sf: str) -> DataFrame:
-    return books.recent_json(clickstream.recent_files(tables.opens(tables.read(spark, sf, "events"))))
+    """The lists through files, as a reader's settings are."""
+    folder = scratch(spark, "recent")
+    books.recent_json(clickstream.recent_files(tables.opens(tables.read(spark, sf, "events")))).write.json(folder)
+    return spark.read.schema("user_id string, value string").json(folder)
 
 
 @query("s8_quarantine", "SELECT CASE WHEN ordinal % 9 = 0 THEN 'unreadable' ELSE 'ok' END AS status, count(*) AS pages FROM entries WHERE size > 0 GROUP BY 1", "entries")

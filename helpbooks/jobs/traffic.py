@@ -64,14 +64,32 @@ def run_stream(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{folder}/out")
 
 
-@query("k1_history_replay")
+# One event of every session a step, with the lists as they are after it.
+_HISTORY = """SELECT session_id, epoch_us(ts) AS at_us, seq, action, cur AS current_url, len(past) > 0 AS can_back, len(future) > 0 AS can_forward FROM (
+ WITH RECURSIVE e AS (SELECT session_id, ts, seq, action, url, row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) AS n FROM nav),
+ h AS (SELECT session_id, ts, seq, action, n, []::VARCHAR[] AS past, CASE WHEN action = 'navigate' THEN url END AS cur, []::VARCHAR[] AS future FROM e WHERE n = 1
+  UNION ALL SELECT e.session_id, e.ts, e.seq, e.action, e.n,
+   CASE WHEN moved AND cur IS NOT NULL OR ahead THEN list_append(past, cur) WHEN back THEN past[:len(past) - 1] ELSE past END,
+   CASE WHEN moved THEN url WHEN back THEN past[len(past)] WHEN ahead THEN future[len(future)] ELSE cur END,
+   CASE WHEN moved THEN [] WHEN back THEN list_append(future, cur) WHEN ahead THEN future[:len(future) - 1] ELSE future END
+  FROM h JOIN e ON e.session_id = h.session_id AND e.n = h.n + 1,
+  LATERAL (SELECT e.action = 'navigate' AND url IS NOT NULL AND url IS DISTINCT FROM cur AS moved, e.action = 'back' AND len(past) > 0 AS back, e.action = 'forward' AND len(future) > 0 AS ahead))
+ SELECT * FROM h)"""
+
+
+def _with_micros(states: DataFrame) -> DataFrame:
+    return states.select("session_id", F.unix_micros("ts").alias("at_us"), "seq", "action", "current_url", "can_back", "can_forward")
+
+
+@query("k1_history_replay", _HISTORY, "nav")
 def k1(spark: SparkSession, sf: str) -> DataFrame:
-    return clickstream.replayed(tables.nav_events(tables.read(spark, sf, "events")))
+    return _with_micros(clickstream.replayed(tables.nav_events(tables.read(spark, sf, "events"))))
 
 
-@query("k1_history_stream")
+@query("k1_history_stream", f"{_HISTORY} WHERE epoch_ms(ts) < (SELECT max(epoch_ms(ts)) FROM nav) - 60000", "nav")
 def k1b(spark: SparkSession, sf: str) -> DataFrame:
-    return run_stream(streams.replay(tables.nav_events(_event_stream(spark, sf))), spark, "history")
+    """Events that the watermark has passed at the end of the log."""
+    return _with_micros(run_stream(streams.replay(tables.nav_events(_event_stream(spark, sf))), spark, "history"))
 
 
 @query("k2_debounce_stream", f"SELECT session_id, epoch_us(ts) AS at_us, query FROM {_FIRED} WHERE (nxt IS NULL OR {_GAP}) AND length(trim(query)) >= 2 AND epoch_us(ts) + {QUIET_MS * 1000} <= (SELECT max(epoch_us(ts)) FROM keys) - 60000000", "keys")
@@ -97,4 +115,4 @@ def k4(spark: SparkSession, sf: str) -> DataFrame:
     pages.write.parquet(f"{folder}/pages")
     arriving = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/pages")
     streams.index_pages(arriving, folder, f"{folder}/state").start().awaitTermination()
-    return spark.read.parquet(f"{folder}/postings").drop("batch")
+    return streams.current_postings(spark, folder)

@@ -69,9 +69,17 @@ def filtered_index(entries: DataFrame, needle: str) -> DataFrame:
 
 
 def filtered_by_queries(entries: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, book_id, entry_id, name) for a table of needles (query_id, q); Spark sends the needles out if they are few."""
-    hit = F.when(F.trim("q") == "", F.lit(True)).otherwise(F.contains(F.lower("name"), F.lower("q")))
-    return entries.join(queries, hit).select("query_id", "book_id", "entry_id", "name")
+    """(query_id, book_id, entry_id, name) for a table of needles (query_id, q); a blank needle keeps all entries.
+
+    A needle meets the names that hold its first letters, three at most, by equality.
+    """
+    name, size = F.lower("name"), F.length("name")
+    grams = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(name, i, n))).otherwise(F.array().cast("array<string>"))))
+    kept = entries.select("book_id", "entry_id", "name")
+    asked = queries.select("query_id", F.lower("q").alias("needle")).withColumn("head", F.substring("needle", 1, 3))
+    hits = kept.withColumn("head", F.explode(F.array_distinct(grams))).join(asked.filter(F.trim("needle") != ""), "head").filter(F.contains(name, F.col("needle")))
+    everything = kept.crossJoin(asked.filter(F.trim("needle") == "").select("query_id"))  # a blank needle asks for all
+    return hits.select("query_id", *kept.columns).unionByName(everything.select("query_id", *kept.columns))
 
 
 def book_documents(books: DataFrame, toc_nodes: DataFrame, index_entries: DataFrame) -> DataFrame:

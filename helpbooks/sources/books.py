@@ -44,10 +44,12 @@ def manifest_rows(lines: DataFrame, column: str = "value") -> DataFrame:
     return rows.select("book", "path", "f.size", "f.sha256", "f.tools")
 
 
-def manifest_json(rows: DataFrame) -> DataFrame:
-    """(book, value): one JSON text per book. A book's listing is a value of its own, so keep the flat table for very large ones."""
+def manifest_json(rows: DataFrame, files_a_value: int = 10_000) -> DataFrame:
+    """(book, value): a JSON text per book; a book of more files has several, which together read as one."""
+    large = rows.groupBy("book").agg(F.count("*").alias("n")).filter(F.col("n") > files_a_value).select("book", F.ceil(F.col("n") / files_a_value).alias("parts"))
+    part = F.pmod(F.xxhash64("path"), F.coalesce("parts", F.lit(1)))
     files = F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", F.struct("size", "sha256", "tools").alias("f")))))
-    per_book = rows.groupBy("book").agg(files.alias("files"))
+    per_book = rows.join(large, "book", "left").groupBy("book", part.alias("part")).agg(files.alias("files"))
     return per_book.select("book", F.to_json(F.map_from_arrays(F.array("book"), F.array("files"))).alias("value"))
 
 

@@ -58,33 +58,55 @@ def _local(path):
     return F.concat(F.lit('<param name="Local" value="'), path, F.lit('">'))
 
 
-def contents_markup(spark: SparkSession, folder: str) -> DataFrame:
-    """(book_id, kind, text): a contents file per region: nations, below them their customers."""
+#: Keys of customers or parts that go into one contents file or index, so that files don't grow with the tables.
+KEYS_A_BOOK = 1000
+
+
+def _block(key: str):
+    return F.floor(F.col(key) / KEYS_A_BOOK).cast("string")
+
+
+def _joined(rows: list[str], marks: str = "m"):
+    """The markup ``m`` of grouped rows, in the order of the other columns."""
+    return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*rows, marks))), lambda x: x[marks]), "")
+
+
+def _shelved_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers with their nation and the book they are in: one for each region and block of keys."""
     c, n, r = (read(spark, folder, t) for t in ("customer", "nation", "region"))
+    named = c.join(n, c["c_nationkey"].cast("long") == n["n_nationkey"].cast("long")).join(r, n["n_regionkey"].cast("long") == r["r_regionkey"].cast("long"))
+    return named.select(F.concat("r_name", F.lit("-"), _block("c_custkey")).alias("book_id"), "n_nationkey", "n_name", "c_custkey", "c_name")
+
+
+def _shelved_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts with the book they are in: one for each size and block of keys."""
+    book = F.concat(F.lit("size"), F.col("p_size").cast("string"), F.lit("-"), _block("p_partkey"))
+    return read(spark, folder, "part").select(book.alias("book_id"), "p_brand", "p_type", "p_partkey")
+
+
+def contents_markup(spark: SparkSession, folder: str) -> DataFrame:
+    """(book_id, kind, text): contents files: nations, below them their customers."""
     leaf = _object(F.col("c_name"), _local(F.concat(F.lit("c/"), "c_custkey", F.lit(".htm#top"))))
-    kids = c.groupBy(F.col("c_nationkey").cast("long").alias("k")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", leaf.alias("m")))), lambda x: x["m"]), "").alias("kids"))
-    node = F.concat(_object(F.concat("n_name", F.lit(" & Co"))), F.when(F.col("kids").isNotNull(), F.concat(F.lit("<UL>"), "kids", F.lit("</UL>"))).otherwise(""))
-    tops = n.withColumn("k", F.col("n_nationkey").cast("long")).join(kids, "k", "left").groupBy(F.col("n_regionkey").cast("long").alias("rk")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", node.alias("m")))), lambda x: x["m"]), "").alias("tops"))
+    kids = _shelved_customers(spark, folder).withColumn("m", leaf).groupBy("book_id", "n_nationkey", "n_name").agg(_joined(["c_custkey"]).alias("kids"))
+    node = F.concat(_object(F.concat("n_name", F.lit(" & Co"))), F.lit("<UL>"), "kids", F.lit("</UL>"))
+    tops = kids.withColumn("m", node).groupBy("book_id").agg(_joined(["n_nationkey"]).alias("tops"))
     head = '<object type="text/site properties"><param name="ImageType" value="Folder"></object><ul>'
-    return r.withColumn("rk", F.col("r_regionkey").cast("long")).join(tops, "rk").select(F.col("r_name").alias("book_id"), F.lit("hhc").alias("kind"), F.concat(F.lit(head), "tops", F.lit("</ul></ul>")).alias("text"))
+    return tops.select("book_id", F.lit("hhc").alias("kind"), F.concat(F.lit(head), "tops", F.lit("</ul></ul>")).alias("text"))
 
 
 def index_markup(spark: SparkSession, folder: str) -> DataFrame:
-    """(book_id, kind, text): an index file per part size: an empty node, below it brands, below them types with their parts as targets."""
-    p = read(spark, folder, "part").select(F.concat(F.lit("size"), F.col("p_size").cast("string")).alias("book_id"), "p_brand", "p_type", "p_partkey")
-    by_type = p.groupBy("book_id", "p_brand", "p_type").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p_partkey")), lambda x: _local(F.concat(F.lit("parts/"), x, F.lit(".htm")))), "").alias("locals"))
-    types = by_type.groupBy("book_id", "p_brand").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_type", _object(F.col("p_type"), F.col("locals")).alias("m")))), lambda x: x["m"]), "").alias("types"))
-    brand = F.concat(_object(F.col("p_brand")), F.lit("<ul>"), "types", F.lit("</ul>"))
-    brands = types.groupBy("book_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_brand", brand.alias("m")))), lambda x: x["m"]), "").alias("brands"))
+    """(book_id, kind, text): index files: an empty node, below it brands, below them types with their parts as targets."""
+    link = _local(F.concat(F.lit("parts/"), "p_partkey", F.lit(".htm")))
+    by_type = _shelved_parts(spark, folder).withColumn("m", link).groupBy("book_id", "p_brand", "p_type").agg(_joined(["p_partkey"]).alias("links"))
+    types = by_type.withColumn("m", _object(F.col("p_type"), F.col("links"))).groupBy("book_id", "p_brand").agg(_joined(["p_type"]).alias("types"))
+    brands = types.withColumn("m", F.concat(_object(F.col("p_brand")), F.lit("<ul>"), "types", F.lit("</ul>"))).groupBy("book_id").agg(_joined(["p_brand"]).alias("brands"))
     return brands.select("book_id", F.lit("hhk").alias("kind"), F.concat(F.lit('<ul><li><object type="text/sitemap"></object><ul>'), "brands", F.lit("</ul></ul>")).alias("text"))
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
     """(book_id, ordinal, path, size): what contents and indexes link to; every tenth customer and part is missing, every third path is in upper case."""
-    c, n, r = (read(spark, folder, t) for t in ("customer", "nation", "region"))
-    named = c.join(n, c["c_nationkey"].cast("long") == n["n_nationkey"].cast("long")).join(r, n["n_regionkey"].cast("long") == r["r_regionkey"].cast("long"))
-    a = named.select(F.col("r_name").alias("book_id"), F.col("c_custkey").alias("ordinal"), F.concat(F.lit("/c/"), "c_custkey", F.lit(".htm")).alias("path"))
-    b = read(spark, folder, "part").select(F.concat(F.lit("size"), F.col("p_size").cast("string")).alias("book_id"), F.col("p_partkey").alias("ordinal"), F.concat(F.lit("/parts/"), "p_partkey", F.lit(".htm")).alias("path"))
+    a = _shelved_customers(spark, folder).select("book_id", F.col("c_custkey").alias("ordinal"), F.concat(F.lit("/c/"), "c_custkey", F.lit(".htm")).alias("path"))
+    b = _shelved_parts(spark, folder).select("book_id", F.col("p_partkey").alias("ordinal"), F.concat(F.lit("/parts/"), "p_partkey", F.lit(".htm")).alias("path"))
     both = a.unionByName(b).filter("ordinal % 10 != 0")
     return both.withColumns({"path": F.when(F.col("ordinal") % 3 == 0, F.upper("path")).otherwise(F.col("path")), "size": F.col("ordinal") + 1})
 
@@ -162,16 +184,16 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f, first, book_id, path) AS rank FROM (
             SELECT query_id, book_id, path, min(f) AS f, arg_min(first, f) AS first FROM (
                 SELECT *, CASE field WHEN 'title' THEN 0 ELSE 1 END AS f, row_number() OVER (PARTITION BY query_id, field ORDER BY first, book_id, path) AS rn FROM field_hits) WHERE rn <= 30 GROUP BY query_id, book_id, path)) WHERE rank <= 30"""),
-    "toc_nodes": ((), """SELECT book_id, ordinal, CASE WHEN c = -1 THEN NULL ELSE max(CASE WHEN c = -1 THEN ordinal END) OVER (PARTITION BY book_id, nk) END AS parent_ordinal, CASE WHEN c = -1 THEN 0 ELSE 1 END AS depth, name, local_path FROM (
+    "toc_nodes": ((), f"""SELECT book_id, ordinal, CASE WHEN c = -1 THEN NULL ELSE max(CASE WHEN c = -1 THEN ordinal END) OVER (PARTITION BY book_id, nk) END AS parent_ordinal, CASE WHEN c = -1 THEN 0 ELSE 1 END AS depth, name, local_path FROM (
         SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY nk, c) - 1 AS ordinal FROM (
-            SELECT r_name AS book_id, n_nationkey AS nk, -1 AS c, n_name || ' & Co' AS name, NULL AS local_path FROM nation JOIN region ON n_regionkey = r_regionkey
-            UNION ALL SELECT r_name, n_nationkey, c_custkey, c_name, 'c/' || c_custkey || '.htm#top' FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey))"""),
-    "index_entries": ((), """SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY b, t) - 1 AS ordinal, name, depth, locals FROM (
-        SELECT 'size' || p_size AS book_id, p_brand AS b, '' AS t, p_brand AS name, 1 AS depth, NULL AS locals FROM part GROUP BY ALL
-        UNION ALL SELECT 'size' || p_size, p_brand, p_type, p_type, 2, list('parts/' || p_partkey || '.htm' ORDER BY p_partkey) FROM part GROUP BY p_size, p_brand, p_type)"""),
-    "listing": ((), """SELECT book_id, ordinal, CASE WHEN ordinal % 3 = 0 THEN upper(path) ELSE path END AS path, ordinal + 1 AS size FROM (
-        SELECT r_name AS book_id, c_custkey AS ordinal, '/c/' || c_custkey || '.htm' AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-        UNION ALL SELECT 'size' || p_size, p_partkey, '/parts/' || p_partkey || '.htm' FROM part) WHERE ordinal % 10 <> 0"""),
+            SELECT DISTINCT r_name || '-' || c_custkey // {KEYS_A_BOOK} AS book_id, n_nationkey AS nk, -1 AS c, n_name || ' & Co' AS name, NULL AS local_path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+            UNION ALL SELECT r_name || '-' || c_custkey // {KEYS_A_BOOK}, n_nationkey, c_custkey, c_name, 'c/' || c_custkey || '.htm#top' FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey))"""),
+    "index_entries": ((), f"""SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY b, t) - 1 AS ordinal, name, depth, locals FROM (
+        SELECT 'size' || p_size || '-' || p_partkey // {KEYS_A_BOOK} AS book_id, p_brand AS b, '' AS t, p_brand AS name, 1 AS depth, NULL AS locals FROM part GROUP BY ALL
+        UNION ALL SELECT 'size' || p_size || '-' || p_partkey // {KEYS_A_BOOK}, p_brand, p_type, p_type, 2, list('parts/' || p_partkey || '.htm' ORDER BY p_partkey) FROM part GROUP BY ALL)"""),
+    "listing": ((), f"""SELECT book_id, ordinal, CASE WHEN ordinal % 3 = 0 THEN upper(path) ELSE path END AS path, ordinal + 1 AS size FROM (
+        SELECT r_name || '-' || c_custkey // {KEYS_A_BOOK} AS book_id, c_custkey AS ordinal, '/c/' || c_custkey || '.htm' AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+        UNION ALL SELECT 'size' || p_size || '-' || p_partkey // {KEYS_A_BOOK}, p_partkey, '/parts/' || p_partkey || '.htm' FROM part) WHERE ordinal % 10 <> 0"""),
     "files": ((), "SELECT doc_id, coalesce(source, 'none') AS book, '/' || coalesce(lang, 'xx') || '/' || doc_id || '.htm' AS path, coalesce(text, '') AS text FROM documents"),
     "man_a": (("files",), "SELECT book, path, strlen(text) AS size, sha256(text) AS sha256 FROM files WHERE doc_id % 5 <> 0"),
     "man_b": (("files",), "SELECT book, path, strlen(text) AS size, CASE WHEN doc_id % 11 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS sha256 FROM files WHERE doc_id % 7 <> 0"),

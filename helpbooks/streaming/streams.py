@@ -9,41 +9,47 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import trim_space
 from ..operators import requests, search
 from ..operators.clickstream import LEAST_QUERY, QUIET_MS, History
-from ..schemas import NAV_STATES
+from ..schemas import NAV_STATES, POSTINGS
 
-_STATE = "past array<string>, current string, future array<string>"
+_STATE = "past array<string>, current string, future array<string>, waiting array<struct<us: long, seq: long, action: string, url: string>>"
 IDLE_MS = 24 * 3600 * 1000
 
 
 def replay(events: DataFrame, idle_ms: int = IDLE_MS, delay: str = "1 minute") -> DataFrame:
     """History after each event, kept per session; state idle for ``idle_ms`` of event time is dropped.
 
-    Within a micro-batch events are sorted by time and number; across batches
-    they are taken as they arrive.
+    Events wait until the watermark has passed them and then apply by time and
+    number, in whatever micro-batches they came; those still above the watermark
+    when the stream ends are not reported. Equal ones apply as often as they come.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        past, current, future, waiting = state.get if state.exists else ([], None, [], [])
+        waiting = [tuple(x) for x in waiting or []]
+        if state.hasTimedOut and not waiting:
             state.remove()
             return
-        past, current, future = state.get if state.exists else ([], None, [])
-        history = History(past, current, future)
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"], kind="stable")
-        states = [history.apply(a, u) for a, u in zip(rows["action"], rows["url"], strict=True)]
-        state.update((history.past, history.current, history.future))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
-        out = rows.drop(columns=["url"])
-        out["current_url"], out["can_back"], out["can_forward"] = zip(*states, strict=True)
-        yield out
-
-    picked = events.withWatermark("ts", delay).select("session_id", "ts", "seq", "action", "url")
+        for f in frames:
+            waiting += zip(f["us"].tolist(), f["seq"].tolist(), f["action"], f["url"], strict=True)
+        passed, history = state.getCurrentWatermarkMs(), History(past, current, future)
+        waiting.sort(key=lambda x: x[:2])
+        n = sum(us // 1000 < passed for us, *_ in waiting)
+        states = [history.apply(action, url) for _, _, action, url in waiting[:n]]
+        state.update((history.past, history.current, history.future, waiting[n:]))
+        state.setTimeoutTimestamp(max(waiting[n][0] // 1000, passed + 1) if waiting[n:] else passed + idle_ms)
+        if states:
+            us, seq, action, _ = zip(*waiting[:n], strict=True)
+            shown, back, forward = zip(*states, strict=True)
+            yield pd.DataFrame({"session_id": key[0], "ts": pd.to_datetime(list(us), unit="us", utc=True), "seq": seq, "action": action, "current_url": shown, "can_back": back, "can_forward": forward})
+
+    picked = events.withWatermark("ts", delay).select("session_id", "ts", F.unix_micros("ts").alias("us"), "seq", "action", "url")
     return picked.groupBy("session_id").applyInPandasWithState(step, NAV_STATES, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -71,15 +77,38 @@ def status_counts(resolved_stream: DataFrame, window: str = "1 minute", delay: s
     return counted.select(F.col("w.start").alias("window_start"), "status", "requests")
 
 
+_SEEN = "book_id string, path string, sha256 string"
+
+
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table below ``path`` with a folder for each batch; an empty one is there from the start."""
+    return spark.read.schema(f"{schema}, batch long").parquet(path)
+
+
 def index_pages(pages: DataFrame, folder: str, checkpoint: str):
     """A streaming query that adds pages (``schemas.PAGES_TEXT``) to an index below ``folder``.
 
-    Each batch is one folder, overwritten if the batch is retried, so a replay adds nothing twice.
+    A page that is there already with the same text is passed over; one that comes
+    again with another text replaces its postings (``current_postings``). Of
+    several texts of a page in one batch the one of the greatest hash counts. Each
+    batch is one folder, overwritten if the batch is retried.
     """
+    spark = pages.sparkSession
+    for name, schema in (("seen", _SEEN), ("postings", POSTINGS)):
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/{name}/batch=-1")
 
     def add(batch: DataFrame, batch_id: int) -> None:
-        once = batch.dropDuplicates(["book_id", "path"])
-        search.postings(once).write.mode("overwrite").parquet(f"{folder}/postings/batch={batch_id}")
-        once.select("book_id", "path", F.sha2("text", 256).alias("sha256")).write.mode("overwrite").parquet(f"{folder}/seen/batch={batch_id}")
+        now = batch.withColumn("sha256", F.sha2("text", 256)).groupBy("book_id", "path").agg(F.max_by(F.struct("title", "text", "sha256"), "sha256").alias("p")).select("book_id", "path", "p.*")
+        before = _table(batch.sparkSession, f"{folder}/seen", _SEEN).filter(F.col("batch") < batch_id)
+        known = before.groupBy("book_id", "path").agg(F.max_by("sha256", "batch").alias("sha256"))
+        fresh = now.join(known, ["book_id", "path", "sha256"], "left_anti")
+        search.postings(fresh).write.mode("overwrite").parquet(f"{folder}/postings/batch={batch_id}")
+        fresh.select("book_id", "path", "sha256").write.mode("overwrite").parquet(f"{folder}/seen/batch={batch_id}")
 
     return pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def current_postings(spark: SparkSession, folder: str) -> DataFrame:
+    """``schemas.POSTINGS`` of an index that ``index_pages`` keeps: those of the latest batch of each page."""
+    latest = _table(spark, f"{folder}/seen", _SEEN).groupBy("book_id", "path").agg(F.max("batch").alias("batch"))
+    return _table(spark, f"{folder}/postings", POSTINGS).join(latest, ["book_id", "path", "batch"]).drop("batch")

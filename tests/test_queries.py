@@ -1,14 +1,19 @@
 """Every registered query runs; those with SQL give what DuckDB gives."""
 
 import math
+import random
+import time
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from helpbooks.jobs.registry import ORACLES, QUERIES
+from helpbooks.operators import search
 from helpbooks.operators.clickstream import replayed
-from helpbooks.sources import tables
+from helpbooks.schemas import NAV_STATES, PAGES_TEXT
+from helpbooks.streaming import streams
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -48,9 +53,33 @@ def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
-def test_history_stream_agrees_with_batch(spark, sf):
-    batch = replayed(tables.nav_events(tables.read(spark, sf, "events")))
-    assert sorted(map(str, QUERIES["k1_history_stream"](spark, sf).collect())) == sorted(map(str, batch.collect()))
+def test_history_over_several_batches(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(f"s{rng.randrange(4)}", 1_700_000_000 + k * 7 + rng.randrange(40), k, rng.choice(["navigate", "navigate", "back", "forward"]), f"chm://b/{rng.randrange(5)}.htm") for k in range(400)]
+    log = spark.createDataFrame(rows, "session_id string, at long, seq long, action string, url string").withColumn("ts", F.timestamp_seconds("at")).drop("at")
+    for k in range(8):  # later files hold some earlier events
+        log.filter(F.col("seq").between(50 * k, 50 * k + 49)).coalesce(1).write.parquet(str(tmp_path / "in" / f"f{k}"))
+        time.sleep(0.05)
+    arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    out = streams.replay(arriving).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    out.awaitTermination()
+    assert out.lastProgress["batchId"] >= 7
+    got = spark.read.schema(NAV_STATES).parquet(str(tmp_path / "out")).collect()
+    end = max(r[1] for r in rows) - 60
+    want = [r for r in replayed(log).collect() if r.ts.timestamp() < end]
+    assert len(want) > 300 and sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_pages_that_come_again(spark, tmp_path):
+    folder, one = str(tmp_path / "index"), [("b", "/x.htm", "X", "rain gauge"), ("b", "/y.htm", "Y", "frost")]
+    batches = [one, one, [("b", "/x.htm", "X", "snow")], [("b", "/x.htm", "X", "rain gauge"), ("b", "/z.htm", "Z", "")]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, PAGES_TEXT).coalesce(1).write.parquet(str(tmp_path / "in" / f"f{k}"))
+        arriving = spark.readStream.schema(PAGES_TEXT).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        streams.index_pages(arriving, folder, str(tmp_path / "state")).start().awaitTermination()
+        latest = {r[1]: r for batch in batches[: k + 1] for r in batch}
+        want = search.postings(spark.createDataFrame(list(latest.values()), PAGES_TEXT))
+        assert sorted(streams.current_postings(spark, folder).collect()) == sorted(want.collect())
 
 
 def test_entry(spark):
