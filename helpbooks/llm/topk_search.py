@@ -1,19 +1,24 @@
 """Exact top-k inner-product search by norm buckets.
 
-Each task sorts the vectors it reads by length into buckets. A query skips a
-bucket whose longest vector cannot reach the query's current k-th score. The
-ratio of that score to (query length x longest length) is the bucket's local
+The table is dealt out by length, longest vectors first, and written so once;
+each run of ``BUCKET`` vectors of it is a bucket of nearly equal lengths. A query
+skips a bucket whose longest vector cannot reach the query's current k-th score.
+The ratio of that score to (query length x longest length) is the bucket's local
 cosine threshold: where it is low, vectors are pruned by length alone; where it
 is high, by the query's largest coordinate, which a vector of that cosine must
-nearly share. What is left is verified by exact integer products.
+nearly share. Only what is left is multiplied, by exact integer products.
 
 A first bucket, the ``first_bucket`` longest vectors of the whole table, gives
-every query a lower bound before the pass starts. Queries go out in blocks of
-bounded size, one pass over the vectors each.
+every query a lower bound before the search starts. Queries go out in blocks of
+bounded size; each block reads the files down to the length that its bounds still
+ask for. So work is queries x vectors, less what is pruned, and a block's queries
+are all that the driver ever holds.
 
 Vectors that are null or hold null or non-finite components take no part; a
 shorter vector counts as filled up with zeros. A row whose id equals the
-query's is the query's own. Null ids take no part. Other columns are not read.
+query's is the query's own; repeated queries count once. Null ids take no part.
+Scores beyond 64 bits are cut there. An empty table gives no rows. Other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -64,6 +69,14 @@ def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(2**63) + 2, 2**63 - 1).astype(np.int64)
 
 
+def pair_products(q: np.ndarray, v: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The products of rows r of q with rows c of v, pair by pair."""
+    if np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * q.shape[1] >= 2.0**52:
+        return products(q, v)[r, c]
+    parts = [np.einsum("ij,ij->i", q[r[at : at + 65536]], v[c[at : at + 65536]]) for at in range(0, len(r), 65536)]
+    return np.concatenate(parts).astype(np.int64)
+
+
 def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best of each row, ties to the smaller id."""
     order = np.lexsort((ids, -scores), axis=1)[:, :k]
@@ -89,15 +102,20 @@ class Block:
             self._bucket(ids[part], v[part], norm[part])
 
     def _bucket(self, ids: np.ndarray, v: np.ndarray, norm: np.ndarray) -> None:
+        """Vectors of a bucket, the longest first."""
         reach = self.norm * norm[0]
         live = np.flatnonzero(reach * (1 + _SLACK) + _SLACK >= self.bound)
         if not len(live):
             return
         cosine = np.where(reach[live] > 0, self.bound[live] / np.maximum(reach[live], 1e-300), -1)
         by_length, by_coordinate = live[cosine < COORDINATE_FROM], live[cosine >= COORDINATE_FROM]
-        if len(by_length):
+        if len(by_length):  # a prefix of the bucket; queries of like prefixes go together
             need = self.bound[by_length] / np.maximum(self.norm[by_length], 1e-300)
-            self._verify(by_length, ids, v, norm[None, :] * (1 + _SLACK) + _SLACK >= need[:, None])
+            first = np.searchsorted(-(norm * (1 + _SLACK) + _SLACK), -need, side="right")
+            for step in range(4):
+                lo, hi = len(norm) * step // 4, len(norm) * (step + 1) // 4
+                rows, n = by_length[(first > lo) & (first <= hi)], hi
+                self._verify(rows, ids[:n], v[:n], np.arange(n)[None, :] < first[(first > lo) & (first <= hi)][:, None])
         if len(by_coordinate):
             t = np.minimum(cosine[cosine >= COORDINATE_FROM], 1.0)
             c = self.unit[by_coordinate, self.focus[by_coordinate]]
@@ -109,12 +127,18 @@ class Block:
             self._verify(by_coordinate, ids, v, keep)
 
     def _verify(self, rows: np.ndarray, ids: np.ndarray, v: np.ndarray, keep: np.ndarray) -> None:
+        """Multiply the pairs in ``keep`` (rows x vectors) and take the best: pair by pair if they are few, else what rows and vectors they span."""
         keep = keep & (self.ids[rows][:, None] != ids[None, :])
-        some = keep.any(1)
-        rows, keep = rows[some], keep[some]
+        some, held = keep.any(1), keep.any(0)
+        rows, ids, v, keep = rows[some], ids[held], v[held], keep[some][:, held]
         if not len(rows):
             return
-        scores = np.where(keep, products(self.q[rows], v), _LOW)
+        if keep.mean() < 0.05:
+            r, c = np.nonzero(keep)
+            scores = np.full(keep.shape, _LOW, np.int64)
+            scores[r, c] = pair_products(self.q[rows], v, r, c)
+        else:
+            scores = np.where(keep, products(self.q[rows], v), _LOW)
         scores, found = best_of(scores, np.where(keep, ids[None, :], np.iinfo(np.int64).max), self.k)
         scores, found = best_of(np.hstack([self.scores[rows], scores]), np.hstack([self.found[rows], found]), self.k)
         self.scores[rows], self.found[rows] = scores, found
@@ -122,26 +146,36 @@ class Block:
         self.bound[rows[full]] = np.maximum(self.bound[rows[full]], scores[full, -1].astype(np.float64))
 
 
+def by_norm(vectors: DataFrame, is_query: Column, vec_id: str, vector: str, scale: float) -> DataFrame:
+    """(id, v, q, n) of the vectors that take part, written in order of n, the longest first. n is not less than a vector's length."""
+    sane = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    base = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
+    n = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(F.abs(x) * scale + 1, F.lit(2.0))))
+    base = base.filter(F.col("id").isNotNull() & sane).withColumn("n", n)
+    return common.written(base.repartitionByRange(F.desc("n")).sortWithinPartitions(F.desc("n")), "vectors")[0]
+
+
 def topk(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = 5, scale: float = 256.0, query_block: int = QUERY_BLOCK, first_bucket: int = FIRST_BUCKET) -> DataFrame:
     """(query_id long, rank int, vec_id long, score long): each query's k best other rows, ties to the smaller id."""
     spark = vectors.sparkSession
-    sane = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    base = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
-    base = base.filter(F.col("id").isNotNull() & sane)
-    longest = base.withColumn("n", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).orderBy(F.desc("n"), "id").limit(first_bucket).select("id", "v").toArrow()
+    base = by_norm(vectors, is_query, vec_id, vector, scale)
+    longest = base.orderBy(F.desc("n"), "id").limit(first_bucket).select("id", "v").toArrow()
     first_ids = longest.column("id").to_numpy()
     first = matrix(longest.column("v").combine_chunks(), scale)[0] if len(first_ids) else np.zeros((0, 1))
     queries = base.filter("q").select("id", "v")
     blocks = max(1, -(-queries.count() // query_block))
-    out = None
+    path = common.new_folder(spark, "found")
     for b in range(blocks):
         own = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).distinct().toArrow()
-        part = _search(base, own, first_ids, first, k, scale)
-        out = part if out is None else out.unionAll(part)
+        _search(base, own, first_ids, first, k, scale).write.mode("append").parquet(path)
+    out = spark.read.schema(FOUND).parquet(path)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+FOUND = "query_id long, vec_id long, score long"
+
+
 def _search(base: DataFrame, own: pa.Table, first_ids: np.ndarray, first: np.ndarray, k: int, scale: float) -> DataFrame:
     query_ids = own.column("id").to_numpy()
     q = matrix(own.column("v").combine_chunks(), scale)[0] if len(query_ids) else np.zeros((0, 1))
@@ -152,6 +186,8 @@ def _search(base: DataFrame, own: pa.Table, first_ids: np.ndarray, first: np.nda
             s = np.where(query_ids[at : at + 512, None] != first_ids[None, :], products(a[at : at + 512], b), _LOW)
             kth = np.partition(s, -k, axis=1)[:, -k]
             bound[at : at + 512] = np.where(kth > _LOW, kth.astype(np.float64), -np.inf)
+        need = (bound / np.maximum(np.sqrt((q * q).sum(1)), 1e-300)).min()  # no shorter vector reaches any of these queries' scores
+        base = base.filter(F.col("n") * (1 + 2 * _SLACK) >= F.lit(float(need))) if np.isfinite(need) and need > 0 else base
     shipped = base.sparkSession.sparkContext.broadcast((query_ids, q, bound))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,4 +208,4 @@ def _search(base: DataFrame, own: pa.Table, first_ids: np.ndarray, first: np.nda
             r, c = np.nonzero(block.scores > _LOW)
             yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(block.found[r, c]), pa.array(block.scores[r, c])], names=["query_id", "vec_id", "score"])
 
-    return base.select("id", "v").mapInArrow(search, "query_id long, vec_id long, score long")
+    return base.select("id", "v").mapInArrow(search, FOUND)
