@@ -9,9 +9,10 @@ count): the tree's nodes are sums over them. The fitted model is then frozen and
 every document is scored with it.
 
 * ``observed``: one pass; each task sends its different n-grams and words once.
-* ``Tree``: n-grams are dealt out by their last ``anchor`` context bytes. Each
-  task builds the subtrees below; only sums for shallower nodes go up, and the
-  mixture of those few comes back down.
+* ``predicted``: n-grams are dealt out by their last ``anchor`` context bytes.
+  Each task builds the subtrees below, some whole contexts at a time: with three
+  bytes fixed, depth 5 leaves at most 2**24 n-grams of a context. Only sums for
+  shallower nodes go up, and the mixture of those few comes back down.
 * ``scored``: one pass; frequent n-grams and words (more than 1 in ``FREQUENT``
   of the training text, so at most ``FREQUENT`` of each) are looked up in the
   task, all others go through a join.
@@ -19,8 +20,9 @@ every document is scored with it.
 Texts are scored as UTF-8 with A-Z in lower case, followed by an end symbol that
 no text can hold; the score is log10 of the probability of all of it. Null texts
 are empty (the end symbol alone). A null id counts as an empty one, which is a
-training id. Repeated rows are documents of their own. With no training text all
-bits have probability 1/2. Other columns are not read.
+training id. Repeated rows are documents of their own. Very long texts are scored
+whole, one at a time. With no training text all bits have probability 1/2, and an
+empty table gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -42,6 +44,10 @@ FREQUENT = 1 << 21
 #: Nodes just above the anchor that the driver may hold; beyond it the anchor moves up a byte.
 MOST_ABOVE = 2_000_000
 END = 255
+#: Bytes of context by which n-grams are dealt out.
+ANCHOR = 3
+#: N-grams of whole contexts that a task takes at a time (one context can have more).
+_TAKEN = 500_000
 _HELD = 1_500_000  # different keys that a task holds before it sends them
 
 
@@ -228,23 +234,35 @@ def log10_of(codes: np.ndarray, n: np.ndarray, depth: int, anchor: int, above: t
     return np.log10(np.where(levels.bit == 1, one, 1 - one)).sum(1)
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    rows = [b for b in batches if b.num_rows]
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([b.column(0).to_numpy() for b in rows]), np.concatenate([b.column(1).to_numpy() for b in rows])
-
-
-def predicted(table: DataFrame, depth: int = DEPTH, anchor: int = 2, most_above: int = MOST_ABOVE) -> DataFrame:
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(codes, counts) of some whole contexts at a time, of rows (key, n, context) that are sorted by context."""
+    codes, n, at = [], [], []
+    held = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        codes, n, at = ([*x, b.column(k).to_numpy()] for k, x in enumerate((codes, n, at)))
+        held += b.num_rows
+        if held >= _TAKEN:
+            codes, n, at = ([np.concatenate(x)] for x in (codes, n, at))
+            cut = int(np.searchsorted(at[0], at[0][-1]))  # the last context may go on
+            if cut:
+                yield codes[0][:cut], n[0][:cut]
+                codes, n, at = ([x[0][cut:]] for x in (codes, n, at))
+                held -= cut
+    if held:
+        yield np.concatenate(codes), np.concatenate(n)
+
+
+def predicted(table: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR, most_above: int = MOST_ABOVE) -> DataFrame:
     """(key, n, x): each n-gram's log10 probability under the frozen tree. ``table``: (key, n) of n-grams alone."""
     spark = table.sparkSession
     anchor = min(anchor, depth)
     context = F.shiftright("key", 8).bitwiseAND(F.lit((1 << (8 * anchor)) - 1))
-    dealt = table.repartition(context)
+    dealt = table.select("key", "n", context.alias("context")).repartition("context").sortWithinPartitions("context")
 
     def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, n = _whole(batches)
-        if len(codes):
+        for codes, n in _contexts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in Levels(codes, n, depth, anchor).above], names=["node", "zeros", "ones", "below"])
 
     sums = dealt.mapInArrow(up, "node long, zeros double, ones double, below double").groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below"))
@@ -256,8 +274,7 @@ def predicted(table: DataFrame, depth: int = DEPTH, anchor: int = 2, most_above:
     shipped = spark.sparkContext.broadcast(above)
 
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, n = _whole(batches)
-        if len(codes):
+        for codes, n in _contexts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n), pa.array(log10_of(codes, n, depth, anchor, shipped.value))], names=["key", "n", "x"])
 
     return dealt.mapInArrow(down, "key long, n long, x double")

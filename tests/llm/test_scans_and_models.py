@@ -204,6 +204,18 @@ def test_context_tree_scores(make):
     assert context_tree.scored(make(docs).limit(0)).count() == 0
 
 
+def test_contexts_come_whole(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(context_tree, "_TAKEN", 10)
+    at = np.sort(np.random.default_rng(1).integers(0, 12, 200))
+    rows = pa.table({"key": np.arange(200), "n": np.arange(200), "context": at})
+    got = list(context_tree._contexts(rows.to_batches(max_chunksize=7)))
+    assert np.concatenate([k for k, _ in got]).tolist() == list(range(200)) and len(got) > 3
+    seen = [set(at[k]) for k, _ in got]
+    assert all(not a & b for a, b in zip(seen, seen[1:]))
+
+
 def test_context_tree_anchor_falls_back(spark):
     codes = np.unique(np.random.default_rng(0).integers(0, 1 << 32, 500))
     table = spark.createDataFrame([(int(c), int(c) % 7) for c in codes], "key long, n long")
