@@ -5,15 +5,19 @@ being dropped if it is too short. The method adds kind ``guess``: values in a
 credential context (a wider list of key names, a wider value alphabet) whose
 cheapest explanation takes at least 10**``min_log10`` guesses. That cost is a
 dynamic programme over the value: the cheapest way to cut it into dictionary
-words, dates, repeats, keyboard walks and brute-force runs.
+words (also reversed, or with digits for letters), dates, repeats, keyboard walks
+and brute-force runs, every sub-span of each being tried. Words are ranked by a
+public vocabulary file, whose path is a parameter.
 
 Spans are whole matches, in code points, the end exclusive. A null text is
-empty and has no spans. Every text is scanned whole; equal rows give equal
-results; only ``doc_id`` and ``text`` are read.
+empty and has no spans. Every text, and every value, is taken whole however long
+it is; equal rows give equal results; an empty table gives no rows; only
+``doc_id`` and ``text`` are read, whatever other columns are called.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import re
@@ -38,7 +42,9 @@ HINTS = ("pass", "secret", "token", "key", "pwd", "credential", "auth")
 CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth(?:orization)?)["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*(?:bearer\x20+)?(?:"([^"\s]{6,})"|'([^'\s]{6,})'|([^\s"'<>,;]{6,}))""", re.I | re.A)
 MIN_LOG10 = 10.0
 
-#: Default ranked words, the commonest first; callers can give their own.
+#: Byte-pair vocabulary whose merge order ranks words, the commonest first; None leaves WORDS alone.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Words that passwords and placeholders use, ranked before all others.
 WORDS = tuple(
     "password secret admin welcome letmein monkey dragon login master hello qwerty shadow sunshine princess football baseball iloveyou "
     "trustno default changeme change test guest user root pass token example sample dummy placeholder your my the key api access private public "
@@ -64,69 +70,112 @@ def alphabet(value: str) -> int:
     return n + 33 * any(not c.isalnum() and c.isascii() for c in value) + 100 * any(not c.isascii() for c in value) or 10
 
 
-def matches(value: str, ranks: dict[str, int], longest: int) -> list[tuple[int, int, str, float]]:
-    """(start, end, kind, log10 of guesses) of all explained spans."""
-    out, low = [], value.lower()
-    plain, n = low.translate(_LEET), len(value)
-    for i in range(n):
-        for j in range(i + 3, min(n, i + longest) + 1):
-            if rank := ranks.get(low[i:j]):
-                upper = sum(c.isupper() for c in value[i:j])
-                out.append((i, j, "word", math.log10(rank + 1) + (math.log10(2) if upper else 0) + (math.log10(j - i) if 1 < upper < j - i else 0)))
-            elif rank := ranks.get(plain[i:j]):
-                out.append((i, j, "word", math.log10(rank + 1) + math.log10(2) * (1 + sum(a != b for a, b in zip(low[i:j], plain[i:j], strict=True)))))
-    for i in range(n):
-        if m := DATE.match(value, i):
-            out.append((i, m.end(), "date", math.log10(119) if m.end() - i == 4 else math.log10(365.25 * 119)))
-    i = 0
-    while i < n - 1:  # keyboard walks: each step goes to a neighbour on a row
-        j = i + 1
-        while j < n and low[j - 1 : j + 1] in STEPS:
-            j += 1
-        if j - i >= 3:
-            out += [(a, b, "walk", math.log10(len(ROWS) * 20 * (b - a))) for a in range(i, min(i + 3, j - 2)) for b in range(max(a + 3, j - 2), j + 1)]
-        i = max(j, i + 1) if j - i < 2 else j - 1
-    for period in range(1, min(8, n // 2) + 1):
-        i = 0
-        while i + period < n:
-            j = i + period
-            while j < n and low[j] == low[j - period]:
-                j += 1
-            if j - i >= max(3, 2 * period):
-                end = i + (j - i) // period * period
-                out.append((i, end, "repeat", period * math.log10(alphabet(value[i : i + period])) + math.log10((end - i) // period)))
-            i = max(j - period + 1, i + 1)
-    return out
-
-
-def guess_cost(value: str, ranks: dict[str, int] | None = None) -> tuple[float, list[tuple[int, int, str]]]:
-    """(log10 of guesses, the segments): the cheapest segmentation of the value.
-
-    A brute-force run costs one alphabet factor a character; every further
-    segment costs a factor of 10, for the attacker must also guess the cut.
+def word_cost(value: str, ranks: dict[str, int]) -> float | None:
+    """log10 of guesses of a dictionary word, read forwards, backwards or with letters for look-alike signs; None if it is none."""
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    plain = low.translate(_LEET)
+    swapped = sum(a != b for a, b in zip(low, plain, strict=True))
+    upper = sum(c.isupper() for c in value)
+    case = (math.log10(2) if upper else 0) + (math.log10(len(value)) if 1 < upper < len(value) else 0)
+    options = [(low, 0.0), (low[::-1], math.log10(2)), (plain, math.log10(2) * (1 + swapped))]
+    return min((math.log10(ranks[w] + 1) + case + more for w, more in options if w in ranks), default=None)
+
+
+def date_cost(value: str) -> float | None:
+    """log10 of guesses of a year, month or day."""
+    return None if not DATE.fullmatch(value) else math.log10(119) if len(value) == 4 else math.log10(365.25 * 119)
+
+
+def unit_cost(unit: str) -> float:
+    """log10 of guesses of what a repeat repeats."""
+    return len(unit) * math.log10(alphabet(unit))
+
+
+#: A walk's first key; each further key is a step one way or back. Each further copy of a repeat.
+WALK, STEP, AGAIN = math.log10(len(ROWS) * 20), math.log10(2), 0.1
+LEAST_SPAN = 3
+#: Letters of the longest unit of a repeat; longer ones cost more than any threshold by brute force, and words are words in them too.
+LONGEST_UNIT = 32
+#: Every further segment: the attacker must also guess the cut.
+CUT = 1.0
+#: log10 of guesses from which on no more is asked of a value (each letter adds to the cost, so the longest values end soon).
+ENOUGH = 64.0
+
+
+def guess_cost(value: str, ranks: dict[str, int] | None = None, enough: float = math.inf) -> tuple[float, list[tuple[int, int, str]]]:
+    """(log10 of guesses, the segments): the cheapest segmentation of the value. A brute-force run costs one alphabet factor a character.
+
+    Walks and repeats grow by a letter or a unit, so every sub-span of them is tried in one pass. A value that certainly
+    takes ``enough`` guesses gets that cost and no segments.
     """
     ranks = RANKS if ranks is None else ranks
-    n, longest = len(value), max(map(len, ranks), default=0)
-    each = math.log10(alphabet(value))
-    ends: dict[int, list] = {}
-    for i, j, kind, cost in matches(value, ranks, longest):
-        ends.setdefault(j, []).append((i, kind, cost))
-    # best[i][0]: up to i, the last segment being explained; best[i][1]: being a brute-force run
-    best = [[(0.0, None), (math.inf, None)]]
+    n, longest, each = len(value), max(map(len, ranks), default=0), math.log10(alphabet(value))
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    plain, back = low.translate(_LEET), low[::-1]
+
+    def ending(j: int) -> Iterator[tuple[int, str, float]]:
+        for i in range(max(0, j - longest), j - LEAST_SPAN + 1):
+            if low[i:j] in ranks or plain[i:j] in ranks or back[n - j : n - i] in ranks:
+                yield i, "word", word_cost(value[i:j], ranks)
+        if value[j - 1].isdigit():
+            for i in range(max(0, j - 10), j - 3):
+                if value[i].isdigit() and (cost := date_cost(value[i:j])) is not None:
+                    yield i, "date", cost
+
+    none = (math.inf, None)
+    # up to j: the last segment being explained, a brute-force run, a walk, a repeat by its unit's length
+    explained, brute, walk, repeat = [(0.0, None)], [none], [none], {p: {} for p in range(1, LONGEST_UNIT + 1)}
+    steps, same = 1, [0] * (LONGEST_UNIT + 1)
+    above, reach = 0, max(longest, 2 * LONGEST_UNIT)  # a segment that is not yet seen at j starts no further back
+
+    def opened(i: int) -> float:
+        return min(explained[i][0], brute[i][0]) + (CUT if i else 0.0)
+
     for j in range(1, n + 1):
-        explained = min(((min(best[i][0][0], best[i][1][0]) + cost + (1.0 if i else 0.0), (i, kind)) for i, kind, cost in ends.get(j, ())), default=(math.inf, None))
-        start = best[j - 1][0][0] + each + (1.0 if j > 1 else 0.0)
-        longer = best[j - 1][1][0] + each
-        best.append([explained, (longer, best[j - 1][1][1]) if longer <= start else (start, (j - 1, "brute"))])
+        options = [(opened(i) + cost, (i, kind)) for i, kind, cost in ending(j)]
+        steps = steps + 1 if low[j - 2 : j] in STEPS else 1
+        grown = (walk[j - 1][0] + STEP, walk[j - 1][1]) if steps > LEAST_SPAN else none
+        fresh = (opened(j - LEAST_SPAN) + WALK + STEP * (LEAST_SPAN - 1), (j - LEAST_SPAN, "walk")) if steps >= LEAST_SPAN else none
+        walk.append(min(grown, fresh, key=lambda x: x[0]))
+        options.append(walk[j])
+        for p in range(1, min(LONGEST_UNIT, j - 1) + 1):
+            same[p] = same[p] + 1 if low[j - 1] == low[j - 1 - p] else 0
+            copies = max(2, -(-LEAST_SPAN // p))
+            if same[p] >= p:
+                before = repeat[p].get(j - p, none)
+                best = (before[0] + AGAIN, before[1])
+                i = j - copies * p
+                if same[p] >= (copies - 1) * p:
+                    best = min(best, (opened(i) + unit_cost(value[i : i + p]) + AGAIN * (copies - 1), (i, "repeat")), key=lambda x: x[0])
+                if best[1]:
+                    repeat[p][j] = best
+                    options.append(best)
+        explained.append(min(options, key=lambda x: x[0]))
+        longer, start = brute[j - 1][0] + each, explained[j - 1][0] + (CUT if j > 1 else 0.0) + each
+        brute.append((longer, brute[j - 1][1]) if longer <= start else (start, (j - 1, "brute")))
+        above = above + 1 if min(explained[j][0], brute[j][0]) >= enough else 0
+        if above > reach:
+            return enough, []
     cuts, j = [], n
     while j:
-        i, kind = min(best[j], key=lambda x: x[0])[1]
+        i, kind = min(explained[j], brute[j], key=lambda x: x[0])[1]
         cuts.append((i, j, kind))
         j = i
-    return min(best[n][0][0], best[n][1][0]), cuts[::-1]
+    return min(explained[n][0], brute[n][0]), cuts[::-1]
+
+
+def ranked(words: list[str] | tuple[str, ...]) -> dict[str, int]:
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys(x.lower() for x in words))}
+
+
+def vocabulary_words(path: str) -> list[str]:
+    """The words of at least three letters of a byte-pair vocabulary (a base64 token and its rank a line), in the order of ranks."""
+    with open(path, "rb") as f:
+        tokens = [base64.b64decode(line.split()[0]).decode("utf-8", "replace").strip() for line in f]
+    return [t for t in tokens if len(t) >= LEAST_SPAN and t.isascii() and t.isalpha()]
 
 
-RANKS = {w: i + 1 for i, w in enumerate(dict.fromkeys(WORDS))}
+RANKS = ranked(WORDS)
 
 
 def scan(text: str, ranks: dict[str, int] | None = None, min_log10: float = MIN_LOG10) -> list[tuple[int, str, int, float | None]]:
@@ -142,7 +191,7 @@ def scan(text: str, ranks: dict[str, int] | None = None, min_log10: float = MIN_
     if hints:
         for m in CONTEXT.finditer(text):
             at = m.lastindex
-            cost = guess_cost(m[at], ranks)[0]
+            cost = guess_cost(m[at], ranks, ENOUGH)[0]
             if cost >= min_log10:
                 out.append((m.start(at), "guess", m.end(at), cost))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[1])))
@@ -155,15 +204,15 @@ def joined(spans: list) -> str:
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long, max_log10_guesses double"
 
 
-def find(docs: DataFrame, ranked_words: list[str] | None = None, min_log10: float = MIN_LOG10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per document; columns as in ``SCHEMA``. No shuffle: every text is scanned where it is read."""
-    ranks = RANKS if ranked_words is None else {w.lower(): i + 1 for i, w in reversed(list(enumerate(ranked_words)))}
+def find(docs: DataFrame, vocabulary: str | None = VOCABULARY, min_log10: float = MIN_LOG10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row per document; columns as in ``SCHEMA``. No shuffle: every text is scanned where it is read. The driver alone reads the vocabulary."""
+    shipped = docs.sparkSession.sparkContext.broadcast(ranked([*WORDS, *vocabulary_words(vocabulary)]) if vocabulary else RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for t in common.strings(batch.column(1)):
-                spans = scan(t, ranks, min_log10)
+                spans = scan(t, shipped.value, min_log10)
                 n = {k: sum(s[1] == k for s in spans) for k in KINDS}
                 base = joined([s for s in spans if s[1] != "guess"])
                 rows.append((n["assign"], n["access"], n["hex"], hashlib.sha256(base.encode()).hexdigest(), joined(spans), n["guess"], max((s[3] for s in spans if s[3] is not None), default=None)))

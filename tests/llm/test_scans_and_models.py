@@ -7,6 +7,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from helpbooks.llm import context_tree, secrets, token_counts, topk_search, toxicity
@@ -41,24 +43,47 @@ def test_secret_spans(make):
     assert secrets.find(docs.limit(0)).count() == 0
 
 
+def span_cost(x, ranks):
+    """What a span costs by each rule on its own, whatever the programme offers."""
+    out, low, log = [], x.lower(), math.log10
+    for w, more in ((low, 0), (low[::-1], log(2)), ("".join(dict(zip("@0$1!3457", "aosiieast")).get(c, c) for c in low), None)):
+        if w in ranks and len(x) >= 3:
+            changed = sum(a != b for a, b in zip(low, w))
+            caps = sum(c.isupper() for c in x)
+            out.append(log(ranks[w] + 1) + (log(2) * (1 + changed) if more is None else more) + (log(2) if caps else 0) + (log(len(x)) if 1 < caps < len(x) else 0))
+    y, md = r"(19|20)\d\d", r"(0?[1-9]|1[0-2])"
+    d, sep = r"(0?[1-9]|[12]\d|3[01])", "[-/._]"
+    if re.fullmatch(f"{y}|{y}{sep}?{md}|{y}{sep}?{md}{sep}?{d}|{d}{sep}{md}{sep}(19|20)?\\d\\d", x):
+        out.append(log(119) if len(x) == 4 else log(365.25 * 119))
+    near = {a + b for r in secrets.ROWS for q in (r, r[::-1]) for a, b in zip(q, q[1:])}
+    if len(x) >= 3 and all(low[k : k + 2] in near for k in range(len(x) - 1)):
+        out.append(log(len(secrets.ROWS) * 20) + (len(x) - 1) * log(2))
+    for p in range(1, len(x) // 2 + 1):
+        if len(x) >= 3 and len(x) % p == 0 and low == low[:p] * (len(x) // p):
+            out.append(p * log(secrets.alphabet(x[:p])) + 0.1 * (len(x) // p - 1))
+    return min(out, default=math.inf)
+
+
 def cheapest(value, ranks):
-    """The same minimum by trying all segmentations."""
-    spans, each = secrets.matches(value, ranks, max(map(len, ranks))), math.log10(secrets.alphabet(value))
-    best = {}
+    """The minimum over all segmentations, from all spans."""
+    each, best = math.log10(secrets.alphabet(value)), {}
 
     def go(i, brute):
         if i == len(value):
             return 0.0
         if (i, brute) not in best:
             options = [go(i + 1, True) + each + (1.0 if not brute and i else 0.0)]
-            options += [go(j, False) + c + (1.0 if i else 0.0) for a, j, _, c in spans if a == i]
+            options += [go(j, False) + span_cost(value[i:j], ranks) + (1.0 if i else 0.0) for j in range(i + 3, len(value) + 1)]
             best[i, brute] = min(options)
         return best[i, brute]
 
     return go(0, False)
 
 
-@pytest.mark.parametrize("value", ["password", "P4ssw0rd2019", "qwertyuiop", "aaaaaaaaab", "abcabcabc9", "x8Kq!2Lm", "secret2020-12-31admin", "zz", ""])
+VALUES = ["password", "P4ssw0rd2019", "qwertyuiop", "aaaaaaaaab", "abcabcabc9", "x8Kq!2Lm", "secret2020-12-31admin", "zz", "", "aaaaaAdmin1", "drowssap", "qwertypassword", "3asdfg1.2.1999", "abababab", "aAaAaA1", "xyzxyz12xyz", "asdfghjkjhgf", "1999199919", "20201231"]
+
+
+@pytest.mark.parametrize("value", VALUES)
 def test_guess_cost(value):
     cost, cuts = secrets.guess_cost(value)
     assert cost == pytest.approx(cheapest(value, secrets.RANKS))
@@ -66,9 +91,35 @@ def test_guess_cost(value):
     assert cost <= len(value) * math.log10(secrets.alphabet(value) if value else 1) + 1e-9
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["pass", "word", "1999", "-12", "a", "ab", "qwe", "rty", "Admin", "0", "!", "12", "nimda"]), max_size=5))
+def test_guess_cost_is_least(parts):
+    value = "".join(parts)
+    assert secrets.guess_cost(value)[0] == pytest.approx(cheapest(value, secrets.RANKS))
+
+
+@pytest.mark.parametrize("value", ["a1" * 500_000, "x" * 1_000_000, "qwerty" * 100_000, "".join(random.Random(1).choices("abcXYZ0189", k=300_000))])
+def test_long_values_end_soon(value):
+    assert secrets.guess_cost(value, None, secrets.ENOUGH) == (secrets.ENOUGH, [])
+    assert secrets.guess_cost(value[:40])[0] == pytest.approx(secrets.guess_cost(value[:40], None, 1e9)[0])
+
+
 def test_guess_cost_orders_values():
-    costs = [secrets.guess_cost(v)[0] for v in ("password", "password1987", "correcthorse", "f7!Kq9zR2mXw")]
-    assert costs == sorted(costs)
+    ranks = secrets.ranked([*secrets.WORDS, *secrets.vocabulary_words(secrets.VOCABULARY)])
+    costs = [secrets.guess_cost(v, ranks)[0] for v in ("password", "password1987", "mountainriver", "correcthorsebatterystaple", "f7!Kq9zR2mXwv8#Lp")]
+    assert costs == sorted(costs) and costs[2] < secrets.MIN_LOG10 < costs[3]
+
+
+def test_guess_cost_tells_secrets_from_placeholders():
+    """300 random values of 12 letters, and 300 that people make up."""
+    rng, ranks = random.Random(6), secrets.ranked([*secrets.WORDS, *secrets.vocabulary_words(secrets.VOCABULARY)])
+    words = [w for w in secrets.vocabulary_words(secrets.VOCABULARY)[2000:12000] if len(w) > 4]
+    keys = ["".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(12)) for _ in range(300)]
+    made_up = [rng.choice([rng.choice(words) + str(rng.randint(1950, 2025)), rng.choice(words).capitalize() + "123", rng.choice(words)[::-1], "qwerty" * rng.randint(1, 3), rng.choice(secrets.WORDS) + rng.choice(secrets.WORDS), "x" * rng.randint(6, 40), f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(1950, 2020)}"]) for _ in range(300)]
+    found = sum(secrets.guess_cost(v, ranks)[0] >= secrets.MIN_LOG10 for v in keys)
+    wrong = sum(secrets.guess_cost(v, ranks)[0] >= secrets.MIN_LOG10 for v in made_up)
+    print("found", found, "wrong", wrong)
+    assert found >= 297 and wrong <= 3
 
 
 def test_token_histogram(spark, make, sample):
