@@ -287,6 +287,27 @@ def test_ordinal_model_recovers_order():
     assert (np.diff(above, axis=0) > 0).all() and (above[:, 0] > above[:, 1]).all()
 
 
+def test_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(8)
+    n, rows = 6, [np.flatnonzero(rng.random(6) < 0.5) for _ in range(40)]
+    at, col = np.repeat(np.arange(40), [len(r) for r in rows]), np.concatenate(rows)
+    grades, share, p = rng.integers(0, 4, 40), rng.random(40), rng.normal(size=n + 3) * 0.5
+    _, g = toxicity.loss(p, at, col, grades, share / share.sum(), n, 0.3)
+    for k in range(len(p)):
+        step = np.eye(len(p))[k] * 1e-6
+        up, down = (toxicity.loss(p + d, at, col, grades, share / share.sum(), n, 0.3)[0] for d in (step, -step))
+        assert g[k] == pytest.approx((up - down) / 2e-6, abs=1e-6)
+
+
+def test_threshold_errs_least():
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        toxic, weight = rng.random(60) < 0.3, rng.integers(1, 4, 60).astype(float)
+        p = np.round(np.clip(toxic * 0.3 + rng.random(60) * 0.7, 0, 1), 2)
+        wrong = lambda t: (weight * (toxic != (p >= t))).sum()
+        assert wrong(toxicity.best_threshold(p, toxic, weight)) == min(wrong(t) for t in np.linspace(-0.005, 1.005, 102))
+
+
 def test_toxicity_held_out(spark, make):
     rng = random.Random(2)
     vocabulary, bad = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)], ["vileone", "viletwo", "grimthing", "foulword"]
