@@ -1,11 +1,13 @@
 """Small helpers shared by the training-data operators.
 
-Spark hands texts to Python in Arrow batches of at most 10,000 rows and about
-64 MB (its own defaults); only a single text can make a batch longer.
+Spark hands texts to Python in Arrow batches of about 64 MB at most, its own
+default, and of ``BATCH_ROWS`` rows, where the session does not say otherwise; only
+a single text can make a batch longer.
 """
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -33,6 +35,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """``BATCH_ROWS`` for a session that has no setting of its own; one that has one keeps it, so no query changes another's batches."""
+    if spark.conf.get(_ROWS, None) is None:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+
+
+def sweep(spark: SparkSession) -> None:
+    """Have the driver's JVM find what is no longer referred to, so that Spark deletes the shuffle files and checkpoints of earlier steps."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def few_parts(df: DataFrame, rows: int, rows_a_part: int = 100_000) -> DataFrame:
+    """A table of ``rows`` rows in no more partitions than it needs, without a shuffle."""
+    return df.coalesce(1 + rows // rows_a_part)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that lost executors cost nothing."""
     shared_dir(df.sparkSession)
@@ -86,6 +109,7 @@ def strings(column) -> list[str]:
 
 def judged(docs: DataFrame, judge: Callable[[pa.Array], list[pa.Array]], schema: str, text: str = "text") -> DataFrame:
     """(row, ...): every row as a struct beside what ``judge`` says of the batch of texts (bytes). Names can't clash."""
+    small_batches(docs.sparkSession)
     base = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), text_bytes(text).alias("bytes"))
     out = T.StructType([base.schema["row"], *T.StructType.fromDDL(schema)])
 

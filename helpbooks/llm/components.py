@@ -31,6 +31,7 @@ def components(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
         n = before[0]
         if not n:
             break
+        e = common.few_parts(e, n)
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         large = common.looked_up(both.filter("v > u"), least, "u", n).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
@@ -43,4 +44,5 @@ def components(edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
         before = after
     else:
         raise RuntimeError("components did not settle")
+    common.sweep(edges.sparkSession)
     return e.select(F.col("u").alias("v"), F.col("v").alias("component")).union(e.select("v", F.col("v").alias("component")).distinct())

@@ -109,6 +109,7 @@ def observed(docs: DataFrame, depth: int = DEPTH, text: str = "text", doc_id: st
                         held = 0
         yield from merged()
 
+    common.small_batches(docs.sparkSession)
     rows = docs.select(is_held_out(doc_id).alias("out"), common.text_bytes(text).alias("text")).mapInArrow(run, "key long, n long")
     return rows.groupBy("key").agg(F.sum("n").alias("n"))
 

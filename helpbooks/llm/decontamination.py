@@ -155,6 +155,7 @@ def blocks_of(items: DataFrame, item_id: str = "item_id", item_text: str = "text
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", item_block: int = ITEM_BLOCK) -> DataFrame:
     """(doc_id, item_id, containment): items of whose shingles a document holds at least ``threshold``."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), common.text_bytes(text).alias("text"))
     out = None
     for block in blocks_of(items, item_block=item_block):

@@ -78,6 +78,7 @@ def length_tilt(cells: DataFrame, cap: float = MAX_COPIES, steps: int = NEWTON_S
         return 0.0, 0.0
     full = F.col("target") >= F.lit(cap) * F.col("source_size") * (1 - 1e-12)
     c = common.cut(cells.filter("s > 0").select("key", "target", F.col("s").cast("double").alias("s"), (long - F.lit(about)).alias("x"), full.alias("full")))
+    c = common.few_parts(c, c.count())
     total = c.agg(F.sum(F.col("s") * F.col("x") ** 2), F.sum(F.when(F.col("full"), F.lit(cap) * F.col("s") * F.col("x")).otherwise(0.0))).first()
     ridge, goal, mu = RIDGE * total[0], -total[1], 0.0
     for _ in range(steps):
@@ -90,6 +91,7 @@ def length_tilt(cells: DataFrame, cap: float = MAX_COPIES, steps: int = NEWTON_S
         mu += step
         if abs(step) < 1e-10:
             break
+    common.sweep(cells.sparkSession)
     return round(mu, 7), about  # rounded, so that the order of sums does not matter
 
 

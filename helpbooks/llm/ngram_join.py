@@ -124,6 +124,7 @@ def band_rows(docs: DataFrame, key: Column, text: str = "text") -> DataFrame:
                 mixed = bands_of(signatures(h, np.append(off[some], off[-1]), _SEEDS))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[lo:hi][some], BANDS)), pa.array(mixed.reshape(-1).view(np.int64))], names=["key", "band"])
 
+    common.small_batches(docs.sparkSession)
     return docs.select(key.alias("key"), common.text_bytes(text).alias("text")).mapInArrow(run, "key long, band long")
 
 

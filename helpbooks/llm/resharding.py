@@ -39,6 +39,8 @@ BUCKETS = 1024
 LARGE = 4096
 BLOCK = "old int, large boolean, bucket long, part int"
 KEYS = [x.split()[0] for x in BLOCK.split(", ")]
+#: Bytes that a task writes, into a file for each shard.
+TASK_BYTES = 512_000_000
 
 
 def free_name(name: str, columns: list[str]) -> str:
@@ -143,10 +145,16 @@ def _crc() -> Column:
     return F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
 
 
+def _long_tasks(rows: DataFrame, total: int) -> DataFrame:
+    """Rows of ``total`` bytes in tasks of about ``TASK_BYTES``, or three a core, so that files are not many and small; without a shuffle."""
+    return rows.coalesce(max(3 * rows.sparkSession.sparkContext.defaultParallelism, total // TASK_BYTES))
+
+
 def lay_out(docs: DataFrame, path: str, shards: int, text: str = "text", doc_id: str = "doc_id") -> None:
     """Write docs below ``path`` as a layout of hash shards, a folder shard=N each."""
     name = free_name("shard", docs.columns)
-    docs.withColumn(name, _hash_shard(F.xxhash64(F.col(doc_id), F.col(text)), shards)).write.partitionBy(name).parquet(path)
+    total = docs.agg(F.sum(_size(text))).first()[0] or 0
+    _long_tasks(docs, total).withColumn(name, _hash_shard(F.xxhash64(F.col(doc_id), F.col(text)), shards)).write.partitionBy(name).parquet(path)
 
 
 class Layout:
@@ -165,10 +173,10 @@ class Layout:
         d = self.spark.read.schema(schema).parquet(self.path)
         return d.select(F.struct(*(d[c] for c in self.columns.names)).alias("row"), F.col(self.shard).alias("shard"), F.col(self.came_from).alias("came_from"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
 
-    def rewrite(self, placed: DataFrame, old_shards: int) -> list[int]:
+    def rewrite(self, placed: DataFrame, old_shards: int, total: int) -> list[int]:
         """Write the shards that gain or lose rows; the others keep their old files. Returns the shards written or removed.
 
-        ``placed`` has ``row``, ``shard`` and ``old``. It may read this layout: new files replace the old ones of
+        ``placed`` has ``row``, ``shard`` and ``old``, and ``total`` bytes. It may read this layout: new files replace the old ones of
         their shard only when all are written. Afterwards it must not be read again. A row for each pair of an old
         and a new shard reaches the driver.
         """
@@ -176,7 +184,7 @@ class Layout:
         touched = sorted({s for a, b in pairs if a != b for s in (a, b)})
         moved = placed.filter(F.col("shard").isin(touched) | (F.col("shard") >= old_shards))
         rows = moved.select(*(F.col("row")[c].alias(c) for c in self.columns.names), F.col("old").alias(self.came_from), F.col("shard").alias(self.shard))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.shard).parquet(self.path)
+        _long_tasks(rows, total).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.shard).parquet(self.path)
         for s in set(touched) - {b for _, b in pairs}:  # it lost all its rows
             common.remove(self.spark, f"{self.path}/{self.shard}={s}")
         return touched
@@ -202,7 +210,7 @@ def reshard_layout(spark: SparkSession, path: str, columns: T.StructType, old_sh
     rows = layout.read().select("row", F.col("shard").alias("old"), F.xxhash64(own_id, own_text).alias("mixed"), F.xxhash64("file", "at").alias("place"), (F.coalesce(F.octet_length(own_text), F.lit(0)) + 1).cast("long").alias("size"))
     d, blocks = with_blocks(rows, old_shards)
     where = spark.createDataFrame([(*key, s) for key, s in plan_blocks(blocks, new_shards).items()], f"{BLOCK}, shard int")
-    touched = layout.rewrite(d.join(F.broadcast(where), KEYS).select("row", "shard", "old"), old_shards)
+    touched = layout.rewrite(d.join(F.broadcast(where), KEYS).select("row", "shard", "old"), old_shards, sum(size for _, size in blocks))
     return read_placed(layout.read(), touched, text, doc_id)
 
 

@@ -206,6 +206,7 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 
 def find(docs: DataFrame, vocabulary: str | None = VOCABULARY, min_log10: float = MIN_LOG10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document; columns as in ``SCHEMA``. No shuffle: every text is scanned where it is read. The driver alone reads the vocabulary."""
+    common.small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(ranked([*WORDS, *vocabulary_words(vocabulary)]) if vocabulary else RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

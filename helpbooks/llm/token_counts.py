@@ -42,6 +42,7 @@ def n_tokens(coder, text: str) -> int:
 def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(n_tokens long, n_docs long), a row per length that occurs. The vocabulary file is read once, on the driver."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     with open(vocabulary, "rb") as f:
         shipped = spark.sparkContext.broadcast(f.read())
 

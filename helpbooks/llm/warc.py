@@ -103,6 +103,7 @@ def arc_archives(pages: DataFrame, date: str = "20000101000000", page_id: str =
         if rows:
             yield file()
 
+    common.small_batches(pages.sparkSession)
     return pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), common.text_bytes(html).alias("html")).mapInArrow(run, "archive string, content binary")
 
 
