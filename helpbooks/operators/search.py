@@ -71,7 +71,8 @@ def write_postings(rows: DataFrame, path: str) -> None:
 def write_index(pages: DataFrame, folder: str) -> None:
     """Page texts and their postings below ``folder``: pages are decoded and stripped once, for all searches to come."""
     pages.drop("error").write.mode("overwrite").parquet(f"{folder}/pages")
-    write_postings(postings(pages.sparkSession.read.parquet(f"{folder}/pages")), f"{folder}/postings")
+    rows = postings(pages.sparkSession.read.schema(PAGES_TEXT).parquet(f"{folder}/pages"))
+    rows.sortWithinPartitions("field", "term").write.partitionBy("field").mode("overwrite").parquet(f"{folder}/postings")  # sorted where they are: ranges would make them twice
 
 
 def open_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
