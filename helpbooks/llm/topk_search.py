@@ -159,7 +159,11 @@ def topk(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: s
     """(query_id long, rank int, vec_id long, score long): each query's k best other rows, ties to the smaller id."""
     spark = vectors.sparkSession
     base = by_norm(vectors, is_query, vec_id, vector, scale)
-    longest = base.orderBy(F.desc("n"), "id").limit(first_bucket).select("id", "v").toArrow()
+    order = [F.desc("n"), F.col("id")]
+    # The last of the longest is found without vectors, so that only those of the first bucket meet in one task.
+    last = base.select("n", "id").orderBy(*order).limit(first_bucket).orderBy("n", F.desc("id")).first()
+    ahead = (F.col("n") > last["n"]) | ((F.col("n") == last["n"]) & (F.col("id") <= last["id"])) if last else F.lit(False)
+    longest = base.filter(ahead).orderBy(*order).limit(first_bucket).select("id", "v").toArrow()
     first_ids = longest.column("id").to_numpy()
     first = matrix(longest.column("v").combine_chunks(), scale)[0] if len(first_ids) else np.zeros((0, 1))
     queries = base.filter("q").select("id", "v")
