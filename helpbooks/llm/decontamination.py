@@ -13,9 +13,9 @@ Smaller items are not hashed to windows: any shingle that an item of at most
 than five words is one run of all its words and is sought among the document's
 runs of that many words, wherever they lie.
 
-Everything happens where a document is read. Items go out in blocks of at most
-``ITEM_BLOCK`` (one pass over the documents each), so what is broadcast has a
-bound. Null and empty texts have no shingles and match nothing. Equal items each match; repeated rows each report. Items with a
+Everything happens where a document is read. Items go out in blocks of about
+``ITEM_BLOCK`` items or ``ITEM_BYTES`` bytes (one pass over the documents each),
+so what is broadcast has a bound, but for a single longer item. Null and empty texts have no shingles and match nothing. Equal items each match; repeated rows each report. Items with a
 null id report a null id. Other columns are not read.
 """
 
@@ -38,7 +38,7 @@ LEAST_CLASS = 16
 EXACT = LEAST_CLASS // 2
 #: Words of a shingle.
 WIDTH = 5
-ITEM_BLOCK = 20_000
+ITEM_BLOCK, ITEM_BYTES = 20_000, 32_000_000
 _SEEDS = ta.seeds(PERMS, 6)
 _EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -143,10 +143,11 @@ class Items:
         return out
 
 
-def blocks_of(items: DataFrame, item_id: str = "item_id", item_text: str = "text", item_block: int = ITEM_BLOCK) -> Iterator[Items]:
-    """The items, at most about ``item_block`` at a time."""
+def blocks_of(items: DataFrame, item_id: str = "item_id", item_text: str = "text", item_block: int = ITEM_BLOCK, item_bytes: int = ITEM_BYTES) -> Iterator[Items]:
+    """The items, about ``item_block`` of them or ``item_bytes`` at a time. Repeated rows go together; each is an item."""
     named = items.select(F.col(item_id).cast("long").alias("item_id"), common.text_bytes(item_text).alias("text"))
-    parts = max(1, -(-named.count() // item_block))
+    n, size = named.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    parts = max(1, -(-n // item_block), -(-(size or 0) // item_bytes))
     for k in range(parts):
         rows = (named if parts == 1 else named.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)).toArrow()
         yield Items(rows.column("item_id").to_pylist(), rows.column("text").to_pylist())

@@ -179,6 +179,8 @@ def test_decontamination(spark, make, sample):
     table, bench = make(rows).repartition(3), spark.createDataFrame(items, "item_id long, text string")
     for block in (20_000, 3):
         assert Counter((r.doc_id, r.item_id) for r in decontamination.contained(table, bench, item_block=block).collect()) == want
+    named = [i for size in (10**9, 2000) for block in [list(decontamination.blocks_of(bench, item_bytes=size))] for i in [len(block), *sorted(x for b in block for x in b.ids if x)]]
+    assert named[0] == 1 < named[len(named) // 2] and named[1 : len(named) // 2] == named[len(named) // 2 + 1 :]
     clean = decontamination.clean(table, bench, item_block=3)
     assert clean.columns == table.columns and clean.count() == len(rows) - len({i for i, _ in want})
     assert decontamination.clean(table, bench.limit(0)).count() == len(rows)
