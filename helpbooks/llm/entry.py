@@ -74,6 +74,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(common.read(spark, sf_dir, "documents")))
 
 
+def op11_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licences
+
+    return licences.digest(licences.find(common.read(spark, sf_dir, "documents")))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import fill_in_middle
+
+    return fill_in_middle.digest(fill_in_middle.transform(common.read(spark, sf_dir, "documents")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import periodic_runs
+
+    return periodic_runs.digest(periodic_runs.find(periodic_runs.planted(common.read(spark, sf_dir, "documents"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_secret_scans, op2_toxicity, op3_warc_conversion, op4_ngram_jaccard_join, op5_context_tree_scores, op6_benchmark_decontamination,
-        op7_resharding, op8_mixing, op9_exact_topk, op10_token_counts, pipeline,
+        op7_resharding, op8_mixing, op9_exact_topk, op10_token_counts, op11_licence_scans, op12_fill_in_middle, op13_periodic_runs, pipeline,
     )
 }
 ORACLES: dict[str, str] = {}
