@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ CP1252_BYTES = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93
 CP1252_CHARS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 
 # The markup patterns and the order in which they become one space each.
-MARKUP = (r"(?i)<script[\s\S]*?</script>", r"(?i)<style[\s\S]*?</style>", r"<[^>]+>", r"(?i)&nbsp;", r"(?i)&[a-z#0-9]+;", f"{SPACE}+")
+TAG, ENTITY = r"<[^>]+>", r"&[a-zA-Z#0-9]+;"
+MARKUP = (r"(?i)<script[\s\S]*?</script>", r"(?i)<style[\s\S]*?</style>", TAG, r"(?i)&nbsp;", ENTITY, f"{SPACE}+")
 TITLE = r"(?i)<title[^>]*>([\s\S]*?)</title>"
 
 
@@ -28,11 +31,55 @@ def trim_space(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"^{SPACE}+", ""), f"{SPACE}+\\z", "")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, the value being made once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _closed(text: Column, end: str, cut: Callable[[Column], Column]) -> Column:
+    """A text of pieces that ``end`` closes, ``cut`` applied to each; what follows the last end stays as it is."""
+
+    def whole(pieces: Column) -> Column:
+        return F.concat(F.array_join(F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), cut), ""), F.element_at(pieces, -1))
+
+    return _let(F.split(text, end, -1), whole)
+
+
+def _without_elements(html: Column, tag: str) -> Column:
+    """Each stretch from an opening tag to the next closing one as a space. A piece between two closing tags is looked at once, so many openings without an end cost no more than others."""
+
+    def cut(piece: Column) -> Column:
+        opened = F.split(piece, f"(?i)<{tag}", 2)
+        return _let(opened, lambda x: F.when(F.size(x) > 1, F.concat(F.get(x, F.lit(0)), F.lit(" "))).otherwise(F.concat(piece, F.lit(f"</{tag}>"))))
+
+    return F.when(html.rlike(f"(?i)</{tag}>"), _closed(html, f"(?i)</{tag}>", cut)).otherwise(html)
+
+
+def _without_tags(html: Column) -> Column:
+    """Each tag as a space, from its first < to the next >, for pages where some < have no end."""
+
+    def cut(piece: Column) -> Column:
+        before = F.substring_index(piece, "<", 1)
+        is_tag = F.contains(piece, F.lit("<")) & (F.concat(before, F.lit("<")) != piece)
+        return F.when(is_tag, F.concat(before, F.lit(" "))).otherwise(F.concat(piece, F.lit(">")))
+
+    return _closed(html, ">", cut)
+
+
 def strip_html(html: Column) -> Column:
-    """Plain text of a page; the title's text stays in."""
-    for pattern in MARKUP:
-        html = F.regexp_replace(html, pattern, " ")
-    return F.trim(html)
+    """Plain text of a page; the title's text stays in.
+
+    What ``MARKUP`` replaces, in that order, in time linear in the page: scripts and
+    styles first, piece by piece; then tags, entities and white space separate
+    the words, in one pass over the rest.
+    """
+
+    def words_of(body: Column) -> Column:
+        unclosed = F.contains(F.substring_index(body, ">", -1), F.lit("<"))
+        return F.when(unclosed, F.split(_without_tags(body), f"{ENTITY}|{SPACE}+", -1)).otherwise(F.split(body, f"{TAG}|{ENTITY}|{SPACE}+", -1))
+
+    body = _without_elements(_without_elements(html, "script"), "style")
+    return F.array_join(F.array_remove(_let(body, words_of), ""), " ")
 
 
 def html_title(html: Column) -> Column:

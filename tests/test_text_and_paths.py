@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +70,27 @@ def test_excerpt(spark):
 @pytest.mark.parametrize("raw,plain", [("Salt &AMP; lime &#8364;5 &#x1F331;", "Salt & lime €5 🌱"), ("&mdash;&;&#;&#x;", "&mdash;&;&#;&#x;"), ("&quot;&apos;&gt;", "\"'>"), ("x&nbsp;y", "x\u00a0y"), ("&#1114112;&#x110000;&#xD800;", "&#1114112;&#x110000;&#xD800;"), ("&amp;lt;", "&lt;"), ("&toString;", "&toString;")])
 def test_entities(raw, plain):
     assert entities.decode_entities(raw) == plain
+
+
+def stripped_in_order(html):
+    """The six replacements one after another."""
+    space = re.sub(r"\\x\{(\w{4})\}", lambda m: chr(int(m[1], 16)), text.SPACE)
+    for pattern in (r"(?i)<script[\s\S]*?</script>", r"(?i)<style[\s\S]*?</style>", r"<[^>]+>", r"(?i)&nbsp;", r"(?i)&[a-z#0-9]+;", f"{space}+"):
+        html = re.sub(pattern, " ", html, flags=re.A)
+    return html.strip(" ")
+
+
+def test_strip_is_the_replacements_in_order(spark):
+    rng = random.Random(11)
+    parts = ["<script", "<SCRIPT src=x>", "</script>", "</Script>", "<style>", "<style", "</STYLE>", "</style >", "<", ">", "<>", "<p>", "</p", "&nbsp;", "&NBSP;", "&amp", "&#39;", ";", "&", " ", "\n", "a", "é", "b c", "\u00a0", "\ufeff", "x>y"]
+    pages = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(6000)]
+    got = values(spark, pages, text.strip_html(F.col("a")))
+    assert [(p, g) for p, g in zip(pages, got, strict=True) if g != stripped_in_order(p)] == []
+
+
+@pytest.mark.parametrize("piece", ["<script ", "<script>", "<style>x", "<", "<b", "&a", "</script>", "<script></script>", "x > y < z "])
+def test_strip_is_linear(spark, piece):
+    values(spark, [piece], text.strip_html(F.col("a")))
+    began = time.time()
+    (got,) = values(spark, [piece * 100_000], text.strip_html(F.col("a")))
+    assert time.time() - began < 8 and got[:50].strip() == stripped_in_order(piece * 50)[:50].strip()
