@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..functions.entities import decode_entities
-from ..operators import clickstream, navigation, search, sitemap
+from ..operators import clickstream, index, navigation, search, sitemap
 from ..sources import books, tables
 from .registry import query
 
@@ -46,7 +46,7 @@ def p2(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("book_id", "path", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("chars"))
 
 
-@query("p3_html_title", rf"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?i)<title[^>]*>([\s\S]*?)</title>', 1), '<[^>]+>', '', 'g'), '^{text.SPACE}+', ''), '{text.SPACE}+\z', '') AS title FROM page_paths", "page_paths")
+@query("p3_html_title", rf"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '{text.TITLE}', 1), '{text.TAG}', '', 'g'), '^{text.SPACE}+', ''), '{text.SPACE}+\z', '') AS title FROM page_paths", "page_paths")
 def p3(spark: SparkSession, sf: str) -> DataFrame:
     return tables.page_paths(spark, sf).select("page_id", text.html_title(F.col("html")).alias("title"))
 
@@ -178,8 +178,9 @@ def p19(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("p20_rank_score", "SELECT query_id, book_id, path, rank, score FROM ranked", "ranked")
 def p20(spark: SparkSession, sf: str) -> DataFrame:
-    rows = search.postings(search.page_texts(tables.entries(spark, sf), "UTF-8"))
-    return search.ranked(search.field_hits(rows, tables.searches(spark)))
+    folder = scratch(spark, "index")
+    index.write(search.page_texts(tables.entries(spark, sf), "UTF-8"), folder)
+    return index.ranked(index.open_index(spark, folder), tables.searches(spark))
 
 
 @query("f1_html_pages", r"SELECT book_id, path, size FROM entries WHERE size > 0 AND regexp_matches(path, '(?i)\.html?\z')", "entries")
@@ -278,9 +279,9 @@ def s5(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s6_persisted_postings", "SELECT field, term, count(*) AS pages, sum(tf)::BIGINT AS tf FROM postings GROUP BY field, term", "postings")
 def s6(spark: SparkSession, sf: str) -> DataFrame:
-    folder = scratch(spark, "postings")
-    search.write_postings(search.postings(search.page_texts(tables.entries(spark, sf), "UTF-8")), folder)
-    return spark.read.parquet(folder).groupBy("field", "term").agg(F.count("*").alias("pages"), F.sum("tf").alias("tf"))
+    folder = scratch(spark, "index")
+    index.write(search.page_texts(tables.entries(spark, sf), "UTF-8"), folder)
+    return index.open_index(spark, folder).postings.groupBy("field", "term").agg(F.count("*").alias("pages"), F.sum("tf").alias("tf"))
 
 
 @query("s7_recent_lists", """SELECT user_id, to_json(list(file_path ORDER BY rank))::VARCHAR AS value FROM (SELECT user_id, file_path, row_number() OVER (PARTITION BY user_id ORDER BY max(ts) DESC, max(seq) DESC, file_path) AS rank FROM opened GROUP BY user_id, file_path) WHERE rank <= 10 GROUP BY user_id""", "opened")

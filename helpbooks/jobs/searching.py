@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import links, search
+from ..operators import index, links, search, segments
+from ..schemas import PAGES_TEXT
 from ..sources import tables
 from .registry import query
 from .scalars import _EXCERPT, scratch
@@ -16,19 +17,15 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     return search.page_texts(tables.entries(spark, sf), "UTF-8")
 
 
-def opened(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(page texts, postings), built once in the shared folder and read from there as often as a query needs them."""
+def opened(spark: SparkSession, sf: str) -> index.Index:
+    """An index in the shared folder, built once and read from there as often as a query needs it."""
     folder = scratch(spark, "index")
-    search.write_index(pages(spark, sf), folder)
-    return search.open_index(spark, folder)
-
-
-def index(spark: SparkSession, sf: str) -> DataFrame:
-    return opened(spark, sf)[1]
+    index.write(pages(spark, sf), folder)
+    return index.open_index(spark, folder)
 
 
 def top(spark: SparkSession, sf: str) -> DataFrame:
-    return search.ranked(search.field_hits(index(spark, sf), tables.searches(spark)))
+    return index.ranked(opened(spark, sf), tables.searches(spark))
 
 
 @query("x1_tokenise", "SELECT book_id, path, field, count(*) AS words, count(DISTINCT term) AS terms FROM occurrences GROUP BY ALL", "occurrences")
@@ -44,17 +41,17 @@ def x2(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("x3_prefix_match", "SELECT DISTINCT token, term FROM postings JOIN tokens ON starts_with(term, token)", ("postings", "tokens"))
 def x3(spark: SparkSession, sf: str) -> DataFrame:
-    return search.prefix_matches(search.dictionary(index(spark, sf)), search.query_tokens(tables.searches(spark)))
+    return index.prefix_matches(opened(spark, sf), tables.searches(spark)).select("token", "term")
 
 
 @query("x3_edge_match", "SELECT DISTINCT token, term FROM postings JOIN tokens ON starts_with(term, token)", ("postings", "tokens"))
 def x3b(spark: SparkSession, sf: str) -> DataFrame:
-    return search.edge_matches(search.dictionary(index(spark, sf)), search.query_tokens(tables.searches(spark)))
+    return search.edge_matches(opened(spark, sf).terms, search.query_tokens(tables.searches(spark)))
 
 
 @query("x4_all_tokens", "SELECT * FROM field_hits", "field_hits")
 def x4(spark: SparkSession, sf: str) -> DataFrame:
-    return search.field_hits(index(spark, sf), tables.searches(spark))
+    return index.field_hits(opened(spark, sf), tables.searches(spark))
 
 
 @query("x5_limits", "SELECT query_id, book_id, path, rank FROM ranked", "ranked")
@@ -74,7 +71,7 @@ _SEARCH = f"""SELECT query_id, book_id, path, title, rank, score, {_EXCERPT} AS
 
 
 def _search(spark: SparkSession, sf: str) -> DataFrame:
-    return search.search(*opened(spark, sf), tables.searches(spark))
+    return index.find(opened(spark, sf), tables.searches(spark))
 
 
 @query("x7_excerpts", f"SELECT book_id, path, query_id, {_EXCERPT} AS excerpt FROM (SELECT *, strpos(lower(text), term) AS hit FROM (SELECT book_id, path, text, query_id, string_split(lower(q), ' ')[1] AS term FROM stripped, (SELECT query_id, trim(q) AS q FROM searches) WHERE length(q) >= 2))", ("stripped", "searches"))
@@ -95,11 +92,11 @@ _IN_BOOK = """SELECT query_id, book_id, count(*) AS hits, sum(first)::BIGINT AS
 @query("x_search_in_book", _IN_BOOK, ("tokens", "postings", "entries"))
 def x_in_book(spark: SparkSession, sf: str) -> DataFrame:
     """Each query in the first and in the last book alone; the book is part of the join."""
-    p, rows = opened(spark, sf)
-    ends = p.agg(F.min("book_id").alias("a"), F.max("book_id").alias("b"))
+    held = opened(spark, sf)
+    ends = held.pages.agg(F.min("book_id").alias("a"), F.max("book_id").alias("b"))
     books = ends.select(F.posexplode(F.array_distinct(F.array("a", "b"))).alias("at", "book_id"))
     asked = tables.searches(spark).drop("book_id").crossJoin(F.broadcast(books))  # two books
-    hits = search.field_hits(rows, asked.withColumn("query_id", F.col("query_id") * 2 + F.col("at")))
+    hits = index.field_hits(held, asked.withColumn("query_id", F.col("query_id") * 2 + F.col("at")))
     return hits.groupBy(F.floor(F.col("query_id") / 2).alias("query_id"), "book_id").agg(F.count("*").alias("hits"), F.sum("first").alias("first"))
 
 
@@ -113,7 +110,7 @@ _NEAR = r"""(SELECT DISTINCT token, term, levenshtein(token, regexp_replace(term
 
 @query("x8_fuzzy_match", f"SELECT token, term FROM {_NEAR}", ("postings", "tokens"))
 def x8(spark: SparkSession, sf: str) -> DataFrame:
-    return search.fuzzy_matches(search.dictionary(index(spark, sf)), search.query_tokens(tables.searches(spark))).select("token", "term")
+    return search.fuzzy_matches(opened(spark, sf).terms, search.query_tokens(tables.searches(spark))).select("token", "term")
 
 
 _BM25 = f"""SELECT query_id, book_id, path, rank, weight FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, book_id, path) AS rank FROM (
@@ -128,21 +125,24 @@ _BM25 = f"""SELECT query_id, book_id, path, rank, weight FROM (SELECT *, row_num
 
 @query("x8_fuzzy_search", _BM25, ("postings", "tokens"))
 def x8b(spark: SparkSession, sf: str) -> DataFrame:
-    return search.fuzzy_search(index(spark, sf), tables.searches(spark))
+    return index.fuzzy_find(opened(spark, sf), tables.searches(spark))
 
 
 @query("x9_statistics", "SELECT (SELECT count(*) FROM stripped WHERE text <> '') AS pages, (SELECT CAST(sum(length(text)) AS BIGINT) FROM stripped) AS text_chars, count(DISTINCT term) AS terms, count(*) AS postings FROM postings", ("stripped", "postings"))
 def x9(spark: SparkSession, sf: str) -> DataFrame:
-    return search.statistics(*opened(spark, sf))
+    return index.statistics(opened(spark, sf))
 
 
 @query("x10_incremental_index", "SELECT * FROM postings", "postings")
 def x10(spark: SparkSession, sf: str) -> DataFrame:
     """Half of the pages first, then all of them: what is there already is not added again."""
-    p = pages(spark, sf).drop("error")
-    half = p.filter(F.pmod(F.xxhash64("path"), F.lit(2)) == 0)
-    seen = half.select("book_id", "path", F.sha2("text", 256).alias("sha256"))
-    return search.add_pages(search.postings(half), p, seen)
+    folder = scratch(spark, "segments")
+    pages(spark, sf).drop("error").write.parquet(f"{folder}/all")  # decoded and stripped once
+    p = spark.read.schema(PAGES_TEXT).parquet(f"{folder}/all")
+    segments.start(spark, folder)
+    segments.change(p.filter(F.pmod(F.xxhash64("path"), F.lit(2)) == 0), folder, 0)
+    segments.change(p, folder, 1)
+    return segments.postings(spark, folder)
 
 
 @query("j4_unlisted_hits", "SELECT DISTINCT h.book_id, h.path FROM ranked h LEFT JOIN (SELECT * FROM entries WHERE ordinal % 5 <> 0) e ON h.book_id = e.book_id AND h.path = e.path WHERE e.path IS NULL", ("ranked", "entries"))
@@ -177,7 +177,7 @@ def a4(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a5_distinct_hits", "SELECT query_id, count(DISTINCT (book_id, path)) AS pages, count(*) AS field_hits FROM field_hits GROUP BY query_id", "field_hits")
 def a5(spark: SparkSession, sf: str) -> DataFrame:
-    hits = search.field_hits(index(spark, sf), tables.searches(spark))
+    hits = index.field_hits(opened(spark, sf), tables.searches(spark))
     return hits.groupBy("query_id").agg(F.count_distinct("book_id", "path").alias("pages"), F.count("*").alias("field_hits"))
 
 
@@ -191,5 +191,5 @@ def w6(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("u2_first_field_wins", "SELECT query_id, book_id, path, min(CASE field WHEN 'title' THEN 0 ELSE 1 END) AS field_ord FROM field_hits GROUP BY ALL", "field_hits")
 def u2(spark: SparkSession, sf: str) -> DataFrame:
-    hits = search.field_hits(index(spark, sf), tables.searches(spark))
+    hits = index.field_hits(opened(spark, sf), tables.searches(spark))
     return hits.groupBy("query_id", "book_id", "path").agg(F.min(search.field_order()).alias("field_ord"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clickstream, requests, search
+from ..operators import clickstream, requests, search, segments
+from ..schemas import PAGES_TEXT
 from ..sources import tables
 from ..streaming import streams
 from .registry import query
@@ -116,3 +117,33 @@ def k4(spark: SparkSession, sf: str) -> DataFrame:
     arriving = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/pages")
     streams.index_pages(arriving, folder, f"{folder}/state").start().awaitTermination()
     return streams.current_postings(spark, folder)
+
+
+_LEFT = "book_id <> (SELECT min(book_id) FROM entries) AND (book_id, path) NOT IN (SELECT (book_id, path) FROM entries WHERE ordinal % 7 = 0)"
+
+
+def _changed(spark: SparkSession, sf: str) -> str:
+    """A folder with an index of several batches: pages of which some are early drafts, the same pages as they are now, twice, then some removed and a book closed."""
+    folder = scratch(spark, "segments")
+    e = tables.entries(spark, sf)
+    search.page_texts(e, "UTF-8").drop("error").join(e.select("book_id", "path", "ordinal"), ["book_id", "path"]).write.parquet(f"{folder}/all")
+    p = spark.read.schema(f"{PAGES_TEXT}, ordinal long").parquet(f"{folder}/all")
+    draft = F.when(F.col("ordinal") % 3 == 0, F.concat(F.lit("early words of "), "text")).otherwise(F.col("text"))
+    gone = p.filter("ordinal % 7 = 0").select("book_id", "path").unionByName(p.agg(F.min("book_id").alias("book_id")).withColumn("path", F.lit(None).cast("string")))
+    removals = gone.select("book_id", "path", F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("gone"))
+    segments.start(spark, folder)
+    for batch, changes in enumerate([p.withColumn("text", draft), p, p.filter("ordinal % 2 = 0"), removals]):
+        segments.change(changes, folder, batch)
+    return folder
+
+
+@query("k4_changed_index", f"SELECT * FROM postings WHERE {_LEFT}", ("postings", "entries"))
+def k4_changed(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left after changes, removals and merging is what an index of these pages alone holds."""
+    return segments.postings(spark, _changed(spark, sf))
+
+
+@query("k4_changed_dictionary", f"SELECT term, count(DISTINCT (book_id, path)) AS df, sum(tf)::BIGINT AS tf FROM postings WHERE {_LEFT} GROUP BY term", ("postings", "entries"))
+def k4_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """The dictionary of the same index, kept by adding and taking away."""
+    return segments.open_index(spark, _changed(spark, sf)).terms.select("term", "df", "tf")

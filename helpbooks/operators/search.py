@@ -3,17 +3,18 @@
 Postings are a long table, a row per (book, page, field, term); no list per term
 is ever collected. A batch of queries is matched against the dictionary of terms
 first and only then, by equality, against the postings, so prefixes and typing
-errors cost a join on the vocabulary, not on the text. ``write_index`` keeps both
-page texts and postings, so that a search reads no page's bytes.
+errors cost a join on the vocabulary, not on the text. ``index`` keeps all of it in
+files, with a dictionary of terms, so that a search reads little of it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
-from ..schemas import PAGES_TEXT, POSTINGS
 
 LEAST_QUERY = 2
 
@@ -22,7 +23,6 @@ def field_order() -> Column:
     return F.when(F.col("field") == "title", 0).otherwise(1)
 
 
-
 def page_texts(entries: DataFrame, charset: str = "windows-1252") -> DataFrame:
     """``schemas.PAGES_TEXT`` plus ``error``: pages with bytes, decoded and stripped.
 
@@ -44,17 +44,32 @@ def indexable(pages: DataFrame) -> DataFrame:
     return pages.filter(F.length("text") > 0)
 
 
-def occurrences(pages: DataFrame) -> DataFrame:
-    """(book_id, path, field, term, pos): each word of title and text of the pages with text.
+def _occurrences(pages: DataFrame, counted: bool = False, *keys: str) -> DataFrame:
+    """Each word of title and text of the pages with text, and further ``keys`` of the pages; if ``counted``, with ``page_words`` (words of the page) and ``first_field`` (false for a title's word that is also in the text).
 
     Written so that no filter moves below the projection that makes the text, which would make it twice.
     """
 
+    def split(name: str) -> Column:
+        return F.when(F.length("text") > 0, text.words(F.col(name)))
+
+    key = ["book_id", "path", *keys]
+    both = pages.select(*key, split("title").alias("title"), split("text").alias("text"))
+    extra = {"page_words": (F.size("title") + F.size("text")).cast("long"), "alone": F.array_except("title", "text")} if counted else {}
+
     def field(name: str) -> Column:
-        return F.struct(F.lit(name).alias("field"), F.when(F.length("text") > 0, text.words(F.col(name))).alias("words"))
+        return F.struct(F.lit(name).alias("field"), F.col(name).alias("words"))
 
-    rows = pages.select("book_id", "path", F.explode(F.array(field("title"), field("text"))).alias("f"))
-    return rows.select("book_id", "path", "f.field", F.posexplode_outer("f.words").alias("pos", "term")).filter("term is not null")
+    rows = both.select(*key, *(v.alias(k) for k, v in extra.items()), F.explode(F.array(field("title"), field("text"))).alias("f"))
+    words = rows.select(*key, *extra, "f.field", F.posexplode_outer("f.words").alias("pos", "term")).filter("term is not null")
+    if counted:
+        words = words.withColumn("first_field", (F.col("field") == "text") | F.array_contains("alone", F.col("term"))).drop("alone")
+    return words
+
+
+def occurrences(pages: DataFrame) -> DataFrame:
+    """(book_id, path, field, term, pos): each word of title and text of the pages with text."""
+    return _occurrences(pages).select("book_id", "path", "field", "pos", "term")
 
 
 def postings(pages: DataFrame) -> DataFrame:
@@ -63,21 +78,10 @@ def postings(pages: DataFrame) -> DataFrame:
     return grouped.agg(F.count("*").alias("tf"), F.min("pos").cast("long").alias("first_pos"))
 
 
-def write_postings(rows: DataFrame, path: str) -> None:
-    """By field, sorted by term within range partitions, so that a reader's term filter skips files."""
-    rows.repartitionByRange("field", "term").sortWithinPartitions("term").write.partitionBy("field").mode("overwrite").parquet(path)
-
-
-def write_index(pages: DataFrame, folder: str) -> None:
-    """Page texts and their postings below ``folder``: pages are decoded and stripped once, for all searches to come."""
-    pages.drop("error").write.mode("overwrite").parquet(f"{folder}/pages")
-    rows = postings(pages.sparkSession.read.schema(PAGES_TEXT).parquet(f"{folder}/pages"))
-    rows.sortWithinPartitions("field", "term").write.partitionBy("field").mode("overwrite").parquet(f"{folder}/postings")  # sorted where they are: ranges would make them twice
-
-
-def open_index(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(page texts, postings) of ``write_index``."""
-    return spark.read.schema(PAGES_TEXT).parquet(f"{folder}/pages"), spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
+def stored_postings(pages: DataFrame, *keys: str) -> DataFrame:
+    """The same with the number of words of the page, whether the row is the first of its term and page, the text before the title, and further ``keys`` of the pages."""
+    grouped = _occurrences(pages, True, *keys).groupBy(*keys, "book_id", "path", "field", "term")
+    return grouped.agg(F.count("*").alias("tf"), F.min("pos").cast("long").alias("first_pos"), F.max("page_words").alias("page_words"), F.bool_or("first_field").alias("first_field"))
 
 
 def add_pages(old: DataFrame, new_pages: DataFrame, seen: DataFrame) -> DataFrame:
@@ -106,15 +110,15 @@ def dictionary(rows: DataFrame) -> DataFrame:
     return rows.select("term").distinct()
 
 
-def prefix_matches(terms: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(token, term) where the term starts with the token.
+def prefix_matches(terms: DataFrame, tokens: DataFrame, *more: str) -> DataFrame:
+    """(token, term) where the term, one row each, starts with the token, and ``more`` columns of the terms.
 
     Both sides meet on their first two letters, or first one for tokens of one
     letter, so that this is an equi-join and not a loop over all pairs.
     """
-    t = terms.select("term", F.explode(F.array_distinct(F.array(F.substring("term", 1, 1), F.substring("term", 1, 2)))).alias("head"))
+    t = terms.select("term", *more, F.explode(F.array_distinct(F.array(F.substring("term", 1, 1), F.substring("term", 1, 2)))).alias("head"))
     k = tokens.select("token").distinct().withColumn("head", F.substring("token", 1, 2))
-    return k.join(t, "head").filter(F.startswith("term", "token")).select("token", "term").distinct()
+    return k.join(t, "head").filter(F.startswith("term", "token")).select("token", "term", *more)
 
 
 def edge_matches(terms: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -132,48 +136,89 @@ def _shortened(word: Column, n: int) -> Column:
     return out
 
 
-def fuzzy_matches(terms: DataFrame, tokens: DataFrame, fuzzy: float = 0.2, most_shortened: int = 2) -> DataFrame:
-    """(token, term, distance) within round(fuzzy x length) edits; tokens that allow none match exactly.
+def fuzzy_matches(terms: DataFrame, tokens: DataFrame, fuzzy: float = 0.2, *more: str, most_shortened: int = 2) -> DataFrame:
+    """(token, term, distance) within round(fuzzy x length) edits, and ``more`` columns of the terms; tokens that allow none match exactly.
+
+    d edits change a length by d at most, so of the terms only those go on whose
+    length is near enough to that of a token with this d; all others cost one
+    lookup of their length. Within d edits both leave a common word when at most d
+    letters are taken out of each, so up to ``most_shortened`` edits the two meet on
+    such words, by equality. For more edits, of longer tokens, they meet on pieces:
+    of d + 1 pieces of the token one is in the term as it is, no more than d letters
+    from its place.
+    """
+    k = tokens.select("token").distinct().withColumns({"n": F.length("token"), "d": F.floor(F.length("token") * fuzzy + 0.5).cast("int")})
+    bands = k.select("d", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - F.col("d")), F.col("n") + F.col("d"))).alias("len")).distinct()
+    sized = terms.select("term", *more, F.length("term").alias("len")).join(F.broadcast(bands), "len")  # a row for each length of a token and what is near it
+    at, to = (F.floor((F.col("j") + more_) * F.col("n") / (F.col("d") + 1)).cast("int") for more_ in (0, 1))
+    pieces = k.filter(F.col("d") > most_shortened).select("token", "n", "d", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("j")).withColumns({"at": at, "size": to - at})
+    sizes = pieces.groupBy("d").agg(F.collect_set("size").alias("sizes"))  # one row for each d, a few sizes in each
+    places = pieces.select("token", "n", "d", F.substring(F.col("token"), F.col("at") + 1, F.col("size")).alias("key"), F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("d")), F.col("at") + F.col("d"))).alias("at"))
+
+    def key(word: Column, at: Column) -> Column:
+        return F.struct(word.alias("key"), at.alias("at"))
+
+    def short(word: str) -> Column:
+        """The words that both sides meet on for d up to ``most_shortened``."""
+        made = F.when(F.col("d") == 0, F.array(F.col(word)))
+        for d in range(1, most_shortened + 1):
+            made = made.when(F.col("d") == d, _shortened(F.col(word), d))
+        return made
+
+    def grams(size: Column) -> Column:
+        return F.when(F.col("len") >= size, F.transform(F.sequence(F.lit(0), F.col("len") - size), lambda i: key(F.substring(F.col("term"), i + 1, size), i))).otherwise(F.array().cast("array<struct<key: string, at: int>>"))
+
+    asked = k.filter(F.col("d") <= most_shortened).select("token", "n", "d", F.explode(short("token")).alias("key"), F.lit(-1).alias("at")).unionByName(places.select("token", "n", "d", "key", "at"))
+    keys = F.when(F.col("d") <= most_shortened, F.transform(short("term"), lambda w: key(w, F.lit(-1)))).otherwise(F.flatten(F.transform("sizes", grams)))
+    held = sized.join(F.broadcast(sizes), "d", "left").select("term", *more, "len", "d", F.explode(keys).alias("k")).select("term", *more, "len", "d", "k.key", "k.at")
+    met = asked.join(held, ["d", "key", "at"]).filter(F.abs(F.col("len") - F.col("n")) <= F.col("d"))
+    near = met.select("token", "d", "term", *more).distinct().withColumn("distance", F.levenshtein("token", "term"))
+    return near.filter(F.col("distance") <= F.col("d")).select("token", "term", "distance", *more)
+
+
+#: Kinds of wanted rows: whether their query has one token, whether it names a book.
+KINDS = {(one, scoped) for one in (True, False) for scoped in (True, False)}
 
-    Within d edits both leave a common word when at most d letters are taken out of
-    each, so up to ``most_shortened`` edits the two meet on such words, by equality.
-    For more edits, of longer tokens, they meet on pieces: of d + 1 pieces of the
-    token one is in the term as it is, no more than d letters from its place.
+
+def wanted(tokens: DataFrame, matches: DataFrame, *more: str) -> DataFrame:
+    """(query_id, scope, token, n_tokens, term, ...): the terms of each query's tokens; ``scope`` is its book or null."""
+    asked = tokens.select("query_id", F.col("book_id").alias("scope"), "token", "n_tokens")
+    return asked.join(matches, "token").select("query_id", "scope", "token", "n_tokens", "term", *more)
+
+
+def _in_scope(rows: DataFrame, wanted: DataFrame, scoped: bool) -> DataFrame:
+    """rows joined with wanted (scope, term, ...) on the term and, of queries that name their book, on the book as well."""
+    if scoped:
+        return rows.join(wanted.filter("scope is not null").withColumnRenamed("scope", "book_id"), ["book_id", "term"])
+    return rows.join(wanted.filter("scope is null").drop("scope"), "term")
+
+
+def hits_of(rows: DataFrame, wanted: DataFrame, kinds: set[tuple[bool, bool]] = KINDS, limit: int | None = None) -> DataFrame:
+    """(query_id, field, book_id, path, first) of postings and wanted rows, of which ``kinds`` occur.
+
+    With a limit, of a query of one token the first ``limit`` rows of each field and
+    term go on: a page among the first ``limit`` of the field is among those of the
+    term that puts it there. Spark applies it within each task before it shuffles.
     """
-    k = tokens.select("token").distinct().withColumn("d", F.floor(F.length("token") * fuzzy + 0.5).cast("int"))
-    met = k.filter("d = 0").join(terms.select(F.col("term").alias("token")), "token", "left_semi").select("token", "d", F.col("token").alias("term"))
-    for d in range(1, most_shortened + 1):
-        left = k.filter(F.col("d") == d).select("token", "d", F.explode(_shortened(F.col("token"), d)).alias("short"))
-        right = terms.select("term", F.explode(_shortened(F.col("term"), d)).alias("short"))
-        met = met.unionByName(left.join(right, "short").select("token", "d", "term"))
-    n, parts = F.length("token"), F.col("d") + 1
-    cut = F.transform(F.sequence(F.lit(0), F.col("d")), lambda j: F.struct(F.floor(j * n / parts).cast("int").alias("at"), F.floor((j + 1) * n / parts).cast("int").alias("to")))
-    pieces = k.filter(F.col("d") > most_shortened).select("token", "d", F.explode(cut).alias("c")).select("token", "d", "c.at", F.substring(F.col("token"), F.col("c.at") + 1, F.col("c.to") - F.col("c.at")).alias("piece"))
-    places = pieces.select("token", "d", "piece", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("d")), F.col("at") + F.col("d"))).alias("at"))
-    sizes = F.broadcast(pieces.select(F.length("piece").alias("n")).distinct())  # one row for each length of a piece
-    long = terms.select("term", F.length("term").alias("len")).join(sizes, F.col("len") >= F.col("n"))
-    grams = long.select("term", "n", F.explode(F.sequence(F.lit(0), F.col("len") - F.col("n"))).alias("at")).select("term", "at", F.substring(F.col("term"), F.col("at") + 1, F.col("n")).alias("piece"))
-    met = met.unionByName(places.join(grams, ["piece", "at"]).select("token", "d", "term"))
-    near = met.distinct().withColumn("distance", F.levenshtein("token", "term"))
-    return near.filter(F.col("distance") <= F.col("d")).select("token", "term", "distance")
-
-
-def _in_scope(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rows joined with wanted (scope, term, ...) on the term and, where a query names its book, on the book as well."""
-    everywhere = rows.join(wanted.filter("scope is null").drop("scope"), "term")
-    within = rows.join(wanted.filter("scope is not null").withColumnRenamed("scope", "book_id"), ["book_id", "term"])
-    return everywhere.unionByName(within)
+    columns = ["query_id", "n_tokens", "field", "book_id", "path", "token"]
+    parts = []
+    for one, scoped in sorted(kinds if limit else {(False, scoped) for _, scoped in kinds}):
+        own = wanted.filter("n_tokens = 1" if one else "n_tokens > 1") if limit else wanted
+        found = _in_scope(rows, own, scoped).select(*columns, "term", "first_pos")
+        if one:
+            best = Window.partitionBy("query_id", "field", "term").orderBy("first_pos", "book_id", "path")
+            found = found.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= limit).drop("rn")
+        parts.append(found)
+    found = reduce(DataFrame.unionByName, parts) if parts else rows.join(wanted, "term").select(*columns, "term", "first_pos")
+    each = found.groupBy(*columns).agg(F.min("first_pos").alias("first"))
+    whole = each.groupBy("query_id", "n_tokens", "field", "book_id", "path").agg(F.count("*").alias("n"), F.sum("first").alias("first"))
+    return whole.filter("n = n_tokens").select("query_id", "field", "book_id", "path", "first")
 
 
 def field_hits(rows: DataFrame, queries: DataFrame, matches: DataFrame | None = None) -> DataFrame:
     """(query_id, field, book_id, path, first): pages where all tokens match in one field; ``first`` sums first positions."""
     tokens = query_tokens(queries)
-    matches = prefix_matches(dictionary(rows), tokens) if matches is None else matches
-    wanted = tokens.select("query_id", F.col("book_id").alias("scope"), "token", "n_tokens").join(matches, "token")
-    found = _in_scope(rows, wanted)
-    each = found.groupBy("query_id", "n_tokens", "field", "book_id", "path", "token").agg(F.min("first_pos").alias("first"))
-    whole = each.groupBy("query_id", "n_tokens", "field", "book_id", "path").agg(F.count("*").alias("n"), F.sum("first").alias("first"))
-    return whole.filter("n = n_tokens").select("query_id", "field", "book_id", "path", "first")
+    return hits_of(rows, wanted(tokens, prefix_matches(dictionary(rows), tokens) if matches is None else matches))
 
 
 def ranked(hits: DataFrame, limit: int = 30) -> DataFrame:
@@ -212,30 +257,28 @@ def search(pages: DataFrame, rows: DataFrame, queries: DataFrame, limit: int = 3
     return with_meta(ranked(field_hits(rows, queries), limit), pages, queries, radius)
 
 
-def fuzzy_search(rows: DataFrame, queries: DataFrame, limit: int = 50, fuzzy: float = 0.2, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, book_id, path, rank, weight): pages with any token by prefix or within typing errors, by BM25.
-
-    A term reached by prefix or by an error weighs 1 / (1 + letters off).
-    """
-    tokens = query_tokens(queries)
-    terms = dictionary(rows)
-    off = prefix_matches(terms, tokens).withColumn("off", (F.length("term") - F.length("token")).cast("int"))
-    near = off.unionByName(fuzzy_matches(terms, tokens, fuzzy).select("token", "term", F.col("distance").alias("off"))).groupBy("token", "term").agg(F.min("off").alias("off"))
-    page = rows.groupBy("book_id", "path").agg(F.sum("tf").alias("len"))
-    about = page.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    tf = rows.groupBy("term", "book_id", "path").agg(F.sum("tf").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    wanted = tokens.select("query_id", F.col("book_id").alias("scope"), "token").join(near, "token").groupBy("query_id", "scope", "term").agg(F.min("off").alias("off"))
-    found = _in_scope(tf, wanted).join(df, "term").join(page, ["book_id", "path"]).crossJoin(F.broadcast(about))  # one row
+def weighted(rows: DataFrame, wanted: DataFrame, about: DataFrame, limit: int, k1: float, b: float, kinds: set[tuple[bool, bool]] = KINDS) -> DataFrame:
+    """(query_id, book_id, path, rank, weight) by BM25 of postings with ``page_words`` and wanted rows with ``df`` and ``off``; ``about`` is one row (pages, words)."""
+    asked = wanted.groupBy("query_id", "scope", "term", "df").agg(F.min("off").alias("off"))
+    parts = [_in_scope(rows, asked, scoped).select("query_id", "term", "book_id", "path", "tf", "page_words", "df", "off") for scoped in sorted({scoped for _, scoped in kinds or KINDS})]
+    each = reduce(DataFrame.unionByName, parts).repartition("query_id", "book_id", "path").groupBy("query_id", "book_id", "path", "term", "page_words", "df", "off").agg(F.sum("tf").alias("tf"))
+    found = each.crossJoin(F.broadcast(about.select(F.col("pages").alias("n"), F.try_divide("words", "pages").alias("avg_len"))))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))) / (1 + F.col("off"))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("page_words") / F.col("avg_len"))) / (1 + F.col("off"))
     total = found.groupBy("query_id", "book_id", "path").agg(F.round(F.sum(weight), 6).alias("weight"))
     order = Window.partitionBy("query_id").orderBy(F.desc("weight"), "book_id", "path")
     return total.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= limit).select("query_id", "book_id", "path", "rank", "weight")
 
 
-def statistics(pages: DataFrame, rows: DataFrame) -> DataFrame:
-    """One row: pages, text_chars, terms, postings."""
-    p = indexable(pages).agg(F.count("*").alias("pages"), F.sum(F.length("text")).cast("long").alias("text_chars"))
-    r = rows.agg(F.count_distinct("term").alias("terms"), F.count("*").alias("postings"))
-    return p.crossJoin(r)  # one row each
+def fuzzy_search(rows: DataFrame, queries: DataFrame, limit: int = 50, fuzzy: float = 0.2, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, book_id, path, rank, weight): pages with any token by prefix or within typing errors, by BM25, from postings alone.
+
+    A term reached by prefix or by an error weighs 1 / (1 + letters off).
+    """
+    tokens = query_tokens(queries)
+    page = rows.groupBy("book_id", "path").agg(F.sum("tf").alias("page_words"))
+    terms = rows.groupBy("term").agg(F.count_distinct("book_id", "path").alias("df"))
+    off = prefix_matches(terms, tokens, "df").withColumn("off", (F.length("term") - F.length("token")).cast("int"))
+    near = off.unionByName(fuzzy_matches(terms, tokens, fuzzy, "df").withColumnRenamed("distance", "off")).groupBy("token", "term", "df").agg(F.min("off").alias("off"))
+    about = page.agg(F.count("*").alias("pages"), F.sum("page_words").alias("words"))
+    return weighted(rows.join(page, ["book_id", "path"]), wanted(tokens, near, "df", "off"), about, limit, k1, b)

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import trim_space
-from ..operators import requests, search
+from ..operators import requests, segments
 from ..operators.clickstream import LEAST_QUERY, QUIET_MS, History
-from ..schemas import NAV_STATES, POSTINGS
+from ..schemas import NAV_STATES
 
 _STATE = "past array<string>, current string, future array<string>, waiting array<struct<us: long, seq: long, action: string, url: string>>"
 IDLE_MS = 24 * 3600 * 1000
@@ -77,38 +77,12 @@ def status_counts(resolved_stream: DataFrame, window: str = "1 minute", delay: s
     return counted.select(F.col("w.start").alias("window_start"), "status", "requests")
 
 
-_SEEN = "book_id string, path string, sha256 string"
-
-
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table below ``path`` with a folder for each batch; an empty one is there from the start."""
-    return spark.read.schema(f"{schema}, batch long").parquet(path)
-
-
 def index_pages(pages: DataFrame, folder: str, checkpoint: str):
-    """A streaming query that adds pages (``schemas.PAGES_TEXT``) to an index below ``folder``.
-
-    A page that is there already with the same text is passed over; one that comes
-    again with another text replaces its postings (``current_postings``). Of
-    several texts of a page in one batch the one of the greatest hash counts. Each
-    batch is one folder, overwritten if the batch is retried.
-    """
-    spark = pages.sparkSession
-    for name, schema in (("seen", _SEEN), ("postings", POSTINGS)):
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/{name}/batch=-1")
-
-    def add(batch: DataFrame, batch_id: int) -> None:
-        now = batch.withColumn("sha256", F.sha2("text", 256)).groupBy("book_id", "path").agg(F.max_by(F.struct("title", "text", "sha256"), "sha256").alias("p")).select("book_id", "path", "p.*")
-        before = _table(batch.sparkSession, f"{folder}/seen", _SEEN).filter(F.col("batch") < batch_id)
-        known = before.groupBy("book_id", "path").agg(F.max_by("sha256", "batch").alias("sha256"))
-        fresh = now.join(known, ["book_id", "path", "sha256"], "left_anti")
-        search.postings(fresh).write.mode("overwrite").parquet(f"{folder}/postings/batch={batch_id}")
-        fresh.select("book_id", "path", "sha256").write.mode("overwrite").parquet(f"{folder}/seen/batch={batch_id}")
-
-    return pages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    """A streaming query that applies changes of pages (``schemas.PAGES_TEXT``, and ``gone`` for removals) to the index of ``segments`` below ``folder``, a micro-batch at a time."""
+    segments.start(pages.sparkSession, folder)
+    return pages.writeStream.foreachBatch(lambda batch, batch_id: segments.change(batch, folder, batch_id)).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
 def current_postings(spark: SparkSession, folder: str) -> DataFrame:
-    """``schemas.POSTINGS`` of an index that ``index_pages`` keeps: those of the latest batch of each page."""
-    latest = _table(spark, f"{folder}/seen", _SEEN).groupBy("book_id", "path").agg(F.max("batch").alias("batch"))
-    return _table(spark, f"{folder}/postings", POSTINGS).join(latest, ["book_id", "path", "batch"]).drop("batch")
+    """``schemas.POSTINGS`` of an index that ``index_pages`` keeps."""
+    return segments.postings(spark, folder)
