@@ -83,16 +83,16 @@ def remove(spark: SparkSession, path: str) -> None:
 HOT, HOT_SHARE = 1000, 10_000
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str, n_rows: int, count: str = "n") -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, key: str, n_rows: int, count: str = "n", how: str = "inner") -> DataFrame:
     """``rows`` (``n_rows`` of them) with the other columns of ``table``, which has one row a key and says in ``count`` how many rows have it.
 
-    An inner equi-join that no hot key can hold up: rows of hot keys find theirs in a broadcast table, which has fewer
-    than HOT_SHARE rows; all others are dealt by key. Null keys find nothing.
+    An inner (or left) equi-join that no hot key can hold up: rows of hot keys find theirs in a broadcast table, which has fewer
+    than HOT_SHARE rows; all others are dealt by key. Null keys find nothing, and a left join should have none.
     """
     hot = table.filter(F.col(count) > max(HOT, n_rows // HOT_SHARE))
     names = [c for c in table.columns if c != key]
     tried = rows.join(F.broadcast(hot.select(key, F.struct(*names).alias("_found"))), key, "left")
-    dealt = tried.filter("_found is null").drop("_found").join(table, key)
+    dealt = tried.filter("_found is null").drop("_found").join(table, key, how)
     at_once = tried.filter("_found is not null").select(*rows.columns, *(F.col("_found")[c].alias(c) for c in names))
     return dealt.select(at_once.columns).unionByName(at_once)
 

@@ -11,11 +11,17 @@ back by declared lengths. Both formats go through Spark's text writer, so any
 file system will do; its files end in .txt or .txt.gz.
 
 Null page ids sort below all others and stay null; a null html is an empty
-payload; a null URL becomes ``urn:null``; white space in URLs is percent-encoded.
-Repeated rows become records of their own, of which one is the response. Very
+payload; a null URL becomes ``urn:null``, an empty one ``urn:empty``; white space
+in URLs is percent-encoded. Repeated rows become records of their own, of which one
+is the response; of equal page ids it is that of the greatest record id. Record
+ids come from the name that an archive declares, its file's name without what a
+writing job adds to it, and the record's place, so a rerun over the same rows in the
+same order gives the same ones. The first record of a file is its version block,
+whatever the URLs of others. Very
 long pages are records like any other: files are cut by bytes and read record by
-record. A header line that cannot be read, or a length beyond the file's end,
-ends that file with a row of type ``error``; later files are still read. No
+record. A header line that cannot be read, a length beyond the file's end or
+compression that breaks off ends that file with a row of type ``error``, after
+the records before it; later files are still read. No
 pages, no files, no rows. Other columns, whatever their names, are not read.
 """
 
@@ -41,11 +47,14 @@ from . import common
 # The header lines that ARC version blocks declare.
 V1_FIELDS = "URL IP-address Archive-date Content-type Archive-length"
 V2_FIELDS = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
+PAGE_ID = re.compile(rb"\r\nX-Page-Id: (-?\d{1,18})\r\n")
 RECORDS_PER_FILE = 2000
 #: Bytes after which an ARC file ends, or a batch of rows.
 FILE_BYTES = 48_000_000
-#: Repeated payloads up to this number are announced to all tasks; beyond it records are dealt by digest.
+#: Repeated payloads up to this number are announced to all tasks; beyond it the commonest are, and the other records are dealt by digest.
 ANNOUNCED = 100_000
+#: What a Spark job adds to the names of the files that it writes.
+_WRITER = re.compile(r"-[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}-c")
 RECORD = "record_id string, warc_type string, target_uri string, warc_date string, ip string, content_type string, page_id long, payload_bytes long, payload_digest string, block_digest string, header_bytes int, block binary"
 READ = "record_id string, warc_type string, target_uri string, warc_date string, page_id long, payload_bytes long, payload_digest string, refers_to_id string, payload binary, error string"
 
@@ -55,7 +64,14 @@ def digest(data: bytes) -> str:
 
 
 def _word(text: str | None) -> str:
-    return re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), text or "") or "urn:null"
+    if not text:
+        return "urn:null" if text is None else "urn:empty"
+    return re.sub(r"\s", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), text)
+
+
+def _number(text: str) -> int | None:
+    """A length of plain digits; null for anything else."""
+    return int(text) if text.isascii() and text.isdigit() and len(text) <= 18 else None
 
 
 def http_block(payload: bytes, page_id: int | None) -> bytes:
@@ -117,6 +133,32 @@ def plain(content: bytes) -> bytes:
     return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
 
 
+def _unpacked(content: bytes) -> tuple[bytes, str | None]:
+    """A file's bytes without compression, as far as they go, and what stopped them."""
+    if content[:2] != b"\x1f\x8b":
+        return content, None
+    file, out = gzip.GzipFile(fileobj=io.BytesIO(content)), []
+    try:
+        while part := file.read1(1 << 16):
+            out.append(part)
+    except (EOFError, OSError, zlib.error) as e:  # cut off or damaged
+        return b"".join(out), str(e)
+    return b"".join(out), None
+
+
+def arc_records(archive: str, content: bytes) -> Iterator[tuple]:
+    """The records of an ARC file, compressed or not, as rows of ``RECORD``."""
+    data, stopped = _unpacked(content)
+    name, failed, at = _WRITER.sub("-c", archive), False, 0
+    for r in parse_arc(data):
+        if r.get("version"):
+            name = f"{r['url'].partition('//')[2]}#{name}"
+        failed, at = r["error"] is not None, r["at"]
+        yield warc_record(name, r | ({"error": stopped} if failed and stopped else {}))
+    if stopped and not failed:
+        yield warc_record(name, {"at": at + 1, "error": stopped})
+
+
 def parse_arc(content: bytes) -> Iterator[dict]:
     """Records in file order: url, ip, date, type, block, at; or, last, an error."""
     at, fields = 0, None
@@ -127,27 +169,29 @@ def parse_arc(content: bytes) -> Iterator[dict]:
         stop = content.find(b"\n", at)
         parts = content[at : stop if stop >= 0 else len(content)].decode("utf-8", "replace").rstrip("\r").split(" ")
         n = fields or (5 if len(parts) == 5 else 10)
-        if stop < 0 or len(parts) != n or not parts[-1].isdigit():
+        length = _number(parts[-1])
+        if stop < 0 or len(parts) != n or length is None:
             yield {"at": at, "error": "header line"}
             return
-        begin, length = stop + 1, int(parts[-1])
+        begin = stop + 1
         if begin + length > len(content):
             yield {"at": at, "error": "declared length"}
             return
         block = content[begin : begin + length]
-        if fields is None:  # the version block says which header lines follow
+        version = fields is None
+        if version:  # the version block says which header lines follow
             lines = block.split(b"\n")
             fields = 10 if lines[0][:1] == b"2" else 5 if lines[0][:1] == b"1" else 0
             if not parts[0].startswith("filedesc:") or not fields or len(lines) < 2 or len(lines[1].split()) != fields:
                 yield {"at": at, "error": "version block"}
                 return
-        yield {"at": at, "url": parts[0], "ip": parts[1], "date": parts[2], "type": parts[3], "block": block, "error": None}
+        yield {"at": at, "url": parts[0], "ip": parts[1], "date": parts[2], "type": parts[3], "block": block, "version": version, "error": None}
         at = begin + length
 
 
 def iso_date(date: str) -> str | None:
     """14 digits, or fewer that are filled up, as an ISO timestamp; else null."""
-    if not re.fullmatch(r"\d{4}(\d\d){0,5}", date):
+    if not re.fullmatch(r"[0-9]{4}([0-9]{2}){0,5}", date):
         return None
     d = date + "00000101000000"[len(date) :]
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
@@ -159,12 +203,12 @@ def warc_record(archive: str, r: dict) -> tuple:
     if r["error"]:
         return (record_id, "error", None, None, None, r["error"], None, None, None, None, None, None)
     block, kind, header, page = r["block"], "resource", 0, None
-    if r["url"].startswith("filedesc:"):
+    if r["version"]:
         kind = "warcinfo"
     elif block.startswith(b"HTTP/"):
         kind, cut = "response", block.find(b"\r\n\r\n")
         header = cut + 4 if cut >= 0 else len(block)
-        m = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", block[:header])
+        m = re.search(PAGE_ID, block[:header])
         page = int(m[1]) if m else None
     payload = block[header:]
     types = {"warcinfo": "application/warc-fields", "response": "application/http;msgtype=response"}
@@ -194,7 +238,7 @@ def convert(archives: DataFrame, block: bool = True) -> DataFrame:
     schema = RECORD if block else RECORD.removesuffix(", block binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (warc_record(a.as_py(), r) for b in batches for a, c in zip(*b.columns, strict=True) for r in parse_arc(plain(c.as_py() or b"")))
+        rows = (r for b in batches for a, c in zip(*b.columns, strict=True) for r in arc_records(a.as_py() or "", c.as_py() or b""))
         yield from _packed(rows if block else (r[:-1] for r in rows), schema)
 
     return archives.select("archive", "content").mapInArrow(run, schema)
@@ -216,16 +260,20 @@ def repeated(records: DataFrame, min_payload: int = 0) -> DataFrame:
     Only digests are grouped, with partial sums, so a payload that a third of all records share is one row per task.
     """
     best = F.max(F.struct(F.coalesce("page_id", F.lit(-(2**63))), "record_id"))["record_id"].alias("kept")
-    return records.filter(_eligible(min_payload)).groupBy(F.col("payload_digest").alias("digest")).agg(best, F.count("*").alias("n")).filter("n > 1").select("digest", "kept")
+    return records.filter(_eligible(min_payload)).groupBy(F.col("payload_digest").alias("digest")).agg(best, F.count("*").alias("n")).filter("n > 1").select("digest", "kept", "n")
 
 
 def mark_revisits(records: DataFrame, again: DataFrame, min_payload: int = 0) -> DataFrame:
     """``records`` plus ``refers_to_id``: of the payloads in ``again``, a table of ``repeated``, all responses but one become revisits without payload."""
-    few = again.count() <= ANNOUNCED
-    joined = records.join(F.broadcast(again) if few else again, _eligible(min_payload) & (F.col("payload_digest") == F.col("digest")), "left")
+    n, rows = again.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    own = F.when(_eligible(min_payload), F.col("payload_digest"))
+    if n <= ANNOUNCED:
+        joined = records.withColumn("digest", own).join(F.broadcast(again), "digest", "left")
+    else:  # a record without a digest of its own is dealt by its id
+        joined = common.looked_up(records.withColumn("digest", F.coalesce(own, "record_id")), again, "digest", rows, how="left")
     revisit = F.col("kept").isNotNull() & (F.col("kept") != F.col("record_id"))
     changed = {"warc_type": F.when(revisit, "revisit").otherwise(F.col("warc_type")), "refers_to_id": F.when(revisit, F.col("kept")), "block": F.when(revisit, F.substring("block", F.lit(1), F.col("header_bytes"))).otherwise(F.col("block"))}
-    return joined.withColumns(changed).drop("digest", "kept")
+    return joined.withColumns(changed).drop("digest", "kept", "n")
 
 
 def warc_member(r: dict) -> bytes:
@@ -267,14 +315,14 @@ def parse_warc(file: BinaryIO) -> Iterator[tuple]:
         while (line := file.readline()) not in (b"\r\n", b""):
             k, _, v = line.decode("utf-8", "replace").partition(":")
             field[k.lower()] = v.strip()
-        length = field.get("content-length", "")
-        block = file.read(int(length)) if length.isdigit() else b""
-        if not line or not first.startswith(b"WARC/") or not length.isdigit() or len(block) != int(length):
+        length = _number(field.get("content-length", ""))
+        block = file.read(length) if length is not None else b""
+        if not line or not first.startswith(b"WARC/") or len(block) != length:
             yield (None, "error", None, None, None, None, None, None, None, f"record {number}")
             return
         cut = block.find(b"\r\n\r\n") + 4 if block.startswith(b"HTTP/") else 0
         payload = block[cut:]
-        m = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", block[:cut])
+        m = re.search(PAGE_ID, block[:cut])
         kind, said = field.get("warc-type"), field.get("warc-payload-digest", "").removeprefix("sha1:")
         own = None if kind == "revisit" else digest(payload)
         yield (field.get("warc-record-id"), kind, field.get("warc-target-uri"), field.get("warc-date"), int(m[1]) if m else None, None if own is None else len(payload), own or said, field.get("warc-refers-to"), None if own is None else payload, None if own in (None, said) else "payload digest")
@@ -317,6 +365,10 @@ def round_trip(pages: DataFrame, folder: str, min_payload: int = 0) -> DataFrame
     write_arc(arc_archives(pages), f"{folder}/arc")
     convert_files(spark, f"{folder}/arc", f"{folder}/warc", min_payload)
     back = common.cut(read_warc(spark, f"{folder}/warc", payload=False).filter("warc_type in ('response', 'revisit', 'error')"))
-    kept = back.filter("warc_type = 'response'").select(F.col("record_id").alias("kept_id"), F.col("page_id").alias("kept_page"), F.col("payload_bytes").alias("kept_bytes"))
-    out = back.join(kept, F.col("refers_to_id") == F.col("kept_id"), "left")
+    again = back.filter("refers_to_id is not null")
+    asked = again.groupBy(F.col("refers_to_id").alias("kept_id")).agg(F.count("*").alias("n"))
+    kept = back.filter("warc_type = 'response'").select(F.col("record_id").alias("kept_id"), F.col("page_id").alias("kept_page"), F.col("payload_bytes").alias("kept_bytes")).join(asked, "kept_id")
+    revisits = common.looked_up(again.withColumn("kept_id", F.col("refers_to_id")), kept, "kept_id", back.count(), how="left")
+    none = F.lit(None).cast("long")
+    out = back.filter("refers_to_id is null").withColumns({"kept_page": none, "kept_bytes": none}).unionByName(revisits.drop("kept_id", "n"))
     return out.select("page_id", F.coalesce("payload_bytes", "kept_bytes").alias("payload_bytes"), "payload_digest", F.col("warc_type").alias("record_type"), F.col("kept_page").alias("refers_to"), "record_id", "target_uri", "warc_date", "error")

@@ -442,3 +442,32 @@ def test_arc_versions(version):
 @pytest.mark.parametrize("raw,iso", [("2001", "2001-01-01T00:00:00Z"), ("20010203", "2001-02-03T00:00:00Z"), ("x", None), ("", None)])
 def test_arc_dates(raw, iso):
     assert warc.iso_date(raw) == iso
+
+
+def test_no_page_is_lost_or_stops_the_job(spark, tmp_path):
+    urls = ["filedesc://x", "filedesc:", "", None, "http://a/ b", "²"]
+    pages = spark.createDataFrame([(k, u, f"<p>{k // 2}</p>") for k, u in enumerate(urls)], "page_id long, url string, html string").coalesce(1)
+    got = [warc.round_trip(pages, str(tmp_path / f"w{k}")).orderBy("page_id").collect() for k in range(2)]
+    assert [r.page_id for r in got[0]] == list(range(6)) and [r.record_type for r in got[0]] == ["revisit", "response"] * 3
+    assert [r.target_uri for r in got[0]] == ["filedesc://x", "filedesc:", "urn:empty", "urn:null", "http://a/%20b", "²"]
+    assert [r.record_id for r in got[0]] == [r.record_id for r in got[1]]  # of a rerun, too
+
+
+def test_damaged_arc_files(spark, tmp_path):
+    import gzip
+    import random
+
+    noise = random.Random(2).randbytes(400_000)
+    data = warc.arc_file("f.arc", 1, "20010203040506", [("http://x/", warc.http_block(b"hi", 5)), ("http://y/", noise)])
+    files = {"cut.arc.gz": gzip.compress(data)[:300_000], "odd.arc": data[:-1] + b"http://z/ 0.0.0.0 2001 text/plain \xc2\xb2\n", "long.arc": data[:-1] + b"http://z/ 0.0.0.0 2001 text/plain " + b"9" * 5000 + b"\n", "no.arc": b"\x1f\x8bnot gzip", "empty.arc": b"", "whole.arc.gz": gzip.compress(data)}
+    (tmp_path / "in").mkdir()
+    for name, content in files.items():
+        (tmp_path / "in" / name).write_bytes(content)
+    rows = defaultdict(list)
+    for r in warc.convert(spark.createDataFrame([(n, bytearray(c)) for n, c in files.items()], "archive string, content binary"), block=False).collect():
+        rows[r.target_uri or r.content_type].append(r.warc_type)
+    assert rows["http://x/"] == ["response"] * 4 and rows["http://y/"] == ["resource"] * 3 and rows["header line"] == ["error"] * 2
+    assert sum(map(len, rows.values())) == 4 + 4 + 3 + 4  # version blocks, pages, and an error for each damaged file
+    warc.convert_files(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    types = Counter(r.warc_type for r in warc.read_warc(spark, str(tmp_path / "out")).collect())
+    assert types == {"warcinfo": 4, "response": 1, "revisit": 3, "resource": 3}
