@@ -1,5 +1,6 @@
 import hashlib
 import math
+import time
 import random
 import re
 import zlib
@@ -177,6 +178,24 @@ def test_topk(spark):
     assert few.count() == 2
 
 
+def test_topk_of_repeated_ids(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 2.0]), (50, [1.0, 0.0]), (1, [3.0, 1.0]), (1, [3.0, 1.0]), (2, [-1.0, 5.0]), (100, [0.5, 0.5])]
+    got = topk_search.topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 50 == 0, k=3)
+    want = []
+    for n, (i, q) in enumerate(rows):
+        if i % 50 == 0:
+            others = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(q, v, strict=True)), j) for m, (j, v) in enumerate(rows) if m != n)[:3]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(others)]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 12
+
+
+def test_white_space_in_many_runs_is_quick(make):
+    text = ("x" + " " * 9_999) * 300
+    began = time.time()
+    assert token_counts.length_histogram(make([(1, text, "s")])).count() == 1
+    assert time.time() - began < 15
+
+
 def test_topk_large_values(spark):
     df = spark.createDataFrame([(0, [1e6, 3.0]), (1, [1e6, 5.0]), (2, [-1e6, 1.0]), (3, [1e15, 1e15])], "vec_id long, embedding array<double>")
     got = {r.vec_id: r.score for r in topk_search.topk(df, F.col("vec_id") == 0).collect()}
