@@ -70,6 +70,21 @@ def test_history_over_several_batches(spark, tmp_path):
     assert len(want) > 300 and sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_idle_readers_leave_no_state(spark, tmp_path):
+    hour = 3600
+    batches = [[("a", 0, 0, "navigate", "chm://b/1.htm"), ("a", 5, 1, "navigate", "chm://b/2.htm")], [("b", 3 * hour, 2, "navigate", "chm://b/9.htm")], [("b", 3 * hour + 300, 3, "back", None), ("a", 3 * hour + 301, 4, "back", None)], [("c", 9 * hour, 5, "navigate", "chm://b/5.htm")], [("c", 19 * hour, 6, "forward", None)]]
+    for k, rows in enumerate(batches):
+        log = spark.createDataFrame(rows, "session_id string, at long, seq long, action string, url string").withColumn("ts", F.timestamp_seconds(F.col("at") + 1_700_000_000)).drop("at")
+        log.coalesce(1).write.parquet(str(tmp_path / "in" / f"f{k}"))
+        time.sleep(0.05)
+    arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    out = streams.replay(arriving, idle_ms=hour * 1000).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    out.awaitTermination()
+    got = {r.seq: (r.current_url, r.can_back) for r in spark.read.schema(NAV_STATES).parquet(str(tmp_path / "out")).collect()}
+    assert got[1] == ("chm://b/2.htm", True) and got[4] == (None, False)  # two hours later nothing is left to go back to
+    assert got[3] == ("chm://b/9.htm", False) and set(got) == {0, 1, 2, 3, 4, 5}
+
+
 def test_pages_that_come_again(spark, tmp_path):
     folder, one = str(tmp_path / "index"), [("b", "/x.htm", "X", "rain gauge"), ("b", "/y.htm", "Y", "frost")]
     batches = [one, one, [("b", "/x.htm", "X", "snow")], [("b", "/x.htm", "X", "rain gauge"), ("b", "/z.htm", "Z", "")]]
