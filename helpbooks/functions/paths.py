@@ -75,9 +75,24 @@ def request_book(url: Column) -> Column:
     return F.try_parse_url(url, F.lit("HOST"))
 
 
-def request_path(url: Column) -> Column:
-    """Decoded path of a request; null if the address is malformed."""
-    return percent_decoded(F.try_parse_url(url, F.lit("PATH")))
+def folded(path: Column) -> Column:
+    """A path without its dot segments, as browsers resolve them: ``.`` stands for nothing, ``..`` takes the segment before it away, and either may be escaped. One at the end leaves a slash there. Escaped slashes part no segments."""
+    plain = F.transform(F.split(path, "/"), lambda x: F.struct(x.alias("text"), F.regexp_replace(F.lower(x), "%2e", ".").alias("dots")))
+    parts = F.slice(plain, F.lit(2), F.size(plain))
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(part["dots"] == "..", up).when(part["dots"] == ".", kept).otherwise(F.concat(kept, F.array(part["text"])))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    last = F.when(F.element_at(plain, -1)["dots"].isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.startswith(path, F.lit("/")), F.concat(F.lit("/"), F.array_join(F.concat(kept, last), "/"))).otherwise(path)
+
+
+def request_path(url: Column, fold: bool = False) -> Column:
+    """Decoded path of a request; null if the address is malformed. With ``fold`` dot segments are resolved before it is decoded."""
+    path = F.try_parse_url(url, F.lit("PATH"))
+    return percent_decoded(folded(path) if fold else path)
 
 
 def display_title(title: Column, path: Column) -> Column:

@@ -148,6 +148,20 @@ def p15(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("request_id", paths.request_book(F.col("url")).alias("host"), paths.request_path(F.col("url")).alias("path"))
 
 
+_FOLDED = """SELECT request_id, CASE kind WHEN 3 THEN '/../etc/passwd' WHEN 4 THEN '/b/' WHEN 5 THEN path || '/' WHEN 6 THEN '/etc/passwd' ELSE path END AS path, kind <> 3 AS safe
+ FROM (SELECT request_id, request_id % 7 AS kind, path FROM asked)"""
+
+
+@query("p15_folded_paths", _FOLDED, "asked")
+def p15b(spark: SparkSession, sf: str) -> DataFrame:
+    """Request paths with dot segments, plain and escaped, folded before the safety test."""
+    r = tables.asked_pages(spark, sf)
+    k = F.col("request_id") % 7
+    path = F.when(k == 1, F.concat(F.lit("/a/.."), "path")).when(k == 2, F.concat(F.lit("/a/./%2E%2e"), "path")).when(k == 3, "/..%2Fetc/passwd").when(k == 4, "/./a/%2e./b/.").when(k == 5, F.concat("path", F.lit("/x/.%2e"))).when(k == 6, "/../..//../etc/passwd").otherwise(F.col("path"))
+    out = paths.request_path(F.concat(F.lit("chm://book"), path), fold=True)
+    return r.select("request_id", out.alias("path"), paths.is_safe_path(out).alias("safe"))
+
+
 @query("p16_book_title", rf"SELECT doc_id, regexp_replace({_BASE}, '(?i)\.chm\z', '') AS title FROM {_NAMES}")
 def p16(spark: SparkSession, sf: str) -> DataFrame:
     return _file_names(spark, sf).select("doc_id", paths.book_title(F.col("path")).alias("title"))
@@ -161,14 +175,9 @@ def p17(spark: SparkSession, sf: str) -> DataFrame:
 @query("p18_tag_attribute", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_name END AS value FROM customer")
 def p18(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey") % 4
-    tag = F.concat(F.lit(' NAME="x" Value = '), F.when(k == 0, F.col("c_name")).when(k == 1, F.concat(F.lit("'"), "c_name", F.lit("'"))).otherwise(F.concat(F.lit('"'), "c_name", F.lit('"'))))
-
-    def run(frames):
-        for f in frames:
-            f["value"] = [sitemap.attribute("value", x) for x in f["value"]]
-            yield f
-
-    return tables.read(spark, sf, "customer").select("c_custkey", tag.alias("value")).mapInPandas(run, "c_custkey long, value string")
+    value = F.when(k == 0, F.col("c_name")).when(k == 1, F.concat(F.lit("'"), "c_name", F.lit("'"))).otherwise(F.concat(F.lit('"'), "c_name", F.lit('"')))
+    tag = F.concat(F.lit(' NAME="x" '), F.when(k == 3, "data-").otherwise(""), F.lit("Value = "), value)  # a name's end will do
+    return tables.read(spark, sf, "customer").select("c_custkey", sitemap.tag_attribute(tag, "value").alias("value"))
 
 
 @query("p19_menu_label", f"SELECT doc_id, list_last(string_split(path, '/')) AS label FROM {_NAMES}")
@@ -239,17 +248,27 @@ def f8(spark: SparkSession, sf: str) -> DataFrame:
 _TREE = "SELECT book_id AS book, path, size, sha256(html) AS sha256 FROM entries"
 
 
+def _tree(spark: SparkSession, sf: str) -> DataFrame:
+    """The entries as a tree of files, read back."""
+    folder = scratch(spark, "tree")
+    books.write_tree(tables.entries(spark, sf), folder)
+    return books.read_tree(spark, folder)
+
+
 @query("s1_read_entries", "SELECT book_id, ordinal, path, size FROM entries", "entries")
 def s1(spark: SparkSession, sf: str) -> DataFrame:
-    """Entries through Parquet, bytes pruned from the scan."""
-    folder = scratch(spark, "entries")
-    tables.entries(spark, sf).write.parquet(folder)
-    return spark.read.parquet(folder).select("book_id", "ordinal", "path", "size")
+    """Entries from files, a listing saying their order; an entry without a file is empty."""
+    listing = tables.entries(spark, sf).select("book_id", "ordinal", "path")
+    sizes = _tree(spark, sf).select("book_id", "path", "size")
+    return listing.join(sizes, ["book_id", "path"], "left").select("book_id", "ordinal", "path", F.coalesce("size", F.lit(0)).alias("size"))
 
 
 @query("s2_hashed_tree", _TREE, "entries")
 def s2(spark: SparkSession, sf: str) -> DataFrame:
-    return books.hashed(tables.entries(spark, sf))
+    """Hashes of the files of a tree, and of the empty entries that the listing alone has."""
+    found = books.hashed(_tree(spark, sf))
+    none = tables.entries(spark, sf).filter("size = 0").select(F.col("book_id").alias("book"), "path", "size", F.sha2(F.lit(b""), 256).alias("sha256"))
+    return found.unionByName(none)
 
 
 @query("s3_book_files", rf"SELECT path FROM {_NAMES} WHERE lower(path) LIKE '%.chm'")

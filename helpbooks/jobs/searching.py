@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import index, links, search, segments
+from ..operators import index, links, navigation, search, segments
 from ..schemas import PAGES_TEXT
 from ..sources import tables
 from .registry import query
@@ -133,6 +133,23 @@ def x9(spark: SparkSession, sf: str) -> DataFrame:
     return index.statistics(opened(spark, sf))
 
 
+_EXACT = "SELECT (SELECT count(*) FROM (SELECT DISTINCT book_id, path FROM postings)) AS pages, (SELECT CAST(sum(length(text)) AS BIGINT) FROM stripped) AS text_chars, count(*) AS postings, true AS terms_within FROM postings"
+
+
+@query("x9_merged_statistics", _EXACT, ("stripped", "postings"))
+def x9b(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics of an index of three batches from the counts and sketches of its segments; the number of terms is within five standard errors."""
+    folder = scratch(spark, "segments")
+    pages(spark, sf).drop("error").write.parquet(f"{folder}/all")
+    p = spark.read.schema(PAGES_TEXT).parquet(f"{folder}/all")
+    segments.start(spark, folder)
+    for k in range(3):
+        segments.change(p.filter(F.pmod(F.xxhash64("path"), F.lit(3)) == k), folder, k)
+    exact = segments.open_index(spark, folder).terms.agg(F.count("*").alias("n"))
+    near = F.abs(F.col("terms") - F.col("n")) <= F.greatest(F.lit(1.0), 5 * 1.04 / 2 ** (index.SKETCH_BITS / 2) * F.col("n"))
+    return segments.statistics(spark, folder).crossJoin(exact).select("pages", "text_chars", "postings", near.alias("terms_within"))  # one row each
+
+
 @query("x10_incremental_index", "SELECT * FROM postings", "postings")
 def x10(spark: SparkSession, sf: str) -> DataFrame:
     """Half of the pages first, then all of them: what is there already is not added again."""
@@ -159,9 +176,9 @@ def j4b(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("j10_substring_join", "SELECT p_partkey, token FROM part JOIN (SELECT DISTINCT token FROM tokens) ON contains(lower(p_name), token)", "tokens")
 def j10(spark: SparkSession, sf: str) -> DataFrame:
-    names = tables.read(spark, sf, "part").select("p_partkey", "p_name")
-    tokens = search.query_tokens(tables.searches(spark)).select("token").distinct()
-    return names.join(F.broadcast(tokens), F.contains(F.lower("p_name"), F.col("token"))).select("p_partkey", "token")  # a fixed list of queries
+    names = tables.read(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("name"))
+    tokens = search.query_tokens(tables.searches(spark)).select(F.col("token").alias("needle")).distinct()
+    return navigation.substring_matches(names, "name", tokens).select("p_partkey", F.col("needle").alias("token"))
 
 
 @query("a3_pages_by_book", "SELECT book_id, count(*) AS pages FROM stripped WHERE text <> '' GROUP BY book_id", "stripped")

@@ -68,18 +68,48 @@ def filtered_index(entries: DataFrame, needle: str) -> DataFrame:
     return entries if not needle.strip() else entries.filter(F.contains(F.lower("name"), F.lit(needle.lower())))
 
 
+GRAM = 3
+
+
+def _grams(text: Column, least: int) -> Column:
+    """The different pieces of ``GRAM`` letters of a text, and from ``least`` letters on the shorter ones as well."""
+
+    def of(n: int) -> Column:
+        size = F.length(text)
+        return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(text, i, n))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.array(*(of(n) for n in range(least, GRAM + 1)))))
+
+
+def substring_matches(rows: DataFrame, text: str, needles: DataFrame) -> DataFrame:
+    """``rows`` with the ``needle`` s (one row each, none empty) that their text holds.
+
+    A needle meets the texts that hold its rarest piece of ``GRAM`` letters, of which
+    the number of texts is counted first; a shorter needle is its own piece. So a
+    needle costs as many comparisons as its rarest piece has texts, not as its commonest.
+    """
+    short = F.length("needle") < GRAM
+    asked = needles.select("needle", F.explode(F.when(short, F.array("needle")).otherwise(_grams(F.col("needle"), GRAM))).alias("gram"))
+    pieces = rows.select(F.explode(_grams(F.col(text), 1)).alias("gram"))
+    counts = pieces.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.join(counts, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram").alias("g"))).alias("gram"))
+    names = [F.col(c) for c in rows.columns]
+    return rows.select(*names, F.explode(_grams(F.col(text), 1)).alias("gram")).join(rarest, "gram").filter(F.contains(F.col(text), F.col("needle"))).drop("gram")
+
+
 def filtered_by_queries(entries: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, book_id, entry_id, name) for a table of needles (query_id, q); a blank needle keeps all entries.
 
-    A needle meets the names that hold its first letters, three at most, by equality.
+    Each needle is sought once, by its rarest piece, for all queries that ask for it.
     """
-    name, size = F.lower("name"), F.length("name")
-    grams = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(name, i, n))).otherwise(F.array().cast("array<string>"))))
-    kept = entries.select("book_id", "entry_id", "name")
-    asked = queries.select("query_id", F.lower("q").alias("needle")).withColumn("head", F.substring("needle", 1, 3))
-    hits = kept.withColumn("head", F.explode(F.array_distinct(grams))).join(asked.filter(F.trim("needle") != ""), "head").filter(F.contains(name, F.col("needle")))
-    everything = kept.crossJoin(asked.filter(F.trim("needle") == "").select("query_id"))  # a blank needle asks for all
-    return hits.select("query_id", *kept.columns).unionByName(everything.select("query_id", *kept.columns))
+    kept = entries.select("book_id", "entry_id", "name", F.lower("name").alias("low"))
+    asked = queries.select("query_id", F.lower("q").alias("needle"))
+    some = asked.filter(F.trim("needle") != "")
+    hits = substring_matches(kept, "low", some.select("needle").distinct()).join(some, "needle")
+    blank = asked.filter(F.trim("needle") == "").agg(F.collect_list("query_id").alias("ids"))  # one row
+    everything = kept.crossJoin(F.broadcast(blank)).withColumn("query_id", F.explode("ids"))
+    columns = ["query_id", "book_id", "entry_id", "name"]
+    return hits.select(columns).unionByName(everything.select(columns))
 
 
 def book_documents(books: DataFrame, toc_nodes: DataFrame, index_entries: DataFrame) -> DataFrame:

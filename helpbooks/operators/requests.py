@@ -9,16 +9,16 @@ from ..functions import paths
 from .links import listed
 
 
-def resolved(requests: DataFrame, books: DataFrame, entries: DataFrame) -> DataFrame:
+def resolved(requests: DataFrame, books: DataFrame, entries: DataFrame, fold: bool = False) -> DataFrame:
     """requests (request_id, ts, url) with ``status`` and, for 200, ``content_type``.
 
     Malformed addresses are 400, unsafe paths 403, unknown books and missing
-    entries 404. Dot segments are not folded away first: any ``..`` segment is
-    unsafe, also a plain one. Hosts compare in lower case, paths in any case.
+    entries 404. Unless ``fold`` resolves dot segments first, as a browser does, any
+    ``..`` segment is unsafe, also a plain one. Hosts compare in lower case, paths in any case.
     """
     scheme = F.try_parse_url("url", F.lit("PROTOCOL"))
     r = requests.withColumns({"host": F.lower(paths.request_book(F.col("url"))), "page": F.when(scheme.isNotNull(), F.coalesce(F.nullif(F.try_parse_url("url", F.lit("PATH")), F.lit("")), F.lit("/")))})
-    r = r.withColumn("page", paths.percent_decoded(F.col("page"))).withColumn("page_key", paths.path_key(F.col("page")))
+    r = r.withColumn("page", paths.percent_decoded(paths.folded(F.col("page")) if fold else F.col("page"))).withColumn("page_key", paths.path_key(F.col("page")))
     known = books.select(F.lower("book_id").alias("host")).distinct().withColumn("known", F.lit(True))
     have = listed(entries).select(F.lower("book_id").alias("host"), F.col("path_key").alias("page_key")).distinct().withColumn("have", F.lit(True))
     j = r.join(known, "host", "left").join(have, ["host", "page_key"], "left")

@@ -121,10 +121,15 @@ def open_index(spark: SparkSession, folder: str) -> index.Index:
     each = _table(spark, folder, "terms", INDEX_TERMS, names).select("term", "df", "tf", "lead").unionByName(gone)
     terms = each.groupBy("lead", "term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")).filter("tf > 0")
     words = _table(spark, folder, "about", INDEX_ABOUT, names).agg(F.coalesce(F.sum("words"), F.lit(0)).alias("all")).crossJoin(gone.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("less")))  # one row each
-    about = pages.agg(F.count_if("has_words").alias("pages")).crossJoin(words.select((F.col("all") + F.col("less")).alias("words")))
+    about = pages.agg(F.count_if("has_words").alias("pages")).crossJoin(words.select((F.col("all") + F.col("less")).alias("words")))  # one row each
     return index.Index(pages, _held(spark, folder, "postings", INDEX_POSTINGS, names).drop("segment"), terms, about)
 
 
+def statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """``index.merged_statistics`` of the live segments. Pages that have died since their segment was written still count, until it is merged."""
+    return index.merged_statistics(_table(spark, folder, "about", INDEX_ABOUT, [s for s, _ in live(spark, folder)]))
+
+
 def vacuum(spark: SparkSession, folder: str) -> list[str]:
     """Remove the segments that the last manifest doesn't list, and return their names. No batch or reader of an earlier manifest may be at work."""
     names = {s for s, _ in live(spark, folder)}

@@ -10,7 +10,7 @@ POSTINGS = "book_id string, path string, field string, term string, tf long, fir
 INDEX_PAGES = "book_id string, path string, title string, text string, sha256 string, has_words boolean"
 INDEX_POSTINGS = f"{POSTINGS}, page_words long, first_field boolean, lead string"
 INDEX_TERMS = "term string, df long, tf long, lead string"
-INDEX_ABOUT = "pages long, words long"
+INDEX_ABOUT = "pages long, words long, text_chars long, postings long, term_sketch binary"
 QUERIES = "query_id long, book_id string, q string"
 HITS = "query_id long, book_id string, path string, title string, rank long, score double, excerpt string"
 MANIFEST = "book string, path string, size long, sha256 string, tools array<string>"

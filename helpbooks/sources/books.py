@@ -22,6 +22,19 @@ def read_trees(spark: SparkSession, root: str) -> DataFrame:
     return named.join(ordinals, ["book_id", "path"]).select("book_id", "ordinal", "path", "size", "content")
 
 
+def write_tree(entries: DataFrame, root: str) -> None:
+    """Entries with bytes as text files below ``root``: a folder for each book and path, with one file. The writer ends it with a line end of its own."""
+    rows = entries.filter("size > 0").select(F.concat(F.lit("="), "book_id").alias("book"), F.concat(F.lit("="), "path").alias("page"), F.col("content").cast("string").alias("value"))
+    rows.write.partitionBy("book", "page").option("lineSep", "\n").text(root)
+
+
+def read_tree(spark: SparkSession, root: str) -> DataFrame:
+    """(book_id, path, size, content) of a tree of ``write_tree``; book and path come from the folders. Small files are read many at a time."""
+    files = spark.read.format("binaryFile").load(root)
+    book, page = (F.regexp_replace(c, "^=", "") for c in ("book", "page"))
+    return files.select(book.alias("book_id"), page.alias("path"), (F.col("length") - 1).alias("size"), F.substring("content", F.lit(1), (F.col("length") - 1).cast("int")).alias("content"))
+
+
 def _literal(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 

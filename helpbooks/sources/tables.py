@@ -135,6 +135,13 @@ def requests(spark: SparkSession, folder: str, events: DataFrame | None = None)
     return _requests(read(spark, folder, "events") if events is None else events, pages, pages.count())
 
 
+def asked_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """(request_id, book_id, path): the page that each event asks for."""
+    pages = page_paths(spark, folder)
+    rows = read(spark, folder, "events").select(F.col("event_id").alias("request_id"), (F.col("event_id") % pages.count()).alias("page_id"))
+    return rows.join(pages.select("page_id", "book_id", "path"), "page_id").drop("page_id")
+
+
 def nav_events(events: DataFrame) -> DataFrame:
     """``schemas.NAV_EVENTS``: views, clicks and purchases navigate, signups go back, errors forward."""
     kind = F.col("event_type")

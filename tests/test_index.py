@@ -173,3 +173,14 @@ def test_changes_give_what_a_new_index_gives(spark, tmp_path):
     assert len(names) <= 3 and any(s.startswith("m") for s in names)  # six batches, merged by four
     assert set(segments.vacuum(spark, folder)).isdisjoint(names)
     assert hits(segments.postings(spark, folder)) == hits(search.postings(now))
+
+
+def test_sketches_merge(spark, stored, tmp_path):
+    held, p, _ = stored
+    folder = str(tmp_path)
+    segments.start(spark, folder)
+    for k in range(2):
+        segments.change(p.filter(F.pmod(F.xxhash64("path"), F.lit(2)) == k), folder, k)
+    (got,) = segments.statistics(spark, folder).collect()
+    (want,) = index.statistics(held).collect()
+    assert (got.text_chars, got.postings) == (want.text_chars, want.postings) and abs(got.terms - want.terms) < 0.04 * want.terms

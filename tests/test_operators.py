@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from helpbooks import schemas
+from helpbooks.functions import paths
 from helpbooks.operators import clickstream, links, navigation, reconcile, requests, search, sitemap
 from helpbooks.sources import books
 
@@ -38,11 +39,17 @@ def test_several_targets_and_names():
     assert got == [(0, None, 0, "rake", ["tools/0.html", "tools/1.html", "tools/2.html"]), (1, 0, 1, "handle", []), (2, None, 0, "", ["x.html"])]
 
 
-@pytest.mark.parametrize("tag,value", [(' NAME="a" value=\'b"c\'', 'b"c'), (" value=bare", None), (' data-value="x"', None), (' Value = "one" value="two"', "one"), (' value=""', "")])
+@pytest.mark.parametrize("tag,value", [(' NAME="a" value=\'b"c\'', 'b"c'), (" value=bare", None), (' data-value="x"', "x"), (' data-value="x" value="y"', "x"), (" title='value=\"in\"' value='out'", "in"), (' Value = "one" value="two"', "one"), (' value=""', "")])
 def test_attributes(tag, value):
     assert sitemap.attribute("value", tag) == value
 
 
+def test_attribute_columns(spark):
+    tags = [' NAME="a" value=\'b"c\'', " value=bare", ' data-VALUE = "x" value="y"', ' value=""', None, "", " value='a' value=\"b\""]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(tags)], "i int, tag string").orderBy("i").select(sitemap.tag_attribute(F.col("tag"), "value")).collect()
+    assert [r[0] for r in got] == [sitemap.attribute("value", t) if t is not None else None for t in tags]
+
+
 def test_loose_markup():
     assert sitemap.parse("</ul></ul><ul>" + obj("a")) == [(0, None, 0, "a", [])]
     assert [x[2] for x in sitemap.parse("<ul><ul>" + obj("a") + "</ul>" + obj("b"))] == [0, 0]
@@ -229,3 +236,24 @@ def test_trees(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     got = books.hashed(books.read_trees(spark, str(tmp_path))).collect()
     assert {(r.book, r.path, r.size) for r in got} == {("b1", "/x.htm", 1), ("b1", "/sub/y.htm", 2), ("b2", "/z.css", 3)}
+
+
+def test_needles_by_their_rarest_piece(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcé ") for _ in range(rng.randint(0, 12))) for _ in range(300)] + ["the rarest theorem", None]
+    needles = sorted({t[i : i + n] for t in texts[::9] if t for i in (0, 2) for n in (1, 2, 3, 5, 9) if t[i : i + n]} | {"the", "the r", "zzzz", "theor"})
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "i int, name string, gram string").drop("gram")
+    got = navigation.substring_matches(rows, "name", spark.createDataFrame([(n,) for n in needles], "needle string"))
+    assert sorted((r.i, r.needle) for r in got.collect()) == sorted((i, n) for i, t in enumerate(texts) for n in needles if t and n in t)
+
+
+@pytest.mark.parametrize("path,want", [("/a/b/../c", "/a/c"), ("/../x", "/x"), ("/a/%2e%2E/b", "/b"), ("/a/.", "/a/"), ("/a/..", "/"), ("/", "/"), ("/a//../b", "/a/b"), ("/..%2Fx", "/..%2Fx"), ("/a/.../b", "/a/.../b"), ("", ""), (None, None)])
+def test_dot_segments(spark, path, want):
+    assert spark.createDataFrame([(path,)], "p string").select(paths.folded(F.col("p"))).first()[0] == want
+
+
+def test_trees_of_files(spark, tmp_path):
+    rows = [("b1", 0, "/a/x.htm", 5, bytearray(b"h\ni\r\n")), ("b1", 1, "/a=b%20/ü?.htm", 2, bytearray("é".encode())), ("b2", 0, "/a/x.htm", 1, bytearray(b"\n")), ("b2", 1, "/empty.htm", 0, bytearray(b""))]
+    books.write_tree(spark.createDataFrame(rows, schemas.ENTRIES), str(tmp_path / "t"))
+    got = {(r.book_id, r.path, r.size, bytes(r.content)) for r in books.read_tree(spark, str(tmp_path / "t")).collect()}
+    assert got == {(b, p, n, bytes(c)) for b, _, p, n, c in rows if n}
