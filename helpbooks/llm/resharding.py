@@ -2,10 +2,12 @@
 
 Every old shard is cut into blocks: documents of more than a set share of all
 bytes are blocks of their own (there can only be so many), the others fall into
-a fixed number of hash buckets. A block that is far above the mean, because rows
-repeat, is cut up by the rows' places in their files. The driver sees one row per
-block, never per document; the number of blocks has a bound that does not grow
-with the data.
+a fixed number of buckets by the hash of their text. Equal texts are thus in one
+block and stay together, unless they are more than a ``GROUP``-th of a new shard:
+those, too, are blocks of their own, and are cut up by the hash of the id, or by
+the rows' numbers where even rows of one text and id are more than that. The
+driver sees one row per block, never per document; the number of blocks has a
+bound that does not grow with the data.
 
 The flow network has an arc from each old shard to each new one; staying costs
 nothing and moving costs the bytes moved. Successive shortest paths give the
@@ -15,7 +17,8 @@ up for, so shards are equal to about one small block, and the bytes moved are
 those of the flow to the same measure. Rows look their block's shard up in a
 broadcast map, so assigning needs no shuffle. Then the shards that gain or lose
 rows are written anew, from the files of the old layout, and all rows are read
-back: a row's slot is its place in the files of its shard.
+back. A slot is a row's rank in its shard by the hash of its text and by its
+id, so shards and slots depend on the documents alone, and reruns agree.
 
 Null texts have size 1 (their line end); empty ones too. A text longer than a
 shard fills one by itself. Null and repeated ids are rows like any other. An
@@ -39,6 +42,8 @@ BUCKETS = 1024
 LARGE = 4096
 BLOCK = "old int, large boolean, bucket long, part int"
 KEYS = [x.split()[0] for x in BLOCK.split(", ")]
+#: Equal texts of over 1/GROUP of a new shard are cut up.
+GROUP = 16
 #: Bytes that a task writes, into a file for each shard.
 TASK_BYTES = 512_000_000
 
@@ -59,21 +64,37 @@ def _hash_shard(mixed: Column, shards: int) -> Column:
     return F.pmod(F.shiftrightunsigned(mixed, 17), F.lit(shards)).cast("int")
 
 
-def with_blocks(rows: DataFrame, old_shards: int, buckets: int = BUCKETS, large: int = LARGE) -> tuple[DataFrame, list[tuple[tuple, int]]]:
-    """rows (old, mixed, place, size, ...) plus ``large``, ``bucket`` and ``part``, and the bytes of each block.
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-    ``mixed`` is a hash of a row's content, ``place`` one of its place.
+
+def with_blocks(rows: DataFrame, old_shards: int, new_shards: int, buckets: int = BUCKETS, large: int = LARGE) -> tuple[DataFrame, list[tuple[tuple, int]]]:
+    """rows (old, mixed, id, file, at, size, ...) plus ``large``, ``bucket`` and ``part``, and the bytes of each block.
+
+    ``mixed`` is the hash of a row's text, ``file`` and ``at`` are its place.
     """
     total = rows.agg(F.sum("size")).first()[0] or 0
     is_large = F.col("size") > max(1, total // large)
     d = rows.withColumn("large", is_large).withColumn("bucket", F.when(is_large, F.col("mixed")).otherwise(F.pmod("mixed", F.lit(buckets))))
     whole = [tuple(r) for r in d.groupBy(*KEYS[:3]).agg(F.sum("size"), F.count("*")).collect()]  # bounded: see BUCKETS and LARGE
-    mean = max(1, total // (old_shards * buckets))
-    cut = [(*k, min(n, -(-size // mean))) for *k, size, n in whole if size > 4 * mean and n > 1]
-    if not cut:
+    mean, most = max(1, total // (old_shards * buckets)), max(1, total // (new_shards * GROUP))
+    heavy = [tuple(k) for *k, size, n in whole if size > most and n > 1]
+    if not heavy:
         return d.withColumn("part", F.lit(0)), [((*k, 0), size) for *k, size, _ in whole]
-    parts = rows.sparkSession.createDataFrame(cut, "old int, large boolean, bucket long, parts int")
-    d = d.join(F.broadcast(parts), KEYS[:3], "left").withColumn("part", F.pmod("place", F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    spark = rows.sparkSession
+    own = d.join(F.broadcast(spark.createDataFrame(heavy, BLOCK.rsplit(", ", 1)[0])), KEYS[:3], "left_semi")
+    groups = own.groupBy("old", "mixed").agg(F.sum("size").alias("all"), F.count("*").alias("n")).filter((F.col("all") > most) & (F.col("n") > 1))
+    hot = groups.select("old", "mixed", F.least(8 * F.col("n"), F.ceil(F.col("all") / mean)).cast("int").alias("parts"))
+    hot = spark.createDataFrame(hot.collect(), "old int, mixed long, parts int")  # fewer than GROUP x new shards
+    id_hash = F.xxhash64("id")
+    alike = own.join(F.broadcast(hot), ["old", "mixed"]).groupBy("old", "mixed", id_hash.alias("same"), "file").agg(F.sum("size").alias("all"), F.min("at").alias("first"), F.count("*").alias("n"))
+    many = alike.groupBy("old", "mixed", "same").agg(F.sum("all").alias("all"), F.sum("n").alias("rows")).filter((F.col("all") > most) & (F.col("rows") > 1)).drop("all", "rows")  # as few
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("old", "mixed", "same").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = alike.join(F.broadcast(many), ["old", "mixed", "same"], "left_semi").select("old", "mixed", "same", "file", (before - F.col("first")).alias("shift"))  # a row for each of these and each file
+    d = d.join(F.broadcast(hot), ["old", "mixed"], "left").withColumn("same", id_hash).join(F.broadcast(numbered), ["old", "mixed", "same", "file"], "left")
+    part = F.pmod(F.coalesce(F.col("shift") + F.col("at"), F.col("same")), F.col("parts"))
+    split = {"large": F.col("large") | F.col("parts").isNotNull(), "bucket": F.when(F.col("parts").isNotNull(), F.col("mixed")).otherwise(F.col("bucket")), "part": F.coalesce(part, F.lit(0)).cast("int")}
+    d = d.withColumns(split).drop("parts", "same", "shift")
     return d, [(tuple(r)[:4], r[4]) for r in d.groupBy(*KEYS).agg(F.sum("size")).collect()]  # at most twice as many
 
 
@@ -138,6 +159,14 @@ def plan_blocks(blocks: list[tuple[tuple, int]], new_shards: int) -> dict[tuple,
             due[j] -= size
         for j, left in due.items():
             owed[j] = left
+    # Where a block that leaves goes costs the same everywhere, so all of them fill up what those that stay leave free.
+    size_of, room = dict(blocks), list(capacity)
+    for key, j in out.items():
+        if j == key[0]:
+            room[j] -= size_of[key]
+    for key in sorted((key for key, j in out.items() if j != key[0]), key=lambda key: (-size_of[key], key)):
+        out[key] = max(range(new_shards), key=lambda j: (room[j], -j))
+        room[out[key]] -= size_of[key]
     return out
 
 
@@ -154,7 +183,8 @@ def lay_out(docs: DataFrame, path: str, shards: int, text: str = "text", doc_id:
     """Write docs below ``path`` as a layout of hash shards, a folder shard=N each."""
     name = free_name("shard", docs.columns)
     total = docs.agg(F.sum(_size(text))).first()[0] or 0
-    _long_tasks(docs, total).withColumn(name, _hash_shard(F.xxhash64(F.col(doc_id), F.col(text)), shards)).write.partitionBy(name).parquet(path)
+    placed = _long_tasks(docs, total).withColumn(name, _hash_shard(_text_hash(F.col(text)), shards))
+    placed.sortWithinPartitions(name, _text_hash(F.col(text)), doc_id).write.partitionBy(name).parquet(path)  # equal rows lie together
 
 
 class Layout:
@@ -193,22 +223,28 @@ class Layout:
 def read_placed(layout: DataFrame, touched: list[int], text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """A row per document of a layout in which ``touched`` are the shards last written: doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard.
 
-    ``law`` is ``bytes``: sizes of new shards are as near equal as blocks allow. A slot is a row's place in its shard:
-    the rows in files of a lesser name and its number in its own file. The number of rows of each file is broadcast.
+    ``law`` is ``bytes``: sizes of new shards are as near equal as blocks allow. Slots are ranks by hash of text and id:
+    these are sorted in ranges, without the texts, and each range counts on from those before it.
     """
-    before = Window.partitionBy("shard").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = layout.groupBy("shard", "file").count().select("shard", "file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    rows = layout.select("shard", "file", "at", F.when(F.col("shard").isin(touched), F.col("came_from")).otherwise(F.col("shard")).alias("old_shard"), F.col("row")[doc_id].alias("doc_id"), F.col("row")[text].alias("text"))
-    out = rows.join(F.broadcast(starts), ["shard", "file"])
-    return out.select("doc_id", _size("text").alias("size"), _crc(), F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("at")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    own = F.col("row")[text]
+    rows = layout.select("shard", F.when(F.col("shard").isin(touched), F.col("came_from")).otherwise(F.col("shard")).alias("old_shard"), F.col("row")[doc_id].alias("doc_id"), _text_hash(own).alias("mixed"), F.xxhash64("file", "at").alias("place"), own.alias("text"))
+    sized = rows.select("shard", "old_shard", "doc_id", "mixed", "place", _size("text").alias("size"), _crc())
+    key = ["shard", "mixed", "doc_id", "old_shard", "place"]
+    ranked = common.written(sized.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("n", F.monotonically_increasing_id()), "slots")[0]
+    task = F.shiftright("n", 33).alias("task")
+    before = Window.partitionBy("shard").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranked.groupBy("shard", task).agg(F.min("n").alias("first"), F.count("*").alias("rows"))
+    starts = counts.select("shard", "task", (F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first")).alias("shift"))  # a row for each task and shard in it
+    out = ranked.withColumn("task", task).join(F.broadcast(starts), ["shard", "task"])
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("n") + F.col("shift")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
 def reshard_layout(spark: SparkSession, path: str, columns: T.StructType, old_shards: int = 12, new_shards: int = 16, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Reshard the layout below ``path`` in place: plan from its files, rewrite the affected shards, and read all back (``read_placed``)."""
     layout = Layout(spark, path, columns)
     own_id, own_text = F.col("row")[doc_id], F.col("row")[text]
-    rows = layout.read().select("row", F.col("shard").alias("old"), F.xxhash64(own_id, own_text).alias("mixed"), F.xxhash64("file", "at").alias("place"), (F.coalesce(F.octet_length(own_text), F.lit(0)) + 1).cast("long").alias("size"))
-    d, blocks = with_blocks(rows, old_shards)
+    rows = layout.read().select("row", F.col("shard").alias("old"), _text_hash(own_text).alias("mixed"), own_id.alias("id"), "file", "at", (F.coalesce(F.octet_length(own_text), F.lit(0)) + 1).cast("long").alias("size"))
+    d, blocks = with_blocks(rows, old_shards, new_shards)
     where = spark.createDataFrame([(*key, s) for key, s in plan_blocks(blocks, new_shards).items()], f"{BLOCK}, shard int")
     touched = layout.rewrite(d.join(F.broadcast(where), KEYS).select("row", "shard", "old"), old_shards, sum(size for _, size in blocks))
     return read_placed(layout.read(), touched, text, doc_id)

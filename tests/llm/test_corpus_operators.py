@@ -338,6 +338,18 @@ def test_repeated_rows_are_dealt_evenly(make, tmp_path):
     assert all(abs(r.s - mean) <= 0.02 * mean for r in got)
 
 
+def test_reruns_agree_and_equal_texts_stay_together(make, tmp_path):
+    rows = [(1, "the same text in every row", "s")] * 2000 + [(k, "another text that comes often", "s") for k in range(5000, 6500)]
+    rows += [(10 + k, f"text number {k // 3} of some length", "s") for k in range(1500)] + [(None, None, None)] * 3
+    runs = [Counter(map(tuple, resharding.reshard_documents(make(rows).repartition(n), str(tmp_path / f"r{n}")).collect())) for n in (3, 7)]
+    assert runs[0] == runs[1]
+    text = {i: t for i, t, _ in rows}
+    shards = defaultdict(set)
+    for doc_id, _, _, _, shard, *_ in runs[0]:
+        shards[text[doc_id]].add(shard)
+    assert [len(x) for t, x in shards.items() if t is None or t.startswith("text number")] == [1] * 501 and max(map(len, shards.values())) > 1
+
+
 def files_below(path):
     return {f.relative_to(path).as_posix(): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
 
