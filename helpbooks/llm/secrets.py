@@ -5,9 +5,11 @@ being dropped if it is too short. The method adds kind ``guess``: values in a
 credential context (a wider list of key names, a wider value alphabet) whose
 cheapest explanation takes at least 10**``min_log10`` guesses. That cost is a
 dynamic programme over the value: the cheapest way to cut it into dictionary
-words (also reversed, or with digits for letters), dates, repeats, keyboard walks
-and brute-force runs, every sub-span of each being tried. Words are ranked by a
-public vocabulary file, whose path is a parameter.
+words (also reversed, or with digits for letters), dates, repeats of up to
+``LONGEST_UNIT`` letters, keyboard walks and brute-force runs, every sub-span of
+each being tried. A separator between two segments tells the attacker the cut, so it costs
+its own choice alone. Words are ranked by a public vocabulary file, whose path is
+a parameter.
 
 Spans are whole matches, in code points, the end exclusive. A null text is
 empty and has no spans. Every text, and every value, is taken whole however long
@@ -50,7 +52,7 @@ WORDS = tuple(
     "trustno default changeme change test guest user root pass token example sample dummy placeholder your my the key api access private public "
     "server client service system database data local host mail email company summer winter spring autumn love star super magic flower freedom "
     "computer internet security secure mobile phone manager account staff temp demo none null true false this that with from here value string "
-    "insert enter replace fill todo redacted hidden masked removed config setting production staging development prod stage".split()
+    "insert enter replace fill todo redacted hidden masked removed config setting settings process env environ field name production staging development prod stage".split()
 )
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz", "qazwsxedcrfvtgbyhnujmikolp")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0?[1-9]|1[0-2])(?:[-/._]?(?:0?[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/._](?:0?[1-9]|1[0-2])[-/._](?:19|20)?\d\d")
@@ -98,6 +100,9 @@ LEAST_SPAN = 3
 LONGEST_UNIT = 32
 #: Every further segment: the attacker must also guess the cut.
 CUT = 1.0
+#: Signs that part words in names and placeholders; one between two segments is guessed instead of a cut.
+SEPARATORS = "_-./: "
+SEPARATOR = math.log10(len(SEPARATORS))
 #: log10 of guesses from which on no more is asked of a value (each letter adds to the cost, so the longest values end soon).
 ENOUGH = 64.0
 
@@ -125,11 +130,12 @@ def guess_cost(value: str, ranks: dict[str, int] | None = None, enough: float =
     none = (math.inf, None)
     # up to j: the last segment being explained, a brute-force run, a walk, a repeat by its unit's length
     explained, brute, walk, repeat = [(0.0, None)], [none], [none], {p: {} for p in range(1, LONGEST_UNIT + 1)}
+    parted = [math.inf]  # up to j, whose last letter is a separator
     steps, same = 1, [0] * (LONGEST_UNIT + 1)
     above, reach = 0, max(longest, 2 * LONGEST_UNIT)  # a segment that is not yet seen at j starts no further back
 
     def opened(i: int) -> float:
-        return min(explained[i][0], brute[i][0]) + (CUT if i else 0.0)
+        return min(min(explained[i][0], brute[i][0]) + (CUT if i else 0.0), parted[i])
 
     for j in range(1, n + 1):
         options = [(opened(i) + cost, (i, kind)) for i, kind, cost in ending(j)]
@@ -151,7 +157,8 @@ def guess_cost(value: str, ranks: dict[str, int] | None = None, enough: float =
                     repeat[p][j] = best
                     options.append(best)
         explained.append(min(options, key=lambda x: x[0]))
-        longer, start = brute[j - 1][0] + each, explained[j - 1][0] + (CUT if j > 1 else 0.0) + each
+        parted.append(min(explained[j - 1][0], brute[j - 1][0]) + SEPARATOR if j > 1 and value[j - 1] in SEPARATORS else math.inf)
+        longer, start = brute[j - 1][0] + each, min(explained[j - 1][0] + (CUT if j > 1 else 0.0), parted[j - 1]) + each
         brute.append((longer, brute[j - 1][1]) if longer <= start else (start, (j - 1, "brute")))
         above = above + 1 if min(explained[j][0], brute[j][0]) >= enough else 0
         if above > reach:
@@ -161,6 +168,9 @@ def guess_cost(value: str, ranks: dict[str, int] | None = None, enough: float =
         i, kind = min(explained[j], brute[j], key=lambda x: x[0])[1]
         cuts.append((i, j, kind))
         j = i
+        if i and parted[i] < min(explained[i][0], brute[i][0]) + CUT:
+            cuts.append((i - 1, i, "separator"))
+            j = i - 1
     return min(explained[n][0], brute[n][0]), cuts[::-1]
 
 

@@ -69,19 +69,23 @@ def cheapest(value, ranks):
     """The minimum over all segmentations, from all spans."""
     each, best = math.log10(secrets.alphabet(value)), {}
 
-    def go(i, brute):
+    def go(i, before):
+        """From i on, after a brute-force letter, another segment ("cut") or what needs no cut ("free")."""
         if i == len(value):
-            return 0.0
-        if (i, brute) not in best:
-            options = [go(i + 1, True) + each + (1.0 if not brute and i else 0.0)]
-            options += [go(j, False) + span_cost(value[i:j], ranks) + (1.0 if i else 0.0) for j in range(i + 3, len(value) + 1)]
-            best[i, brute] = min(options)
-        return best[i, brute]
+            return math.inf if i and before == "free" else 0.0
+        if (i, before) not in best:
+            pay = 0.0 if before == "free" else 1.0
+            options = [go(i + 1, "brute") + each + (0.0 if before == "brute" else pay)]
+            options += [go(j, "cut") + span_cost(value[i:j], ranks) + pay for j in range(i + 3, len(value) + 1)]
+            if before != "free" and value[i] in secrets.SEPARATORS:
+                options.append(go(i + 1, "free") + math.log10(6))
+            best[i, before] = min(options)
+        return best[i, before]
 
-    return go(0, False)
+    return go(0, "free")
 
 
-VALUES = ["password", "P4ssw0rd2019", "qwertyuiop", "aaaaaaaaab", "abcabcabc9", "x8Kq!2Lm", "secret2020-12-31admin", "zz", "", "aaaaaAdmin1", "drowssap", "qwertypassword", "3asdfg1.2.1999", "abababab", "aAaAaA1", "xyzxyz12xyz", "asdfghjkjhgf", "1999199919", "20201231"]
+VALUES = ["password", "P4ssw0rd2019", "qwertyuiop", "aaaaaaaaab", "abcabcabc9", "x8Kq!2Lm", "secret2020-12-31admin", "zz", "", "aaaaaAdmin1", "drowssap", "qwertypassword", "3asdfg1.2.1999", "abababab", "aAaAaA1", "xyzxyz12xyz", "asdfghjkjhgf", "1999199919", "20201231", "your_api_key_here", "a-b", "-pass-", "user--name", "x8Kq_2Lm.Zz", "pass_"]
 
 
 @pytest.mark.parametrize("value", VALUES)
@@ -93,7 +97,7 @@ def test_guess_cost(value):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from(["pass", "word", "1999", "-12", "a", "ab", "qwe", "rty", "Admin", "0", "!", "12", "nimda"]), max_size=5))
+@given(st.lists(st.sampled_from(["pass", "word", "1999", "-12", "a", "ab", "qwe", "rty", "Admin", "0", "!", "12", "nimda", "_", "."]), max_size=5))
 def test_guess_cost_is_least(parts):
     value = "".join(parts)
     assert secrets.guess_cost(value)[0] == pytest.approx(cheapest(value, secrets.RANKS))
@@ -123,6 +127,19 @@ def test_guess_cost_tells_secrets_from_placeholders():
     assert found >= 297 and wrong <= 3
 
 
+def test_names_and_placeholders_are_no_secrets():
+    """300 names of two to four common words as code has them, and 300 random keys in groups."""
+    rng, ranks = random.Random(9), secrets.ranked([*secrets.WORDS, *secrets.vocabulary_words(secrets.VOCABULARY)])
+    common = [w for w in secrets.WORDS if len(w) > 2]
+    names = ["your_api_key_here", "process.env.TOKEN", "config.settings.api", "user_password_field", "os.environ", "my-secret-token"]
+    names += [rng.choice("_-.").join(rng.choices(common, k=rng.randint(2, 4))) for _ in range(294)]
+    keys = ["-".join("".join(rng.choices("abcdefghjkmnpqrstuvwxyz23456789", k=4)) for _ in range(4)) for _ in range(300)]
+    wrong = [v for v in names if secrets.guess_cost(v, ranks)[0] >= secrets.MIN_LOG10]
+    found = sum(secrets.guess_cost(v, ranks)[0] >= secrets.MIN_LOG10 for v in keys)
+    print("found", found, "wrong", len(wrong), wrong[:5])
+    assert found == 300 and len(wrong) <= 15
+
+
 def test_token_histogram(spark, make, sample):
     import base64
 
