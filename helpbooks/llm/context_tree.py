@@ -12,7 +12,9 @@ every document is scored with it.
 * ``predicted``: n-grams are dealt out by their last ``anchor`` context bytes.
   Each task builds the subtrees below, some whole contexts at a time: with three
   bytes fixed, depth 5 leaves at most 2**24 n-grams of a context. Only sums for
-  shallower nodes go up, and the mixture of those few comes back down.
+  shallower nodes go up, and the mixture of those comes back down: through the
+  driver while they are few, else as tables, a byte further up, where there are at
+  most 255 x 256 nodes, and down again by a join; results are the same.
 * ``scored``: one pass; frequent n-grams and words (more than 1 in ``FREQUENT``
   of the training text, so at most ``FREQUENT`` of each) are looked up in the
   task, all others go through a join.
@@ -41,8 +43,8 @@ from . import textarrays as ta
 
 DEPTH = 5
 FREQUENT = 1 << 21
-#: Nodes just above the anchor that the driver may hold; beyond it the anchor moves up a byte.
-MOST_ABOVE = 2_000_000
+#: Nodes just above the anchor that go through the driver; more of them are a table that is joined.
+MOST_ABOVE = 500_000
 END = 255
 #: Bytes of context by which n-grams are dealt out.
 ANCHOR = 3
@@ -235,24 +237,52 @@ def log10_of(codes: np.ndarray, n: np.ndarray, depth: int, anchor: int, above: t
     return np.log10(np.where(levels.bit == 1, one, 1 - one)).sum(1)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(codes, counts) of some whole contexts at a time, of rows (key, n, context) that are sorted by context."""
-    codes, n, at = [], [], []
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns, without the context, of some whole contexts at a time, of rows (key, n, context, ...) that are sorted by context."""
+    columns: list[list[np.ndarray]] = []
     held = 0
     for b in batches:
         if not b.num_rows:
             continue
-        codes, n, at = ([*x, b.column(k).to_numpy()] for k, x in enumerate((codes, n, at)))
+        columns = [[*(columns[k] if columns else []), c.to_numpy()] for k, c in enumerate(b.columns)]
         held += b.num_rows
         if held >= _TAKEN:
-            codes, n, at = ([np.concatenate(x)] for x in (codes, n, at))
-            cut = int(np.searchsorted(at[0], at[0][-1]))  # the last context may go on
+            columns = [[np.concatenate(x)] for x in columns]
+            at = columns[2][0]
+            cut = int(np.searchsorted(at, at[-1]))  # the last context may go on
             if cut:
-                yield codes[0][:cut], n[0][:cut]
-                codes, n, at = ([x[0][cut:]] for x in (codes, n, at))
+                yield tuple(x[0][:cut] for k, x in enumerate(columns) if k != 2)
+                columns = [[x[0][cut:]] for x in columns]
                 held -= cut
     if held:
-        yield np.concatenate(codes), np.concatenate(n)
+        yield tuple(np.concatenate(x) for k, x in enumerate(columns) if k != 2)
+
+
+def _mixed_above(sums: DataFrame, depth: int) -> DataFrame:
+    """(node, a, b) for nodes (node, zeros, ones, below) of ``depth``, two at least, as ``top_down`` has them; the driver sees their parents alone."""
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            node, zeros, ones, below = (c.to_numpy() for c in batch.columns)
+            kt = log_kt(zeros, ones)
+            total = np.logaddexp(LOG_HALF + kt, LOG_HALF + below)
+            yield node, zeros, ones, total, np.exp(LOG_HALF + kt - total), (ones + 0.5) / (zeros + ones + 1)
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, zeros, ones, total, _, _ in shares(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node >> 8, zeros, ones, total)], names=["node", "zeros", "ones", "below"])
+
+    parents = sums.mapInArrow(up, "node long, zeros double, ones double, below double").groupBy("node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below")))
+    got = parents.toArrow()
+    shipped = sums.sparkSession.sparkContext.broadcast(top_down(*(got.column(c).to_numpy() for c in ("node", "zeros", "ones", "below")), depth - 1))
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, a, b = shipped.value
+        for node, _, _, _, share, own in shares(batches):
+            at = np.searchsorted(known, node >> 8)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, a[at] + b[at] * share * own, b[at] * (1 - share))], names=["node", "a", "b"])
+
+    return sums.mapInArrow(down, "node long, a double, b double")
 
 
 def predicted(table: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR, most_above: int = MOST_ABOVE) -> DataFrame:
@@ -268,8 +298,8 @@ def predicted(table: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR, most_a
 
     sums = dealt.mapInArrow(up, "node long, zeros double, ones double, below double").groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below"))
     sums = common.cut(sums)
-    if anchor > 1 and sums.count() > most_above:  # at an anchor of one byte there are at most 255 nodes above it
-        return predicted(table, depth, anchor - 1, most_above)
+    if anchor > 2 and sums.count() > most_above:  # at an anchor of two bytes there are at most 255 x 256 nodes above it
+        return _predicted_by_join(dealt, sums, depth, anchor)
     got = sums.toArrow()
     above = top_down(*(got.column(c).to_numpy() for c in ("node", "zeros", "ones", "below")), anchor - 1) if got.num_rows else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
     shipped = spark.sparkContext.broadcast(above)
@@ -281,6 +311,32 @@ def predicted(table: DataFrame, depth: int = DEPTH, anchor: int = ANCHOR, most_a
     return dealt.mapInArrow(down, "key long, n long, x double")
 
 
+def _predicted_by_join(dealt: DataFrame, sums: DataFrame, depth: int, anchor: int) -> DataFrame:
+    """``predicted`` of n-grams (key, n, context) dealt by context, with the nodes above the anchor as a table: each context is sent those that it hangs from, of which there are at most 255."""
+
+    def hangs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, n in _contexts(batches):
+            keys = Levels(codes, n, depth, anchor).nodes[-1][0]
+            context = np.zeros_like(keys)
+            for k in range(anchor):  # the latest byte lowest again
+                context |= ((keys >> (8 * k)) & 255) << (8 * (anchor - 1 - k))
+            yield pa.RecordBatch.from_arrays([pa.array(context), pa.array(keys >> 8)], names=["context", "node"])
+
+    above = dealt.mapInArrow(hangs, "context long, node long").join(_mixed_above(sums, anchor - 1), "node")  # a node has 256 contexts at most
+    none = {"long": F.lit(0).cast("long"), "double": F.lit(0.0)}
+    grams_ = dealt.select("key", "n", "context", F.lit(1).alias("gram"), none["double"].alias("a"), none["double"].alias("b"))
+    nodes = above.select(F.col("node").alias("key"), none["long"].alias("n"), "context", F.lit(0).alias("gram"), "a", "b")
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, n, gram, a, b in _contexts(batches):
+            own = gram == 1
+            known, first = np.unique(key[~own], return_index=True)
+            codes, n = key[own], n[own]
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n), pa.array(log10_of(codes, n, depth, anchor, (known, a[~own][first], b[~own][first])))], names=["key", "n", "x"])
+
+    return grams_.unionByName(nodes).repartition("context").sortWithinPartitions("context").mapInArrow(down, "key long, n long, x double")
+
+
 PARTS = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, n_bytes long, base double, score double, key long, n long"
 
 

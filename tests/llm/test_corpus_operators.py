@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -483,3 +484,28 @@ def test_damaged_arc_files(spark, tmp_path):
     warc.convert_files(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     types = Counter(r.warc_type for r in warc.read_warc(spark, str(tmp_path / "out")).collect())
     assert types == {"warcinfo": 4, "response": 1, "revisit": 3, "resource": 3}
+
+
+def test_recall_of_edited_and_scattered_items(spark, make):
+    """Items of 14 to 120 words whose exact containment is at the threshold or above it, edited or in two far parts of a long document."""
+    rng = random.Random(13)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    items, rows = [], []
+    for k in range(200):
+        words = rng.choices(vocabulary, k=rng.randint(14, 120))
+        items.append((k, " ".join(words)))
+        filler = [rng.choice(vocabulary) for _ in range(rng.randint(1500, 4000))]
+        at = rng.randrange(len(filler))
+        if k % 2:  # one word in the middle changed, or a few more of a longer item
+            edited = list(words)
+            for _ in range(1 + len(words) // 60):
+                edited[rng.randrange(2, len(words) - 2)] = "changed"
+            rows.append((k, " ".join(filler[:at] + edited + filler[at:]), "s"))
+        else:
+            cut = rng.randrange(4, len(words) - 4)
+            rows.append((k, " ".join(filler[:at] + words[:cut] + filler[at:] + words[cut:]), "s"))
+    held = [shingles_of(t) for _, t, _ in rows]
+    want = {(d, i) for i, (_, text) in enumerate(items) for d, h in enumerate(held) if len(shingles_of(text) & h) >= 0.8 * len(shingles_of(text))}
+    got = {(r.doc_id, r.item_id) for r in decontamination.contained(make(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    print("of", len(want), "found", len(want & got))
+    assert len(want) > 120 and got <= want and len(got) >= 0.99 * len(want)

@@ -311,6 +311,18 @@ def test_context_tree_anchor_falls_back(spark):
     assert whole.keys() == less.keys() and all(whole[k] == pytest.approx(less[k]) for k in whole)
 
 
+def test_upper_nodes_as_a_table(spark, monkeypatch):
+    """Random bytes, so that most nodes above the anchor differ, and few letters, so that they are shared; some contexts at a time."""
+    monkeypatch.setattr(context_tree, "_TAKEN", 500)
+    rng = np.random.default_rng(4)
+    few = rng.choice(np.array([97, 98, 99, 255]), (3000, 6)) @ (256 ** np.arange(6))
+    codes = np.unique(np.concatenate([rng.integers(0, 1 << 48, 1500), few]))
+    table = spark.createDataFrame([(int(c), int(c) % 5) for c in codes], "key long, n long")
+    whole = {r.key: r.x for r in context_tree.predicted(table).collect()}
+    joined = {r.key: r.x for r in context_tree.predicted(table, most_above=0).collect()}
+    assert len(whole) == len(codes) and whole.keys() == joined.keys() and all(whole[k] == pytest.approx(joined[k]) for k in whole)
+
+
 def test_ordinal_model_recovers_order():
     rng = np.random.default_rng(5)
     rows = [np.flatnonzero(rng.random(12) < 0.3) for _ in range(1500)]
