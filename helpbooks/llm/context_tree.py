@@ -49,7 +49,7 @@ END = 255
 #: Bytes of context by which n-grams are dealt out.
 ANCHOR = 3
 #: N-grams of whole contexts that a task takes at a time (one context can have more).
-_TAKEN = 500_000
+_TAKEN = 250_000
 _HELD = 1_500_000  # different keys that a task holds before it sends them
 
 
