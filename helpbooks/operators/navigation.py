@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from . import sides
 
 
 def toc(nodes: DataFrame) -> DataFrame:
@@ -87,14 +88,18 @@ def substring_matches(rows: DataFrame, text: str, needles: DataFrame) -> DataFra
     A needle meets the texts that hold its rarest piece of ``GRAM`` letters, of which
     the number of texts is counted first; a shorter needle is its own piece. So a
     needle costs as many comparisons as its rarest piece has texts, not as its commonest.
+    The pieces of the texts are never sent out: up to ``sides.MOST_SENT`` needles are, more are shuffled.
     """
+    needles, found = sides.settled(needles, sides.MOST_SENT)
+    sent = found is not None
     short = F.length("needle") < GRAM
     asked = needles.select("needle", F.explode(F.when(short, F.array("needle")).otherwise(_grams(F.col("needle"), GRAM))).alias("gram"))
     pieces = rows.select(F.explode(_grams(F.col(text), 1)).alias("gram"))
-    counts = pieces.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    counts = sides.meet(pieces, asked.select("gram").distinct(), "gram", sent).groupBy("gram").agg(F.count("*").alias("n"))
     rarest = asked.join(counts, "gram", "left").groupBy("needle").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("gram").alias("g"))).alias("gram"))
     names = [F.col(c) for c in rows.columns]
-    return rows.select(*names, F.explode(_grams(F.col(text), 1)).alias("gram")).join(rarest, "gram").filter(F.contains(F.col(text), F.col("needle"))).drop("gram")
+    each = rows.select(*names, F.explode(_grams(F.col(text), 1)).alias("gram"))
+    return sides.meet(each, rarest, "gram", sent).filter(F.contains(F.col(text), F.col("needle"))).select(*rows.columns, "needle")
 
 
 def filtered_by_queries(entries: DataFrame, queries: DataFrame) -> DataFrame:
@@ -103,9 +108,9 @@ def filtered_by_queries(entries: DataFrame, queries: DataFrame) -> DataFrame:
     Each needle is sought once, by its rarest piece, for all queries that ask for it.
     """
     kept = entries.select("book_id", "entry_id", "name", F.lower("name").alias("low"))
-    asked = queries.select("query_id", F.lower("q").alias("needle"))
+    asked, found = sides.settled(queries.select("query_id", F.lower("q").alias("needle")), sides.MOST_SENT)
     some = asked.filter(F.trim("needle") != "")
-    hits = substring_matches(kept, "low", some.select("needle").distinct()).join(some, "needle")
+    hits = sides.meet(substring_matches(kept, "low", some.select("needle").distinct()), some, "needle", found is not None)
     blank = asked.filter(F.trim("needle") == "").agg(F.collect_list("query_id").alias("ids"))  # one row
     everything = kept.crossJoin(F.broadcast(blank)).withColumn("query_id", F.explode("ids"))
     columns = ["query_id", "book_id", "entry_id", "name"]
