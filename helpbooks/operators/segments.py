@@ -72,16 +72,19 @@ def change(changes: DataFrame, folder: str, batch: int, fan: int = FAN) -> None:
     asked = changes.filter("book_id is not null").select(*_KEY, "title", "text", gone.alias("gone"))
     segments = live(spark, folder, batch)
     names = [s for s, _ in segments]
-    put = asked.filter("not gone and path is not null").withColumn("sha256", F.sha2("text", 256)).groupBy(*_KEY).agg(F.max_by(F.struct("title", "text", "sha256"), "sha256").alias("p")).select(*_KEY, "p.*")
+    put = asked.filter("not gone and path is not null")
     held = _held(spark, folder, "pages", INDEX_PAGES, names, batch).select("segment", *_KEY, "sha256")
-    same = held.join(put.select(*_KEY, "sha256"), [*_KEY, "sha256"], "left_semi")
-    fresh = put.join(same, _KEY, "left_anti")
-    replaced = held.join(fresh.select(*_KEY), _KEY, "left_semi")
+    best = put.groupBy(*_KEY).agg(F.max(F.sha2("text", 256)).alias("sha256"))  # hashes alone; texts move only where they are new
+    new = best.join(held.drop("segment"), [*_KEY, "sha256"], "left_anti").select(*_KEY)
+    texts = put.join(new, _KEY, "left_semi").withColumn("sha256", F.sha2("text", 256))
+    fresh = texts.groupBy(*_KEY).agg(F.max_by(F.struct("title", "text", "sha256"), "sha256").alias("p")).select(*_KEY, "p.*")
+    name = f"s{batch}"
+    index.write(fresh, folder, f"/segment={name}")
+    written = spark.read.schema(INDEX_PAGES).parquet(f"{folder}/pages/segment={name}").select(*_KEY)
+    replaced = held.join(written, _KEY, "left_semi")
     removed = held.join(asked.filter("gone and path is not null").select(*_KEY).distinct(), _KEY, "left_semi")
     closed = held.join(asked.filter("gone and path is null").select("book_id").distinct(), "book_id", "left_semi")
     lost = removed.unionByName(closed).join(put.select(*_KEY), _KEY, "left_anti")
-    name = f"s{batch}"
-    index.write(fresh, folder, f"/segment={name}")
     replaced.unionByName(lost).select(*_KEY, "segment").distinct().write.mode("overwrite").parquet(f"{folder}/dead/batch={batch}")
     now = spark.read.schema("book_id string, path string, segment string").parquet(f"{folder}/dead/batch={batch}")
     texts = _table(spark, folder, "pages", INDEX_PAGES, names).join(now, ["segment", *_KEY], "left_semi")

@@ -231,3 +231,17 @@ def test_words_are_counted_a_page_at_a_time(spark, make):
         for (_, path, _, _), (tf, _) in want.items():
             lengths[path] += tf
         assert all(r.page_words == lengths[r.path] for r in got if r.path != "/null.htm")
+
+
+def test_a_batch_without_news_moves_no_texts(spark, tmp_path, monkeypatch):
+    folder, rows = str(tmp_path / "i"), [("b", f"/{i}.htm", "t", f"word{i} and more") for i in range(50)]
+    spark.createDataFrame(rows, schemas.PAGES_TEXT).write.parquet(str(tmp_path / "p"))
+    now = spark.read.schema(schemas.PAGES_TEXT).parquet(str(tmp_path / "p"))
+    segments.start(spark, folder)
+    segments.change(now, folder, 0)
+    written = []
+    monkeypatch.setattr(index, "write", lambda fresh, *where, write=index.write: (written.append(fresh), write(fresh, *where)))
+    segments.change(now, folder, 1)
+    hashed = written[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert written[0].count() == 0 and "max_by" in hashed and hashed.index("max_by") < hashed.index("LeftSemi")  # the texts are compared where they are new
+    assert segments.open_index(spark, folder).terms.count() == 53
