@@ -245,3 +245,24 @@ def test_a_batch_without_news_moves_no_texts(spark, tmp_path, monkeypatch):
     hashed = written[0]._jdf.queryExecution().optimizedPlan().toString()
     assert written[0].count() == 0 and "max_by" in hashed and hashed.index("max_by") < hashed.index("LeftSemi")  # the texts are compared where they are new
     assert segments.open_index(spark, folder).terms.count() == 53
+
+
+def test_tasks_that_sort_postings_follow_the_texts(spark, tmp_path, monkeypatch):
+    """More text is more tasks, not larger ones, however few shuffle partitions the session has."""
+    rng = random.Random(11)
+    rows = [(f"b{i % 7}", f"/{i}.htm", f"page {i}", " ".join(["the", *("".join(rng.choices("abcdefgh", k=4)) for _ in range(40))])) for i in range(400)]
+    monkeypatch.setattr(index, "CHARS_A_PART", 4_000, raising=False)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        largest = {}
+        for n in (100, 400):
+            p, folder = pages(spark, rows[:n]), str(tmp_path / str(n))
+            index.write(p, folder)
+            held = spark.read.schema(schemas.INDEX_POSTINGS).parquet(f"{folder}/postings")
+            task = F.regexp_extract(F.input_file_name(), r"part-(\d+)-", 1)
+            largest[n] = max(r["count"] for r in held.groupBy(task.alias("task")).count().collect())
+            got = held.select("book_id", "path", "field", "term", "tf", "first_pos")
+            assert hits(got) == hits(search.postings(p))
+        assert largest[400] < 1.7 * largest[100], largest
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
